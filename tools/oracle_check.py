@@ -40,9 +40,10 @@ def _norm(v):
     return (4, str(v))
 
 
-def _rows(pdf):
-    cols = sorted(pdf.columns)
-    out = [tuple(_norm(x) for x in rec) for rec in pdf[cols].itertuples(index=False, name=None)]
+def _rows(tbl):
+    cols = sorted(tbl.column_names)
+    data = [tbl.column(c).to_pylist() for c in cols]
+    out = [tuple(_norm(x) for x in rec) for rec in zip(*data)] if data else []
     out.sort(key=lambda r: tuple((a, str(b)) for a, b in r))
     return cols, out
 
@@ -91,17 +92,17 @@ def main() -> int:
         t0 = time.time()
         try:
             sdf = qs[name](spark, args.sf_dir)
-            spdf = sdf.toPandas()
+            spdf = sdf.toArrow()
             ts = time.time() - t0
         except Exception as e:  # noqa: BLE001
             print(f"{name:32s} SPARK-ERROR {type(e).__name__}: {str(e)[:400]}")
             bad += 1
             continue
         if name not in sqls:
-            print(f"{name:32s} ROWS-ONLY rows={len(spdf)} spark={ts:.2f}s")
+            print(f"{name:32s} ROWS-ONLY rows={spdf.num_rows} spark={ts:.2f}s")
             continue
         try:
-            dpdf = con.execute(sqls[name]).df()
+            dpdf = con.sql(sqls[name]).to_arrow_table()
         except Exception as e:  # noqa: BLE001
             print(f"{name:32s} DUCK-ERROR {type(e).__name__}: {str(e)[:400]}")
             bad += 1
@@ -109,10 +110,9 @@ def main() -> int:
         status, detail = compare(spdf, dpdf)
         if status not in ("EXACT", "CLOSE"):
             bad += 1
-        rel = con.execute(sqls[name])
-        dtypes = {d[0]: str(d[1]) for d in rel.description}
-        types = " ".join(f"{c}:{t}/{dtypes.get(c)}" for c, t in sorted(sdf.dtypes))
-        print(f"{name:32s} {status:8s} rows={len(spdf)} spark={ts:.2f}s {detail[:600]}")
+        dtypes = {f.name: str(f.type) for f in dpdf.schema}
+        types = " ".join(f"{f.name}:{f.type}/{dtypes.get(f.name)}" for f in spdf.schema)
+        print(f"{name:32s} {status:8s} rows={spdf.num_rows} spark={ts:.2f}s {detail[:600]}")
         if os.environ.get("CHECK_TYPES"):
             print("    types", types)
     return 1 if bad else 0
