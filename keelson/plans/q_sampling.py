@@ -1 +1,179 @@
-"""Queries (to be filled)."""
+"""Queries: balancing, capped sampling, splitting, shuffling and the training-set writers (E, F,
+A writers). Key = ``event_id``; the oracles recompute the same md5 fractions in DuckDB."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from keelson.functions.sampling import unit_hash_sql
+from keelson.operators import sampling as E
+from keelson.plans.catalog import register
+from keelson.plans.oracle_views import with_views
+from keelson.plans.views import feed
+from keelson.sources.sinks import scratch_path, write_all, write_train_test
+
+FEED = with_views("feed")
+KEY = "event_id"
+_KEY_SQL = "CAST(event_id AS VARCHAR)"
+
+
+def _u(seed) -> str:
+    return unit_hash_sql(_KEY_SQL, seed)
+
+
+def _dbl(x: float) -> str:
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+def _fractions_sql(pos: str, neg: str, rate) -> str:
+    """SQL select list of ``_neg_frac, _pos_frac`` (same arithmetic as ``_binary_fractions``)."""
+    t = _dbl(float(rate[0]) / float(rate[1]))
+    r = f"(CAST({neg} AS DOUBLE) / CAST({pos} AS DOUBLE))"
+    empty = f"({pos} = 0 OR {neg} = 0)"
+    neg_take = f"floor(CAST({neg} AS DOUBLE) * ({t} / {r})) / CAST({neg} AS DOUBLE)"
+    pos_take = f"floor(CAST({pos} AS DOUBLE) * ({r} / {t})) / CAST({pos} AS DOUBLE)"
+    one, zero = _dbl(1.0), _dbl(0.0)
+    return (
+        f"CASE WHEN {empty} THEN {zero} WHEN {r} > {t} THEN {neg_take} ELSE {one} END AS _neg_frac, "
+        f"CASE WHEN {empty} THEN {zero} WHEN {r} < {t} THEN {pos_take} ELSE {one} END AS _pos_frac"
+    )
+
+
+_COUNTS = "count(CASE WHEN label = 1 THEN 1 END) AS _pos, count(CASE WHEN label = 0 THEN 1 END) AS _neg"
+_KEEP = f"((label = 1 AND {_u(E.SAMPLE_SEED)} < _pos_frac) OR (label = 0 AND {_u(E.SAMPLE_SEED)} < _neg_frac))"
+
+
+def _ratio_sql(src: str, rate) -> str:
+    """Rows of view ``src`` balanced to ``rate`` (a subquery)."""
+    return (
+        f"(SELECT s.* FROM {src} s CROSS JOIN "
+        f"(SELECT {_fractions_sql('_pos', '_neg', rate)} FROM (SELECT {_COUNTS} FROM {src})) fr WHERE {_KEEP})"
+    )
+
+
+def _cap_sql(src: str, max_n: int) -> str:
+    frac = f"CAST({max_n} AS DOUBLE) / CAST(n AS DOUBLE)"
+    return (
+        f"(SELECT s.* FROM {src} s CROSS JOIN (SELECT count(*) AS n FROM {src}) c "
+        f"WHERE c.n <= {max_n} OR {_u(E.CAP_SEED)} < {frac})"
+    )
+
+
+# --- E1 -------------------------------------------------------------------------------------
+_MINORITY_SQL = (
+    FEED
+    + f""", c AS (SELECT user_class, count(*) AS cnt FROM feed WHERE user_class IS NOT NULL GROUP BY user_class),
+b AS (SELECT user_class AS base, cnt AS mn FROM c ORDER BY cnt, user_class LIMIT 1)
+SELECT f.* FROM feed f JOIN c ON f.user_class = c.user_class CROSS JOIN b
+WHERE f.user_class = b.base OR {_u(E.SAMPLE_SEED)} < CAST(b.mn AS DOUBLE) / CAST(c.cnt AS DOUBLE)
+"""
+)
+
+
+@register("balance_to_minority", _MINORITY_SQL)
+def q_balance_to_minority(spark, sf_dir):
+    return E.balance_to_minority(feed(spark, sf_dir), "user_class", key=KEY)
+
+
+# --- E2 / E3 / E4 ---------------------------------------------------------------------------
+@register("balance_to_ratio", FEED + "SELECT * FROM " + _ratio_sql("feed", (2, 1)))
+def q_balance_to_ratio(spark, sf_dir):
+    return E.balance_to_ratio(feed(spark, sf_dir), (2, 1), key=KEY)
+
+
+_FRAC_SQL = (
+    FEED
+    + f"SELECT * FROM feed WHERE (label = 1 AND {_u(E.SAMPLE_SEED)} < {_dbl(0.9)}) "
+    f"OR (label = 0 AND {_u(E.SAMPLE_SEED)} < {_dbl(0.3)})"
+)
+
+
+@register("balance_by_fractions", _FRAC_SQL)
+def q_balance_by_fractions(spark, sf_dir):
+    return E.balance_by_fractions(feed(spark, sf_dir), (0.3, 0.9), key=KEY)
+
+
+@register("sample_to_cap", FEED + "SELECT * FROM " + _cap_sql("feed", 4000))
+def q_sample_to_cap(spark, sf_dir):
+    return E.sample_to_cap(feed(spark, sf_dir), 4000, key=KEY)
+
+
+# --- E5 / E6 --------------------------------------------------------------------------------
+_BTS = FEED + ", bal AS " + _ratio_sql("feed", (2, 1)) + "\n"
+
+
+@register("balance_then_sample", _BTS + "SELECT * FROM " + _cap_sql("bal", 2000))
+def q_balance_then_sample(spark, sf_dir):
+    return E.balance_then_sample(feed(spark, sf_dir), balance="balance", rate=(2, 1), max_n=2000, key=KEY)
+
+
+_SPLIT_BASE = FEED + ", bal AS " + _ratio_sql("feed", (1, 1)) + ", capped AS " + _cap_sql("bal", 3000) + "\n"
+_SPLIT_COL = f"CASE WHEN {_u(E.SPLIT_SEED)} < {_dbl(0.8 / 1.0)} THEN 'train' ELSE 'test' END"
+
+
+@register("split_train_test", _SPLIT_BASE + f"SELECT *, {_SPLIT_COL} AS split FROM capped")
+def q_split_train_test(spark, sf_dir):
+    return E.split_train_test(
+        feed(spark, sf_dir), (0.8, 0.2), key=KEY, balance="balance", rate=(1, 1), max_n=3000
+    )
+
+
+# --- E7 / E8 --------------------------------------------------------------------------------
+_EVENTS = ["purchase", "click", "error"]
+_IN = ", ".join(f"'{e}'" for e in _EVENTS)
+_PER_EVENT_SQL = (
+    FEED
+    + f""", sel AS (SELECT * FROM feed WHERE event_name IN ({_IN})),
+cnt AS (SELECT event_name, {_COUNTS} FROM sel GROUP BY event_name),
+fr AS (
+  SELECT event_name,
+         CASE WHEN _pos = 0 OR _neg = 0 THEN {_dbl(1.0)} ELSE _neg_frac END AS _neg_frac,
+         CASE WHEN _pos = 0 OR _neg = 0 THEN {_dbl(1.0)} ELSE _pos_frac END AS _pos_frac
+  FROM (SELECT event_name, _pos, _neg, {_fractions_sql('_pos', '_neg', (1, 1))} FROM cnt))
+SELECT s.* FROM sel s JOIN fr ON s.event_name = fr.event_name WHERE {_KEEP}
+"""
+)
+
+
+@register("balance_per_event", _PER_EVENT_SQL)
+def q_balance_per_event(spark, sf_dir):
+    return E.balance_per_event(feed(spark, sf_dir), _EVENTS, (1, 1), key=KEY)
+
+
+_TOTAL_SQL = (
+    FEED
+    + ", sel AS (SELECT * FROM feed WHERE event_name IN ('purchase', 'click'))\nSELECT * FROM "
+    + _ratio_sql("sel", (3, 1))
+)
+
+
+@register("balance_total", _TOTAL_SQL)
+def q_balance_total(spark, sf_dir):
+    return E.balance_total(feed(spark, sf_dir), ["purchase", "click"], (3, 1), key=KEY)
+
+
+# --- F --------------------------------------------------------------------------------------
+@register("shuffle_rows", FEED + "SELECT * FROM feed")
+def q_shuffle_rows(spark, sf_dir):
+    return E.shuffle_rows(feed(spark, sf_dir), key=KEY)
+
+
+# --- writers (write, read back, count) ------------------------------------------------------
+@register(
+    "write_train_test",
+    _SPLIT_BASE + f"SELECT split, count(*) AS n_rows FROM (SELECT {_SPLIT_COL} AS split FROM capped) GROUP BY split",
+)
+def q_write_train_test(spark, sf_dir):
+    base = scratch_path(spark, "feed_split")
+    res = write_train_test(
+        feed(spark, sf_dir), base, (0.8, 0.2), key=KEY, balance="balance", rate=(1, 1), max_n=3000
+    )
+    back = spark.read.parquet(base)
+    return back.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows")) if res else back
+
+
+@register("write_all", _BTS + "SELECT count(*) AS n_rows FROM " + _cap_sql("bal", 2000))
+def q_write_all(spark, sf_dir):
+    base = scratch_path(spark, "feed")
+    path = write_all(feed(spark, sf_dir), base, key=KEY, balance="balance", rate=(2, 1), max_n=2000)
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -1 +1,98 @@
-"""Queries (to be filled)."""
+"""Queries: day lists, day arithmetic, coverage and range scans (A, K) on the feed's ``dt``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from keelson.functions.dates import date_shift, day_sequence
+from keelson.plans.catalog import register
+from keelson.plans.oracle_views import with_views
+from keelson.plans.views import feed
+from keelson.sources import partitions as P
+
+FEED = with_views("feed")
+
+
+def _d(col: str) -> str:
+    return f"strptime({col}, '%Y%m%d')"
+
+
+_DATE_LIST_SQL = (
+    FEED
+    + """SELECT strftime(d, '%Y%m%d') AS dt
+FROM (SELECT min(dt) AS a, max(dt) AS b FROM feed) r,
+     generate_series(CAST(strptime(a, '%Y%m%d') AS DATE) - INTERVAL 3 DAY,
+                     CAST(strptime(b, '%Y%m%d') AS DATE) + INTERVAL 3 DAY, INTERVAL 1 DAY) AS g(d)
+"""
+)
+
+
+@register("date_list", _DATE_LIST_SQL)
+def q_date_list(spark, sf_dir):
+    bounds = feed(spark, sf_dir).agg(F.min("dt").alias("a"), F.max("dt").alias("b"))
+    return bounds.select(F.explode(day_sequence(date_shift("a", -3), date_shift("b", 3))).alias("dt"))
+
+
+_SHIFT_SQL = (
+    FEED
+    + """SELECT event_id, dt,
+       strftime(CAST(strptime(dt, '%Y%m%d') AS DATE) - INTERVAL 45 DAY, '%Y%m%d') AS dt_back,
+       strftime(CAST(strptime(dt, '%Y%m%d') AS DATE) + INTERVAL 400 DAY, '%Y%m%d') AS dt_fwd,
+       dt AS dt_same
+FROM feed"""
+)
+
+
+@register("date_shift", _SHIFT_SQL)
+def q_date_shift(spark, sf_dir):
+    return feed(spark, sf_dir).select(
+        "event_id",
+        "dt",
+        date_shift("dt", -45).alias("dt_back"),
+        date_shift("dt", 400).alias("dt_fwd"),
+        date_shift("dt", 0).alias("dt_same"),
+    )
+
+
+COVER_START, COVER_END = "20231230", "20240202"
+_COVER_SQL = (
+    FEED
+    + f"""SELECT strftime(d, '%Y%m%d') AS dt
+FROM generate_series(DATE '2023-12-30', DATE '2024-02-02', INTERVAL 1 DAY) AS g(d)
+WHERE strftime(d, '%Y%m%d') NOT IN (SELECT DISTINCT dt FROM feed WHERE dt IS NOT NULL)"""
+)
+
+
+@register("date_coverage", _COVER_SQL)
+def q_date_coverage(spark, sf_dir):
+    return P.date_coverage(feed(spark, sf_dir), COVER_START, COVER_END)
+
+
+@register(
+    "coverage_ready",
+    FEED
+    + f"""SELECT count(*) = 0 AS ready, count(*) AS n_missing
+FROM generate_series(DATE '2023-12-30', DATE '2024-02-02', INTERVAL 1 DAY) AS g(d)
+WHERE strftime(d, '%Y%m%d') NOT IN (SELECT DISTINCT dt FROM feed WHERE dt IS NOT NULL)""",
+)
+def q_coverage_ready(spark, sf_dir):
+    return P.coverage_ready(P.date_coverage(feed(spark, sf_dir), COVER_START, COVER_END))
+
+
+_DAYS = ["20240115", "20240131", "20231231", "20240101"]
+_PRESENT_SQL = (
+    FEED
+    + "SELECT w.dt, w.dt IN (SELECT DISTINCT dt FROM feed WHERE dt IS NOT NULL) AS present FROM (VALUES "
+    + ", ".join(f"('{d}')" for d in _DAYS)
+    + ") AS w(dt)"
+)
+
+
+@register("partition_present", _PRESENT_SQL)
+def q_partition_present(spark, sf_dir):
+    return P.partition_present(feed(spark, sf_dir), _DAYS)
+
+
+@register("date_range_scan", FEED + "SELECT * FROM feed WHERE dt BETWEEN '20240105' AND '20240110'")
+def q_date_range_scan(spark, sf_dir):
+    return P.date_range_scan(feed(spark, sf_dir), "20240105", "20240110")
