@@ -1 +1 @@
-"""Queries (to be filled)."""
+"""Queries (filled below)."""

@@ -83,7 +83,7 @@ def vocab_old(spark: SparkSession, sf_dir: str, slots: int = 10) -> DataFrame:
     w = Window.partitionBy("feature").orderBy(F.col("cnt").desc(), F.col("value").asc_nulls_last())
     return (
         vocab_counts(spark, sf_dir, small=True)
-        .withColumn("position", F.row_number().over(w))
+        .withColumn("position", F.row_number().over(w).cast("long"))
         .where(F.col("position") <= slots + 1)
         .select("feature", "position", "value")
     )

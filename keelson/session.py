@@ -50,3 +50,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir is not set on this session")
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the cluster's shared checkpoint folder."""
+    import uuid
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/keelson-out/{uuid.uuid4().hex}/{name}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as a Parquet table in the shared checkpoint folder and read it back.
+
+    Used where later steps must all see one evaluation of a plan whose row placement is not a
+    pure function of the data (range-partition slices). Survives executor loss, unlike a local
+    checkpoint, and runs the plan once, unlike ``DataFrame.checkpoint`` (which evaluates it
+    for the count and again for the write).
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -8,18 +8,11 @@ rows, and no caching is needed for correctness. Row counts per output are gather
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.operators.sampling import balance_then_sample, with_split
-from keelson.session import checkpoint_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/keelson-out/{uuid.uuid4().hex}/{name}"
+from keelson.session import scratch_path  # noqa: F401  (re-exported for callers)
 
 
 def _observed(df: DataFrame, name: str, split: str | None = None) -> tuple[DataFrame, Observation]:
