@@ -1 +1,90 @@
-"""Queries (filled below)."""
+"""Queries: article text extraction (J) over the ``articles`` view (rich-content documents and
+pages with spliced platform markup) and raw ``pages``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from keelson.functions import text as T
+from keelson.operators import text as J
+from keelson.plans.catalog import register
+from keelson.plans.oracle_views import with_views
+from keelson.plans.views import articles, table
+
+ART = with_views("articles")
+
+
+def _rich_sql(c: str) -> str:
+    pat = T._sql_str(T.RICH_FALLBACK)
+    return (
+        f"coalesce(CASE WHEN json_valid({c}) THEN json_extract_string({c}, '{T.RICH_TEXT_PATH}') END, "
+        f"CASE WHEN regexp_matches({c}, {pat}) THEN regexp_extract({c}, {pat}, 1) END)"
+    )
+
+
+_PLATFORM = T.steps_sql("content", T.PLATFORM_STEPS)
+_CLEAN = (
+    f"CASE WHEN contains(content, '{T.RICH_MARKER}') THEN {_rich_sql('content')} "
+    f"ELSE {T.steps_sql(_PLATFORM, T.STRIP_HTML_STEPS)} END"
+)
+_ROUTE = f"CASE WHEN contains(content, '{T.RICH_MARKER}') THEN 'rich' ELSE 'html' END"
+
+
+@register(
+    "clean_articles",
+    ART + f"SELECT article_id, {_ROUTE} AS route, t AS text, t IS NOT NULL AS ok "
+    f"FROM (SELECT article_id, content, {_CLEAN} AS t FROM articles)",
+)
+def q_clean_articles(spark, sf_dir):
+    return J.clean_articles(articles(spark, sf_dir))
+
+
+@register("rich_text", ART + f"SELECT article_id, {_rich_sql('content')} AS text FROM articles")
+def q_rich_text(spark, sf_dir):
+    return J.extract(articles(spark, sf_dir), "rich_text")
+
+
+@register("strip_platform_markup", ART + f"SELECT article_id, {_PLATFORM} AS text FROM articles")
+def q_strip_platform_markup(spark, sf_dir):
+    return J.extract(articles(spark, sf_dir), "strip_platform_markup")
+
+
+@register("strip_html", f"SELECT page_id, {T.steps_sql('html', T.STRIP_HTML_STEPS)} AS text FROM pages")
+def q_strip_html(spark, sf_dir):
+    return J.extract(table(spark, sf_dir, "pages"), "strip_html", content="html", key="page_id")
+
+
+_MD = T.steps_sql(T.steps_sql("content", T.MARKDOWN_STEPS), T.MEDIA_STEPS)
+
+
+@register(
+    "html_to_text",
+    ART + f"SELECT article_id, {_MD} AS text FROM articles WHERE NOT contains(content, '{T.RICH_MARKER}')",
+)
+def q_html_to_text(spark, sf_dir):
+    html = articles(spark, sf_dir).where(~F.col("content").contains(T.RICH_MARKER))
+    return J.extract(html, "html_to_text")
+
+
+_FLAT = f"replace(replace({_MD}, chr(10), ''), '\\\\\\', '')"
+
+
+@register(
+    "html_json_to_text",
+    ART + f"SELECT article_id, CASE WHEN json_valid(f) THEN json_extract_string(f, '{T.RICH_TEXT_PATH}') END AS text "
+    f"FROM (SELECT article_id, {_FLAT} AS f FROM articles WHERE contains(content, '{T.RICH_MARKER}'))",
+)
+def q_html_json_to_text(spark, sf_dir):
+    rich = articles(spark, sf_dir).where(F.col("content").contains(T.RICH_MARKER))
+    return J.extract(rich, "html_json_to_text")
+
+
+@register(
+    "clean_articles_report",
+    ART + f"""SELECT route, count(*) AS n_rows, count(CASE WHEN t IS NULL THEN 1 END) AS n_failed,
+       CAST(coalesce(sum(length(content)), 0) AS BIGINT) AS chars_in,
+       CAST(coalesce(sum(length(t)), 0) AS BIGINT) AS chars_out
+FROM (SELECT content, {_ROUTE} AS route, {_CLEAN} AS t FROM articles) GROUP BY route""",
+)
+def q_clean_articles_report(spark, sf_dir):
+    return J.clean_articles_report(articles(spark, sf_dir))
