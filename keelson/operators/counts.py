@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from keelson.functions.numeric import share
 
-_ONE = F.lit(1)
+
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows per distinct value of ``column`` (null included): ``(column, cnt)``."""
-    return df.groupBy(column).agg(F.count(_ONE).alias("cnt"))
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def long_layout(
@@ -46,7 +46,7 @@ def multi_value_counts(
     cols = list(columns)
     step = batch_size or len(cols) or 1
     parts = [
-        long_layout(df, cols[i : i + step]).groupBy("feature", "value").agg(F.count(_ONE).alias("cnt"))
+        long_layout(df, cols[i : i + step]).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
         for i in range(0, len(cols), step)
     ]
     out = parts[0]
@@ -62,13 +62,13 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 def distinct_entities(df: DataFrame, column: str) -> DataFrame:
     """D3 count: one row ``(n_entities)``, the null group counted once."""
-    return df.select(column).distinct().agg(F.count(_ONE).alias("n_entities"))
+    return df.select(column).distinct().agg(F.count(F.lit(1)).alias("n_entities"))
 
 
 def rows_and_entities(df: DataFrame, entity: str) -> DataFrame:
     """One row ``(n_rows, n_entities)`` from one shuffle on the entity."""
-    per = df.groupBy(entity).agg(F.count(_ONE).alias("r"))
-    return per.agg(F.sum("r").alias("n_rows"), F.count(_ONE).alias("n_entities")).select(
+    per = df.groupBy(entity).agg(F.count(F.lit(1)).alias("r"))
+    return per.agg(F.sum("r").alias("n_rows"), F.count(F.lit(1)).alias("n_entities")).select(
         F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"), "n_entities"
     )
 
@@ -86,7 +86,7 @@ def penetration_by_entity(
     flagged = df.select(*entities, flag.alias("hit"))
     rows = flagged.agg(
         F.lit("rows").alias("measure"),
-        F.count(_ONE).alias("total"),
+        F.count(F.lit(1)).alias("total"),
         F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("selected"),
     )
     ents = (
@@ -94,7 +94,7 @@ def penetration_by_entity(
         .groupBy("measure", "id")
         .agg(F.max("hit").alias("hit"))
         .groupBy("measure")
-        .agg(F.count(_ONE).alias("total"), F.sum("hit").cast("long").alias("selected"))
+        .agg(F.count(F.lit(1)).alias("total"), F.sum("hit").cast("long").alias("selected"))
     )
     return rows.unionByName(ents).select(
         "measure", "total", "selected", share("selected", "total", digits).alias("penetration")
@@ -110,7 +110,7 @@ def event_label_rates(df: DataFrame, labels: Sequence[str], event: str = "event_
     """
     long = long_layout(df, labels, name="label", value="value", keep=[event])
     agg = long.groupingSets([[event, "label", "value"], ["label", "value"]], event, "label", "value").agg(
-        F.count(_ONE).alias("cnt"), F.grouping_id().alias("gid")
+        F.count(F.lit(1)).alias("cnt"), F.grouping_id().alias("gid")
     )
     return agg.select(
         F.when(F.col("gid") == 0, F.lit("event")).otherwise(F.lit("all")).alias("scope"),

@@ -6,10 +6,9 @@ dropped), reduced to distinct values with counts (map-side partial aggregation),
 percentile needs. One job covers every feature.
 
 Midpoint rule (as NumPy ``method='midpoint'``): with ``q = p / 100`` and ``n`` values, the
-virtual index is ``v = (n*q + (1 - q)) - 1`` evaluated in that order in double precision; an
-integral ``v`` gives the value at rank ``v``, otherwise ``b - (b - a) * 0.5`` where ``a`` and
-``b`` are the values at ranks ``floor(v)`` and ``floor(v) + 1`` (ranks 0-based, clipped to
-``n - 1``).
+virtual index is ``v = (n - 1) * q`` in double precision; an integral ``v`` gives the value at
+rank ``v``, otherwise ``b - (b - a) * 0.5`` where ``a`` and ``b`` are the values at ranks
+``floor(v)`` and ``floor(v) + 1`` (ranks 0-based, clipped to ``n - 1``).
 
 Discrete rule (exact mode of the approximate map): the value at rank ``ceil(q*n) - 1``.
 """
@@ -65,8 +64,7 @@ def midpoint_percentiles(cum: DataFrame, percentiles: Sequence[float] = DEFAULT_
     """``(feature, variant, percentile, value)`` by the midpoint rule from ``ranked_values``."""
     g = _groups(cum).select(*BY, "n", _percentile_table(percentiles).alias("pq"))
     q = F.col("pq.q")
-    n = F.col("n").cast("double")
-    v = (n * q + (F.lit(1.0) - q)) - F.lit(1.0)
+    v = (F.col("n") - 1).cast("double") * q
     fl = F.floor(v)
     targets = g.select(
         *BY,

@@ -32,7 +32,6 @@ def _midpoint_sql(src: str, cols, percentiles, variants=("all", "positive")) ->
     if "positive" in variants:
         lv.append("SELECT feature, 'positive' AS variant, value FROM long WHERE value > 0")
     pq = ", ".join(f"({_dbl(p)}, {_dbl(float(p) / 100.0)})" for p in percentiles)
-    one = _dbl(1.0)
     return (
         _long_sql(src, cols)
         + f""",
@@ -47,7 +46,7 @@ tg AS (
   SELECT feature, variant, n, percentile, v, floor(v) AS fl,
          greatest(least(floor(v), n - 1), 0) AS lo, greatest(least(floor(v) + 1, n - 1), 0) AS hi
   FROM (SELECT g.feature, g.variant, g.n, pq.percentile,
-               (CAST(g.n AS DOUBLE) * pq.q + ({one} - pq.q)) - {one} AS v
+               CAST(g.n - 1 AS DOUBLE) * pq.q AS v
         FROM (SELECT DISTINCT feature, variant, n FROM ranked) g CROSS JOIN pq)),
 pct AS (
   SELECT tg.feature, tg.variant, tg.percentile,

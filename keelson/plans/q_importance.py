@@ -1 +1,29 @@
-"""Queries (filled below)."""
+"""Queries: decision-tree feature importance (I) on lineitem numerics, label = return flag R.
+Model fitting is not SQL: these have no oracle (rows-only check)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from keelson.operators import importance as I
+from keelson.plans.catalog import register
+from keelson.plans.views import DENSE_COLUMNS, table
+
+
+def _labelled(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        *DENSE_COLUMNS,
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("line_id"),
+        (F.col("l_returnflag") == "R").cast("double").alias("label"),
+    )
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    return I.feature_importance(_labelled(spark, sf_dir), DENSE_COLUMNS, "label", key="line_id")
+
+
+@register("importance_analysis")
+def q_importance_analysis(spark, sf_dir):
+    return I.importance_analysis(_labelled(spark, sf_dir), DENSE_COLUMNS, "label", rate=(1, 1), key="line_id")
