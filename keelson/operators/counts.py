@@ -82,23 +82,29 @@ def penetration_by_entity(
     Output ``(measure, total, selected, penetration)``: measure ``rows`` plus one row per entity
     column. A null feature never matches.
     """
+    ents = list(entities)
     flag = F.coalesce(F.col(feature) == F.lit(value), F.lit(False)).cast("int")
-    flagged = df.select(*entities, flag.alias("hit"))
-    rows = flagged.agg(
-        F.lit("rows").alias("measure"),
-        F.count(F.lit(1)).alias("total"),
-        F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("selected"),
-    )
-    ents = (
-        long_layout(flagged, entities, name="measure", value="id", keep=["hit"])
+    flagged = df.select(*ents, flag.alias("hit"))
+    # One pass: per (entity column, id) the rows, hits and whether any row hit; the row-level
+    # measure is the sum over the ids of the first entity column, so no second scan is needed.
+    per = (
+        long_layout(flagged, ents, name="measure", value="id", keep=["hit"])
         .groupBy("measure", "id")
-        .agg(F.max("hit").alias("hit"))
+        .agg(F.count(F.lit(1)).alias("r"), F.sum("hit").alias("h"), F.max("hit").alias("any"))
         .groupBy("measure")
-        .agg(F.count(F.lit(1)).alias("total"), F.sum("hit").cast("long").alias("selected"))
-    )
-    return rows.unionByName(ents).select(
-        "measure", "total", "selected", share("selected", "total", digits).alias("penetration")
+        .agg(
+            F.count(F.lit(1)).alias("total"),
+            F.sum("any").cast("long").alias("selected"),
+            F.sum("r").cast("long").alias("rows"),
+            F.sum("h").cast("long").alias("hits"),
+        )
     )
+    own = F.struct(F.col("measure"), F.col("total"), F.col("selected"))
+    row_level = F.struct(F.lit("rows").alias("measure"), F.col("rows").alias("total"), F.col("hits").alias("selected"))
+    out = per.select(
+        F.explode(F.when(F.col("measure") == ents[0], F.array(own, row_level)).otherwise(F.array(own))).alias("m")
+    ).select("m.*")
+    return out.select("measure", "total", "selected", share("selected", "total", digits).alias("penetration"))
 
 
 def event_label_rates(df: DataFrame, labels: Sequence[str], event: str = "event_name") -> DataFrame:

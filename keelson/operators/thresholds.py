@@ -114,28 +114,41 @@ def threshold_penetration(
     """Per threshold, rows with ``score >= threshold`` and entities with at least one such
     row (= entities whose max score passes), as counts and shares of all rows, all entities
     and an external population (count, or a frame whose row count is used)."""
-    # One scan: rows per (entity, bin); row bins and per-entity max bins both derive from it
-    # (bins are monotone in the score, so the max bin is the bin of the max score).
-    eb = (
-        df.select(entity, _bin(F.col(score), thresholds, strict=False).alias("bin"))
-        .groupBy(entity, "bin")
-        .agg(F.count(F.lit(1)).alias("_n"))
+    # One scan and one shuffle (on the entity, after map-side partial aggregation): per entity,
+    # the rows passing each threshold and the highest bin reached (bins are monotone in the
+    # score, so that is the bin of the max score). One global aggregate then gives every
+    # threshold at once; no branch of the plan is evaluated twice.
+    k = len(thresholds)
+    b = F.col("_bin")
+    per = (
+        df.select(entity, _bin(F.col(score), thresholds, strict=False).alias("_bin"))
+        .groupBy(entity)
+        .agg(
+            F.max(b).alias("_mb"),
+            F.count(F.lit(1)).alias("_rt"),
+            *[F.count(F.when(b > i, F.lit(1))).alias(f"_r{i}") for i in range(k)],
+        )
     )
-    row_bins = eb.groupBy("bin").agg(F.sum("_n").alias("rows"), F.lit(0).cast("long").alias("ents"))
-    ent_bins = (
-        eb.groupBy(entity)
-        .agg(F.max("bin").alias("bin"))
-        .groupBy("bin")
-        .agg(F.lit(0).cast("long").alias("rows"), F.count(F.lit(1)).alias("ents"))
+    tot = per.agg(
+        F.coalesce(F.sum("_rt"), F.lit(0)).cast("long").alias("total_rows"),
+        F.count(F.lit(1)).alias("total_entities"),
+        *[F.coalesce(F.sum(f"_r{i}"), F.lit(0)).cast("long").alias(f"_nr{i}") for i in range(k)],
+        *[F.count(F.when(F.col("_mb") > i, F.lit(1))).alias(f"_ne{i}") for i in range(k)],
     )
-    bins = row_bins.unionByName(ent_bins)
-    th = _threshold_table(df, thresholds)
-    passed = F.col("bin") > F.col("th_index")
-    g = bins.crossJoin(F.broadcast(th)).groupBy("th_index", "threshold").agg(
-        F.sum(F.when(passed, F.col("rows")).otherwise(0)).cast("long").alias("n_rows"),
-        F.sum(F.when(passed, F.col("ents")).otherwise(0)).cast("long").alias("n_entities"),
-        F.sum("rows").cast("long").alias("total_rows"),
-        F.sum("ents").cast("long").alias("total_entities"),
+    rows = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(float(t)).alias("threshold"),
+                    F.col(f"_nr{i}").alias("n_rows"),
+                    F.col(f"_ne{i}").alias("n_entities"),
+                )
+                for i, t in enumerate(thresholds)
+            ]
+        )
+    )
+    g = tot.select("total_rows", "total_entities", rows.alias("_t")).select(
+        "_t.threshold", "_t.n_rows", "_t.n_entities", "total_rows", "total_entities"
     )
     if isinstance(population, DataFrame):
         pop = population.agg(F.count(F.lit(1)).alias("population"))
