@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from keelson.functions.numeric import share
 from keelson.operators.counts import multi_value_counts
 from keelson.operators.filters import require_features
+from keelson.operators.ordered import top_k_per_group
 from keelson.operators.quantiles import dense_map_approx, dense_map_exact, percentiles_midpoint
 from keelson.operators.sampling import sample_to_cap
 
@@ -133,9 +134,9 @@ def feature_profile(
     if sparse:
         counts = multi_value_counts(df, sparse)
         totals = counts.groupBy("feature").agg(F.sum("cnt").alias("_n"))
-        # Filtering on the raw row number lets Spark keep only top_n rows per feature in
-        # each task before the shuffle (window group limit).
-        top = counts.withColumn("_rn", F.row_number().over(_by_freq())).where(F.col("_rn") <= top_n)
+        # Exact top-n per feature, bounded per task however many distinct values a column has.
+        order = [F.col("cnt").desc(), F.col("value").asc_nulls_last()]
+        top = top_k_per_group(counts, ["feature"], order, top_n, rank="_rn")
         top = top.withColumn("position", F.col("_rn").cast("long"))
         parts.append(
             top.join(F.broadcast(totals), "feature").select(

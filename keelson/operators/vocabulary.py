@@ -11,7 +11,8 @@ So the length never changes. Values are compared null-safely and must be unique
 Plan: semi / anti joins on (feature, value), gap ranks by position, candidate ranks by
 frequency, and an equi-join on (feature, rank). Only the first ``L - 1`` candidates of a feature
 can fill a gap, so candidate ranking is a top-k per feature (Spark's window group limit keeps
-at most k rows per feature in each task before the shuffle), whatever the column's cardinality.
+at most k rows per feature and hash bucket before ranking per feature), whatever the column's
+cardinality.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.operators.counts import multi_value_counts
+from keelson.operators.ordered import top_k_per_group
 
 
 def _ns_join(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -47,8 +49,8 @@ def vocabulary_merge(old: DataFrame, new: DataFrame) -> DataFrame:
 
     # Largest vocabulary length: a scalar from the (small) old vocabulary table.
     k = old.agg(F.max("_L")).first()[0] or 1
-    by_freq = Window.partitionBy("feature").orderBy(F.col("cnt").desc(), F.col("value").asc_nulls_last())
-    ranked = remaining.withColumn("_r", F.row_number().over(by_freq)).where(F.col("_r") <= k - 1)
+    by_freq = [F.col("cnt").desc(), F.col("value").asc_nulls_last()]
+    ranked = top_k_per_group(remaining, ["feature"], by_freq, max(k - 1, 0), rank="_r")
     gap_rank = gaps.withColumn("_r", F.row_number().over(Window.partitionBy("feature").orderBy("position")))
     cand = ranked.select("feature", "_r", F.col("value").alias("_new"), F.lit(True).alias("_hit"))
     fill = gap_rank.join(cand, ["feature", "_r"], "left")
