@@ -119,3 +119,8 @@ FROM (SELECT * FROM counts ORDER BY cnt DESC, l_partkey ASC NULLS LAST LIMIT 10)
 @register("value_topk", _TOPK_SQL)
 def q_value_topk(spark, sf_dir):
     return C.value_topk(table(spark, sf_dir, "lineitem"), "l_partkey", 10)
+
+
+@register("distinct_values", FEED + "SELECT DISTINCT did FROM feed")
+def q_distinct_values(spark, sf_dir):
+    return C.distinct_values(feed(spark, sf_dir), "did")

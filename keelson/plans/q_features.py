@@ -266,3 +266,23 @@ _REFRESH_NEW = """fresh AS (
 def q_vocabulary_refresh(spark, sf_dir):
     recent = table(spark, sf_dir, "part").where(F.col("p_size") > 40)
     return V.vocabulary_refresh(recent, ["p_brand"], vocab_old(spark, sf_dir))
+
+
+# --- map persistence (write, read back) -----------------------------------------------------
+@register(
+    "write_feature_map",
+    "WITH " + _FMAP_CTES + "SELECT kind, count(*) AS entries FROM fmap GROUP BY kind",
+)
+def q_write_feature_map(spark, sf_dir):
+    from keelson.sources.sinks import scratch_path, write_feature_map
+
+    path = write_feature_map(_line_map(spark, sf_dir), scratch_path(spark, "feature_map"))
+    return spark.read.parquet(path).groupBy("kind").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@register("read_feature_map", "WITH " + _FMAP_CTES + "SELECT * FROM fmap")
+def q_read_feature_map(spark, sf_dir):
+    from keelson.sources.sinks import read_feature_map, scratch_path, write_feature_map
+
+    path = write_feature_map(_line_map(spark, sf_dir), scratch_path(spark, "feature_map"))
+    return read_feature_map(spark, path)
