@@ -6,12 +6,16 @@ agree on every pattern, which is why patterns avoid ``\\s``, ``\\b`` and ``$`` (
 differs between the two engines) and use explicit classes, ``\\A`` and ``\\z`` instead.
 
 Step kinds: ``("re", pattern, replacement)`` for a global regex replace,
-``("lit", text, replacement)`` for a literal replace. Group references in replacements are
-written ``{1}`` and rendered per engine (``$1`` in Java, ``\\1`` in RE2).
+``("lit", text, replacement)`` for a literal replace, and ``("gate", needle, steps)`` for a group
+of steps that can only match when the text contains ``needle`` (all tag patterns need ``<``, all
+entities ``&``): Spark skips the group for other rows, the SQL text applies it unconditionally,
+and the results are the same. Group references in replacements are written ``{1}`` and
+rendered per engine (``$1`` in Java, ``\\1`` in RE2).
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import Column
@@ -83,13 +87,12 @@ _TAGS = [("re", r"<[^>]*>", "")]
 _ENTITIES = [("lit", a, b) for a, b in ENTITIES]
 _BLANKS = [
     ("re", "[ \\t\\f\\r\\x0B]+", " "),
-    ("re", " ?\\n ?", "\n"),
-    ("re", "\\n{2,}", "\n"),
+    ("re", "(?: ?\\n ?)+", "\n"),
     ("re", "\\A[ \\n]+|[ \\n]+\\z", ""),
 ]
 
-STRIP_HTML_STEPS = _DROP_BLOCKS + _BREAKS + _TAGS + _ENTITIES + _BLANKS
-MARKDOWN_STEPS = _DROP_BLOCKS + _BREAKS + _MARKDOWN + _TAGS + _ENTITIES + _BLANKS
+STRIP_HTML_STEPS = [("gate", "<", _DROP_BLOCKS + _BREAKS + _TAGS), ("gate", "&", _ENTITIES)] + _BLANKS
+MARKDOWN_STEPS = [("gate", "<", _DROP_BLOCKS + _BREAKS + _MARKDOWN + _TAGS), ("gate", "&", _ENTITIES)] + _BLANKS
 MEDIA_STEPS = [("lit", IMAGE_PLACEHOLDER, "")] + [("re", p, "") for p in MEDIA_BLOCK_PATTERNS] + [
     ("re", "\\A[ \\n]+|[ \\n]+\\z", "")
 ]
@@ -101,7 +104,7 @@ def _java_repl(r: str) -> str:
     return re.sub(r"\{(\d)\}", r"$\1", r)
 
 
-def apply_steps(c: Column, steps) -> Column:
+def _plain(c: Column, steps) -> Column:
     for kind, pat, repl in steps:
         if kind == "re":
             c = F.regexp_replace(c, F.lit(pat), F.lit(_java_repl(repl)))
@@ -110,6 +113,33 @@ def apply_steps(c: Column, steps) -> Column:
     return c
 
 
+def apply_steps(c: Column, steps) -> Column:
+    """The chain as one expression. Gates are decided on the chain's input (a group that can
+    only match text containing its needle cannot match later text either, since no step adds
+    ``<`` or ``&`` before its group runs), giving one CASE branch per combination of needles;
+    the input appears once per branch, so pass a column reference, not a costly expression."""
+    gates = [pat for kind, pat, _ in steps if kind == "gate"]
+    if not gates:
+        return _plain(c, steps)
+    expr = None
+    for combo in itertools.product([True, False], repeat=len(gates)):
+        present = dict(zip(gates, combo))
+        flat = []
+        for kind, pat, repl in steps:
+            if kind == "gate":
+                if present[pat]:
+                    flat.extend(repl)
+            else:
+                flat.append((kind, pat, repl))
+        cond = None
+        for needle, yes in present.items():
+            term = c.contains(needle) if yes else ~c.contains(needle)
+            cond = term if cond is None else (cond & term)
+        branch = _plain(c, flat)
+        expr = F.when(cond, branch) if expr is None else expr.when(cond, branch)
+    return expr
+
+
 def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -122,7 +152,9 @@ def _re2_repl(r: str) -> str:
 def steps_sql(expr: str, steps) -> str:
     """DuckDB text of the same chain (for the oracle)."""
     for kind, pat, repl in steps:
-        if kind == "re":
+        if kind == "gate":
+            expr = steps_sql(expr, repl)
+        elif kind == "re":
             expr = f"regexp_replace({expr}, {_sql_str(pat)}, {_sql_str(_re2_repl(repl))}, 'g')"
         else:
             expr = f"replace({expr}, {_sql_str(pat)}, {_sql_str(repl)})"

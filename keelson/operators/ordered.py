@@ -37,8 +37,9 @@ def running_totals(
     partitions: int | None = None,
 ) -> DataFrame:
     """Adds ``cum_<w>`` (inclusive running sum in ascending ``order`` within ``by``) and
-    ``tot_<w>`` (group total) for each weight column. ``order`` must be unique within a group
-    (run it on a ``groupBy(by + [order])`` result)."""
+    ``tot_<w>`` (group total) for each weight column, and keeps the slice id ``_slice``
+    (rank lookups use it to touch only one slice per target). ``order`` must be unique within a
+    group (run it on a ``groupBy(by + [order])`` result)."""
     by = list(by)
     n = _partitions(df, partitions)
     ranged = df.repartitionByRange(n, *[F.col(c) for c in by], F.col(order)).withColumn(
@@ -64,6 +65,7 @@ def running_totals(
     joined = local.join(F.broadcast(offsets), [*by, "_slice"])
     return joined.select(
         *[c for c in df.columns],
+        "_slice",
         *[(F.col(f"_loc_{w}") + F.col(f"_off_{w}")).alias(f"cum_{w}") for w in weights],
         *[F.col(f"tot_{w}") for w in weights],
     )
@@ -80,21 +82,35 @@ def value_at_ranks(
 ) -> DataFrame:
     """For each target row, the ``value`` at each of its 0-based ranks.
 
-    ``cum`` holds distinct values per group ``by`` with ``cnt`` and ``cum_<cnt>`` from
+    ``cum`` holds distinct values per group ``by`` with ``cnt``, ``cum_<cnt>`` and ``_slice`` from
     ``running_totals``; ``targets`` holds ``by`` + ``keys`` (unique per row) + ``rank_cols``.
+    Each target rank is first placed in its slice (a join of two small tables: targets and
+    groups x slices ranges), then joined to the rows of that slice only, so every row of
+    ``cum`` is compared with the few targets of its own slice.
     Returns the target rows with one ``<rank_col>_value`` column per rank column.
     """
-    by = list(by)
+    by, keys = list(by), list(keys)
     hi = F.col(f"cum_{cnt}")
     lo = hi - F.col(cnt)
-    inside = {r: (lo <= F.col(r)) & (F.col(r) < hi) for r in rank_cols}
-    cond = None
-    for c in inside.values():
-        cond = c if cond is None else (cond | c)
-    # The target table has groups x quantiles rows, a size fixed by the caller.
-    hits = cum.select(*by, value, cnt, f"cum_{cnt}").join(F.broadcast(targets), by).where(cond)
+    stacked = targets.select(
+        *by,
+        *keys,
+        F.explode(
+            F.array(*[F.struct(F.lit(r).alias("_which"), F.col(r).cast("long").alias("_rank")) for r in rank_cols])
+        ).alias("_t"),
+    ).select(*by, *keys, "_t._which", "_t._rank")
+    ranges = cum.groupBy(*by, "_slice").agg(F.min(lo).alias("_lo"), F.max(hi).alias("_hi"))
+    rank = F.col("_rank")
+    placed = stacked.join(F.broadcast(ranges), by).where((rank >= F.col("_lo")) & (rank < F.col("_hi")))
+    placed = placed.drop("_lo", "_hi")
+    # targets x rank columns rows, a size fixed by the caller.
+    hits = (
+        cum.select(*by, "_slice", value, cnt, f"cum_{cnt}")
+        .join(F.broadcast(placed), [*by, "_slice"])
+        .where((lo <= rank) & (rank < hi))
+    )
     agg = hits.groupBy(*by, *keys).agg(
-        *[F.max(F.when(inside[r], F.col(value))).alias(f"{r}_value") for r in rank_cols]
+        *[F.max(F.when(F.col("_which") == r, F.col(value))).alias(f"{r}_value") for r in rank_cols]
     )
     return targets.join(agg, [*by, *keys], "left")
 

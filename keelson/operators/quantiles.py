@@ -1,9 +1,10 @@
 """Exact and approximate percentiles of many numeric columns in one plan, and dense feature maps.
 
-Columns are unpivoted into a long ``(feature, value)`` layout (cast to double; nulls and NaN
-dropped), reduced to distinct values with counts (map-side partial aggregation), ranked with
-``running_totals`` (range-partitioned, no single-task window), and looked up at the ranks each
-percentile needs. One job covers every feature.
+Columns are exploded into a long ``(fid, value)`` layout (integer feature index, value cast to
+double; nulls and NaN dropped), reduced to distinct values with counts (map-side partial
+aggregation), ranked once per feature with ``running_totals`` (range-partitioned, no single-task
+window), and looked up at the ranks each percentile needs. Positive-only percentiles reuse the
+same ranking, shifted past the values <= 0. One pass covers every feature.
 
 Midpoint rule (as NumPy ``method='midpoint'``): with ``q = p / 100`` and ``n`` values, the
 virtual index is ``v = (n - 1) * q`` in double precision; an integral ``v`` gives the value at
@@ -25,68 +26,96 @@ from keelson.operators.ordered import running_totals, value_at_ranks
 from keelson.operators.sampling import sample_to_cap
 
 DEFAULT_PERCENTILES = (0, 5, 25, 50, 75, 90, 95, 99, 100)
-BY = ["feature", "variant"]
+BY = ["fid"]
+VARIANTS = ("all", "positive")
 
 
-def numeric_long(df: DataFrame, columns: Sequence[str], positive_variant: bool = True) -> DataFrame:
-    """``(feature, variant, value)`` rows: every non-null, non-NaN value under variant ``all``
-    and, when ``positive_variant``, the values ``> 0`` again under ``positive``."""
+def numeric_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(fid, value)`` rows: feature index and value as double, nulls and NaN dropped."""
     cols = list(columns)
-    dbl = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    long = dbl.unpivot([], cols, "feature", "value").where(F.col("value").isNotNull() & ~F.isnan("value"))
-    if positive_variant:
-        variants = F.when(F.col("value") > 0, F.array(F.lit("all"), F.lit("positive"))).otherwise(
-            F.array(F.lit("all"))
-        )
-    else:
-        variants = F.array(F.lit("all"))
-    return long.select("feature", F.explode(variants).alias("variant"), "value")
+    pairs = F.array(*[F.struct(F.lit(i).alias("fid"), F.col(c).cast("double").alias("value")) for i, c in enumerate(cols)])
+    long = df.select(F.explode(pairs).alias("_p")).select("_p.fid", "_p.value")
+    return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def ranked_values(long: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Distinct values per (feature, variant) with ``cnt``, ``cum_cnt`` and ``tot_cnt``."""
-    vc = long.groupBy(*BY, "value").agg(F.count(F.lit(1)).alias("cnt"))
+    """Distinct values per feature with ``cnt``, ``cum_cnt``, ``tot_cnt`` and ``_slice``.
+
+    Only one ranking per feature is built: the positive-only ranks are the same ranks shifted
+    past the values <= 0, so no second copy of the positive values is shuffled.
+    """
+    vc = long.groupBy("fid", "value").agg(F.count(F.lit(1)).alias("cnt"))
     return running_totals(vc, BY, "value", ["cnt"], partitions)
 
 
+def _groups(cum: DataFrame, variants: Sequence[str]) -> DataFrame:
+    """``(fid, variant, n, skip)``: values in the variant and ranks to skip to reach it.
+    One row per feature and variant, bounded by the caller's column list."""
+    g = cum.groupBy("fid").agg(
+        F.max("tot_cnt").alias("n_all"),
+        F.coalesce(F.sum(F.when(F.col("value") <= 0, F.col("cnt"))), F.lit(0)).alias("n_nonpos"),
+    )
+    rows = []
+    if "all" in variants:
+        rows.append(F.struct(F.lit("all").alias("variant"), F.col("n_all").alias("n"), F.lit(0).cast("long").alias("skip")))
+    if "positive" in variants:
+        rows.append(
+            F.struct(
+                F.lit("positive").alias("variant"),
+                (F.col("n_all") - F.col("n_nonpos")).alias("n"),
+                F.col("n_nonpos").cast("long").alias("skip"),
+            )
+        )
+    return g.select("fid", F.explode(F.array(*rows)).alias("_g")).select("fid", "_g.*").where(F.col("n") > 0)
+
+
 def _percentile_table(percentiles: Sequence[float]) -> Column:
     return F.explode(
         F.array(*[F.struct(F.lit(float(p)).alias("percentile"), F.lit(float(p) / 100.0).alias("q")) for p in percentiles])
     )
 
 
-def _groups(cum: DataFrame) -> DataFrame:
-    # One row per (feature, variant): bounded by the caller's column list.
-    return cum.select(*BY, F.col("tot_cnt").alias("n")).dropDuplicates(BY)
+def _named(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    names = F.array(*[F.lit(c) for c in columns])
+    return df.withColumn("feature", F.element_at(names, F.col("fid") + 1)).drop("fid")
 
 
-def midpoint_percentiles(cum: DataFrame, percentiles: Sequence[float] = DEFAULT_PERCENTILES) -> DataFrame:
+def midpoint_percentiles(
+    cum: DataFrame, columns: Sequence[str], percentiles: Sequence[float] = DEFAULT_PERCENTILES,
+    variants: Sequence[str] = VARIANTS,
+) -> DataFrame:
     """``(feature, variant, percentile, value)`` by the midpoint rule from ``ranked_values``."""
-    g = _groups(cum).select(*BY, "n", _percentile_table(percentiles).alias("pq"))
+    g = _groups(cum, variants).select("fid", "variant", "n", "skip", _percentile_table(percentiles).alias("pq"))
     q = F.col("pq.q")
     v = (F.col("n") - 1).cast("double") * q
     fl = F.floor(v)
     targets = g.select(
-        *BY,
+        "fid",
+        "variant",
         F.col("pq.percentile").alias("percentile"),
         (v == fl).alias("integral"),
-        F.greatest(F.least(fl, F.col("n") - 1), F.lit(0)).cast("long").alias("lo_rank"),
-        F.greatest(F.least(fl + 1, F.col("n") - 1), F.lit(0)).cast("long").alias("hi_rank"),
+        (F.greatest(F.least(fl, F.col("n") - 1), F.lit(0)) + F.col("skip")).cast("long").alias("lo_rank"),
+        (F.greatest(F.least(fl + 1, F.col("n") - 1), F.lit(0)) + F.col("skip")).cast("long").alias("hi_rank"),
     )
-    found = value_at_ranks(cum, targets, BY, ["percentile"], "value", "cnt", ["lo_rank", "hi_rank"])
+    found = value_at_ranks(cum, targets, BY, ["variant", "percentile"], "value", "cnt", ["lo_rank", "hi_rank"])
     a, b = F.col("lo_rank_value"), F.col("hi_rank_value")
     value = F.when(F.col("integral"), a).otherwise(b - (b - a) * F.lit(0.5))
-    return found.select(*BY, "percentile", value.alias("value"))
+    return _named(found.select("fid", "variant", "percentile", value.alias("value")), columns).select(
+        "feature", "variant", "percentile", "value"
+    )
 
 
-def discrete_quantiles(cum: DataFrame, quantiles: Sequence[float]) -> DataFrame:
-    """``(feature, variant, quantile, value)``: the value at rank ``ceil(q*n) - 1``."""
+def discrete_quantiles(cum: DataFrame, columns: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
+    """``(feature, variant, quantile, value)`` over all values: the value at rank
+    ``ceil(q*n) - 1``."""
     qs = F.explode(F.array(*[F.lit(float(x)) for x in quantiles]))
-    g = _groups(cum).select(*BY, "n", qs.alias("quantile"))
+    g = _groups(cum, ["all"]).select("fid", "variant", "n", qs.alias("quantile"))
     rank = F.greatest(F.ceil(F.col("quantile") * F.col("n").cast("double")) - 1, F.lit(0)).cast("long")
-    targets = g.select(*BY, "quantile", rank.alias("rank"))
-    found = value_at_ranks(cum, targets, BY, ["quantile"], "value", "cnt", ["rank"])
-    return found.select(*BY, "quantile", F.col("rank_value").alias("value"))
+    targets = g.select("fid", "variant", "quantile", rank.alias("rank"))
+    found = value_at_ranks(cum, targets, BY, ["variant", "quantile"], "value", "cnt", ["rank"])
+    return _named(found.select("fid", "variant", "quantile", F.col("rank_value").alias("value")), columns).select(
+        "feature", "variant", "quantile", "value"
+    )
 
 
 def percentiles_midpoint(
@@ -98,8 +127,9 @@ def percentiles_midpoint(
     """Midpoint percentiles (0 = min, 50 = median, 100 = max) of each column, over all
     values (``variant='all'``) and over positive values only (``variant='positive'``; absent
     for a column with no positive value)."""
-    cum = ranked_values(numeric_long(df, columns), partitions)
-    return midpoint_percentiles(cum, percentiles)
+    cols = list(columns)
+    cum = ranked_values(numeric_long(df, cols), partitions)
+    return midpoint_percentiles(cum, cols, percentiles)
 
 
 def _maybe_cap(df: DataFrame, max_rows: int | None, key) -> DataFrame:
@@ -127,8 +157,8 @@ def dense_map_exact(
     ``max_rows`` optionally hash-samples the input down to that many rows first."""
     feats = require_features(df, features, ignore_missing)
     src = _maybe_cap(df.select(*feats), max_rows, key)
-    cum = ranked_values(numeric_long(src, feats), partitions).where(F.col("variant") == "positive")
-    p = midpoint_percentiles(cum, (5, 99))
+    cum = ranked_values(numeric_long(src, feats), partitions)
+    p = midpoint_percentiles(cum, feats, (5, 99), variants=("positive",))
     bounds = p.groupBy("feature").agg(
         F.max(F.when(F.col("percentile") == 5.0, F.col("value"))).alias("p5"),
         F.max(F.when(F.col("percentile") == 99.0, F.col("value"))).alias("p99"),
@@ -154,15 +184,15 @@ def dense_map_approx(
     feats = require_features(df, features, ignore_missing)
     src = _maybe_cap(df.select(*feats), max_rows, key)
     lo_q, hi_q = quantiles
-    long = numeric_long(src, feats, positive_variant=False)
+    long = numeric_long(src, feats)
     if rel_error > 0:
         acc = max(1, int(round(1.0 / rel_error)))
-        bounds = long.groupBy("feature").agg(
+        bounds = long.groupBy("fid").agg(
             F.percentile_approx("value", F.array(F.lit(lo_q), F.lit(hi_q)), acc).alias("qs")
         )
-        bounds = bounds.select("feature", F.col("qs")[0].alias("lo"), F.col("qs")[1].alias("hi"))
+        bounds = _named(bounds.select("fid", F.col("qs")[0].alias("lo"), F.col("qs")[1].alias("hi")), feats)
     else:
-        qv = discrete_quantiles(ranked_values(long, partitions), (lo_q, hi_q))
+        qv = discrete_quantiles(ranked_values(long, partitions), feats, (lo_q, hi_q))
         bounds = qv.groupBy("feature").agg(
             F.max(F.when(F.col("quantile") == lo_q, F.col("value"))).alias("lo"),
             F.max(F.when(F.col("quantile") == hi_q, F.col("value"))).alias("hi"),

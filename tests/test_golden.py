@@ -4,7 +4,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from keelson.functions.dates import date_shift, day_sequence
@@ -96,9 +95,11 @@ def test_percentiles_all_nonpositive_has_no_positive_variant(spark):
 def test_discrete_quantiles_match_spark_percentile_disc(spark):
     vals = [float(v) for v in [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8, 9, 7, 9]]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
-    cum = Q.ranked_values(Q.numeric_long(df, ["x"], positive_variant=False), partitions=4)
-    got = {r.quantile: r.value for r in Q.discrete_quantiles(cum, (0.1, 0.5, 0.95)).collect()}
-    want = df.agg(*[F.percentile_disc(F.lit(q), F.col("x")) if False else F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY x)").alias(str(q)) for q in (0.1, 0.5, 0.95)]).first()
+    cum = Q.ranked_values(Q.numeric_long(df, ["x"]), partitions=4)
+    got = {r.quantile: r.value for r in Q.discrete_quantiles(cum, ["x"], (0.1, 0.5, 0.95)).collect()}
+    want = df.agg(
+        *[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY x)").alias(str(q)) for q in (0.1, 0.5, 0.95)]
+    ).first()
     assert got == {0.1: want["0.1"], 0.5: want["0.5"], 0.95: want["0.95"]}
 
 
