@@ -40,16 +40,17 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "keels
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+    """The shared folder the cluster names in ``spark.checkpoint.dir``, read from the session.
 
-    Read from the session; a missing setting is an error rather than a silent fall-back to a
-    machine-local folder, which executors on other hosts could not read.
+    Only when the session has none (a local run or a test harness) is a scratch folder created
+    and registered as the checkpoint folder; a cluster's setting is never replaced.
     """
-    current = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not current:
-        raise RuntimeError("spark.checkpoint.dir is not set on this session")
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+        current = tempfile.mkdtemp(prefix="keelson-ckpt-", dir="/tmp")
+    sc.setCheckpointDir(current)
+    return sc.getCheckpointDir() or current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
