@@ -49,11 +49,8 @@ def outcome_funnel(
         F.count(F.when((F.col("e") > 0) & (F.col("v") == 0), one)).alias("error_only_entities"),
     )
     pop = _population_count(population)
-    if isinstance(pop, DataFrame):
-        totals = totals.crossJoin(F.broadcast(pop))  # one row by construction
-        pop_col = F.col("population")
-    else:
-        pop_col = F.lit(pop).cast("long")
+    # An external population frame enters as a scalar subquery (one value, no join).
+    pop_col = pop.scalar() if isinstance(pop, DataFrame) else F.lit(pop).cast("long")
     return totals.select(
         "total_rows",
         "total_entities",
@@ -86,7 +83,10 @@ def outcome_funnel_by_code(
         F.max((c == 0).cast("int")).over(by_entity).alias("has_valid"),
         (F.row_number().over(by_entity.orderBy(c.asc_nulls_first())) == 1).cast("long").alias("first"),
     )
-    totals = per.agg(F.sum("n").alias("total_rows"), F.sum("first").alias("total_entities"))
+    # Totals as one scalar subquery over the same per-entity table (its exchanges are reused).
+    totals = per.agg(
+        F.struct(F.sum("n").alias("total_rows"), F.sum("first").alias("total_entities"))
+    ).scalar()
     by_code = (
         per.where(c > 0)
         .groupBy(code)
@@ -96,12 +96,13 @@ def outcome_funnel_by_code(
             F.count(F.when(F.col("has_valid") == 0, F.lit(1))).alias("never_valid_entities"),
         )
     )
-    return by_code.crossJoin(F.broadcast(totals)).select(
+    total_rows, total_entities = totals["total_rows"], totals["total_entities"]
+    return by_code.select(
         code,
         "n_rows",
-        share("n_rows", "total_rows", digits).alias("row_share"),
+        share("n_rows", total_rows, digits).alias("row_share"),
         "n_entities",
-        share("n_entities", "total_entities", digits).alias("entity_share"),
+        share("n_entities", total_entities, digits).alias("entity_share"),
         "never_valid_entities",
-        share("never_valid_entities", "total_entities", digits).alias("never_valid_share"),
+        share("never_valid_entities", total_entities, digits).alias("never_valid_share"),
     )

@@ -76,9 +76,9 @@ def balance_to_ratio(
     """Downsample whichever of the 0/1 classes exceeds the wanted ``neg:pos`` ratio."""
     counts = _label_counts(df, label)
     neg_frac, pos_frac = _binary_fractions(F.col("_pos"), F.col("_neg"), rate)
-    fr = counts.select(neg_frac.alias("_neg_frac"), pos_frac.alias("_pos_frac"))
-    hashed = df.withColumn("_u", _u(key, seed))
-    return hashed.crossJoin(F.broadcast(fr)).where(_keep_binary(label)).drop(*_TMP)
+    fr = counts.select(F.struct(neg_frac.alias("neg"), pos_frac.alias("pos"))).scalar()
+    hashed = df.select("*", _u(key, seed).alias("_u"), fr["neg"].alias("_neg_frac"), fr["pos"].alias("_pos_frac"))
+    return hashed.where(_keep_binary(label)).drop(*_TMP)
 
 
 def balance_by_fractions(
@@ -110,9 +110,9 @@ def balance_to_minority(df: DataFrame, label: str, key=None, seed: int | str = S
         keep = (lab == F.lit(base[label])) | (_u(key, seed) < frac)
         return df.where(lab.isNotNull() & keep)
     # Many classes: join per-class fractions (a shuffle join, or broadcast if AQE finds it small).
-    base = counts.orderBy("_cnt", label).limit(1).select(F.col("_cnt").alias("_min"), F.col(label).alias("_base"))
-    fr = counts.crossJoin(F.broadcast(base)).select(
-        label, F.when(F.col(label) == F.col("_base"), 1.0).otherwise(F.col("_min") / F.col("_cnt")).alias("_frac")
+    base = counts.orderBy("_cnt", label).limit(1).select(F.struct(F.col("_cnt").alias("m"), F.col(label).alias("b"))).scalar()
+    fr = counts.select(
+        label, F.when(F.col(label) == base["b"], 1.0).otherwise(base["m"] / F.col("_cnt")).alias("_frac")
     )
     return df.withColumn("_u", _u(key, seed)).join(fr, label).where(F.col("_u") < F.col("_frac")).drop(*_TMP)
 
@@ -132,11 +132,9 @@ def sample_to_cap(
         return df
     if n is not None:
         return df if max_n >= n else sample_fraction(df, float(max_n) / float(n), key, seed)
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
-    frac = F.when(F.col("_n") > max_n, F.lit(float(max_n)) / F.col("_n").cast("double")).otherwise(F.lit(None))
-    total = total.select(frac.alias("_frac"))
-    keep = F.col("_frac").isNull() | (F.col("_u") < F.col("_frac"))
-    return df.withColumn("_u", _u(key, seed)).crossJoin(F.broadcast(total)).where(keep).drop(*_TMP)
+    total = df.agg(F.count(F.lit(1))).scalar()
+    frac = F.when(total > max_n, F.lit(float(max_n)) / total.cast("double"))
+    return df.where(frac.isNull() | (_u(key, seed) < frac))
 
 
 def balance_then_sample(

@@ -32,9 +32,10 @@ def _bin(score: Column, thresholds: Sequence[float], strict: bool) -> Column:
     return total
 
 
-def _threshold_table(df: DataFrame, thresholds: Sequence[float]) -> DataFrame:
-    rows = [(i, float(t)) for i, t in enumerate(thresholds)]
-    return df.sparkSession.createDataFrame(rows, "th_index int, threshold double")
+def _threshold_list(thresholds: Sequence[float]) -> Column:
+    """Generator of ``(th_index, threshold)`` rows from the literal list."""
+    pairs = [F.struct(F.lit(i).alias("th_index"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(thresholds)]
+    return F.inline(F.array(*pairs))
 
 
 def auc(df: DataFrame, score: str = "predict", label: str = "label", digits: int = 4,
@@ -84,9 +85,9 @@ def threshold_confusion(
         .agg(F.sum("y").cast("long").alias("p"), F.count(F.lit(1)).alias("n"))
     )
     # Bin b passes thresholds 0..b-1, so it is predicted positive at threshold i iff b > i.
-    th = _threshold_table(df, thresholds)
+    # Each of the <= 22 bin rows is paired with the literal threshold list (no join).
     pred = F.col("bin") > F.col("th_index")
-    g = bins.crossJoin(F.broadcast(th)).groupBy("th_index", "threshold").agg(
+    g = bins.select("*", _threshold_list(thresholds)).groupBy("th_index", "threshold").agg(
         F.sum(F.when(pred, F.col("p")).otherwise(0)).cast("long").alias("tp"),
         F.sum(F.when(pred, F.col("n") - F.col("p")).otherwise(0)).cast("long").alias("fp"),
         F.sum(F.when(~pred, F.col("p")).otherwise(0)).cast("long").alias("fn"),
@@ -151,9 +152,7 @@ def threshold_penetration(
         "_t.threshold", "_t.n_rows", "_t.n_entities", "total_rows", "total_entities"
     )
     if isinstance(population, DataFrame):
-        pop = population.agg(F.count(F.lit(1)).alias("population"))
-        g = g.crossJoin(F.broadcast(pop))
-        pop_col = F.col("population")
+        pop_col = population.agg(F.count(F.lit(1))).scalar()
     else:
         pop_col = F.lit(population).cast("long")
     return g.select(
