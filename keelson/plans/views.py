@@ -78,15 +78,11 @@ def vocab_counts(spark: SparkSession, sf_dir: str, small: bool) -> DataFrame:
 def vocab_old(spark: SparkSession, sf_dir: str, slots: int = 10) -> DataFrame:
     """Positional vocabulary: the top ``slots`` small-part brands plus the next one as the
     reserved last slot."""
-    from pyspark.sql import Window
+    from keelson.operators.ordered import top_k_per_group
 
-    w = Window.partitionBy("feature").orderBy(F.col("cnt").desc(), F.col("value").asc_nulls_last())
-    return (
-        vocab_counts(spark, sf_dir, small=True)
-        .withColumn("position", F.row_number().over(w).cast("long"))
-        .where(F.col("position") <= slots + 1)
-        .select("feature", "position", "value")
-    )
+    order = [F.col("cnt").desc(), F.col("value").asc_nulls_last()]
+    top = top_k_per_group(vocab_counts(spark, sf_dir, small=True), ["feature"], order, slots + 1, rank="_r")
+    return top.select("feature", F.col("_r").cast("long").alias("position"), "value")
 
 
 def vocab_new(spark: SparkSession, sf_dir: str) -> DataFrame:

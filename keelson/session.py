@@ -53,11 +53,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or current
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/keelson-out/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder."""
+    """A fresh folder under this application's scratch folder."""
     import uuid
 
-    return f"{checkpoint_dir(spark).rstrip('/')}/keelson-out/{uuid.uuid4().hex}/{name}"
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables (call once no DataFrame reads them),
+    through the Hadoop file system of the checkpoint folder, so it works on any storage."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        fs.delete(path, True)
 
 
 def materialize(df, name: str):

@@ -229,3 +229,44 @@ def test_dates_edges(spark):
     assert rows[0].days == ["20240228", "20240229", "20240301"]
     assert rows[1].days == ["20231231"] and rows[1].fwd == "20241231"
     assert rows[2].days == [] and rows[2].back == "20240104"
+
+
+# --- skew: one key holds a third of all rows ------------------------------------------------
+def test_hot_session_and_hot_entity_against_brute_force(spark):
+    import pandas as pd
+
+    from keelson.operators import outcomes as O
+
+    rng = np.random.default_rng(11)
+    n = 3000
+    sessions = np.where(rng.random(n) < 1 / 3, "HOT", np.array([f"s{i % 200}" for i in range(n)]))
+    sessions = np.where(rng.random(n) < 0.05, None, sessions)
+    values = rng.random(n) * 100
+    codes = rng.choice([0, 401, 402], n, p=[0.2, 0.5, 0.3])
+    pdf = pd.DataFrame({"session_id": sessions, "value": values, "error_code": codes})
+    df = spark.createDataFrame(pdf).repartition(6)
+    # anti join: sessions with any value < 0.5 go; null sessions stay
+    bad = set(pdf.loc[pdf.value < 0.5, "session_id"].dropna())
+    want = int((~pdf.session_id.isin(bad) | pdf.session_id.isna()).sum())
+    assert S.drop_sessions_below(df, "value", 0.5).count() == want
+    # per-code funnel with the hot entity and a null entity
+    got = {r.error_code: (r.n_rows, r.n_entities, r.never_valid_entities) for r in O.outcome_funnel_by_code(df, "session_id").collect()}
+    key = pdf.session_id.fillna("<null>")
+    valid = set(key[pdf.error_code == 0])
+    for c in (401, 402):
+        ents = set(key[pdf.error_code == c])
+        assert got[c] == (int((pdf.error_code == c).sum()), len(ents), len(ents - valid))
+
+
+def test_topk_per_group_exact_with_hot_group(spark):
+    from keelson.operators.ordered import top_k_per_group
+
+    rows = [("hot", f"v{i:05d}", i % 97) for i in range(5000)] + [("cold", f"w{i}", i) for i in range(7)]
+    df = spark.createDataFrame(rows, "g string, value string, cnt long")
+    got = top_k_per_group(df, ["g"], [F.col("cnt").desc(), F.col("value").asc()], 5, salts=16).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.g, []).append((r._rank, r.value))
+    want_hot = sorted(((-c, v) for _, v, c in rows if _ == "hot"))[:5]
+    assert [v for _, v in sorted(by["hot"])] == [v for _, v in want_hot]
+    assert len(by["cold"]) == 5

@@ -68,3 +68,15 @@ def test_partitioned_range_scan_prunes_and_coverage(spark):
     assert missing == ["20231231"]
     present = {r.dt: r.present for r in P.partition_present(root, ["20240101", "20240201"], spark=spark).collect()}
     assert present == {"20240101": True, "20240201": False}
+
+
+def test_clear_scratch_removes_this_applications_tables(spark):
+    from keelson.session import clear_scratch, materialize, scratch_root
+
+    t = materialize(spark.range(5), "probe")
+    assert t.count() == 5
+    root = scratch_root(spark)
+    clear_scratch(spark)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
