@@ -60,8 +60,17 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
 
 
-def distinct_entities(df: DataFrame, column: str) -> DataFrame:
-    """D3 count: one row ``(n_entities)``, the null group counted once."""
+def distinct_entities(df: DataFrame, column: str, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """D3 count: one row ``(n_entities)``, the null group counted once.
+
+    ``approx=True`` uses a HyperLogLog++ sketch (relative standard deviation ``rsd``) instead
+    of a distinct shuffle; the null group is added when present, as in the exact count.
+    """
+    if approx:
+        c = F.col(column)
+        return df.agg(
+            (F.approx_count_distinct(c, rsd) + F.max(c.isNull().cast("int"))).cast("long").alias("n_entities")
+        )
     return df.select(column).distinct().agg(F.count(F.lit(1)).alias("n_entities"))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions.numeric import share
 from keelson.operators.sampling import balance_then_sample, with_split
+from keelson.session import materialize
 
 
 def feature_importance(
@@ -35,7 +36,10 @@ def feature_importance(
     feats = list(features)
     data = df.select(*feats, F.col(label).cast("double").alias("_label"), *([key] if isinstance(key, str) else []))
     data = data.where(F.col("_label").isin(0.0, 1.0))
-    split = with_split(data, weights, key=key)
+    # The fit runs many jobs over its input; write the split rows once to the shared scratch
+    # folder so sampling subqueries and the scan are not repeated per job (and so the fit and
+    # the test scoring see one evaluation).
+    split = materialize(with_split(data, weights, key=key), "importance_input")
     assembler = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="skip")
     train = assembler.transform(split.where(F.col("split") == "train"))
     test = assembler.transform(split.where(F.col("split") == "test"))

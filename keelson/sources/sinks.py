@@ -47,14 +47,19 @@ def write_train_test(
         split = split.coalesce(partitions)
     if layout == "partitioned":
         out, obs = _observed(split, "write_train_test", "split")
+        length_obs = None
         if length_column:
+            length_obs = Observation("input_length")
             out = out.observe(
-                Observation("input_length"),
+                length_obs,
                 F.min(F.size(length_column)).alias("min_len"),
                 F.max(F.size(length_column)).alias("max_len"),
             )
         out.write.mode("overwrite").partitionBy("split").parquet(base)
-        return {"paths": {"train": f"{base}/split=train", "test": f"{base}/split=test"}, "metrics": obs.get}
+        metrics = dict(obs.get)
+        if length_obs is not None:
+            metrics.update(length_obs.get)
+        return {"paths": {"train": f"{base}/split=train", "test": f"{base}/split=test"}, "metrics": metrics}
     if layout == "two_paths":
         paths, metrics = {}, {}
         for part in ("train", "test"):

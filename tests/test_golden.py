@@ -270,3 +270,11 @@ def test_topk_per_group_exact_with_hot_group(spark):
     want_hot = sorted(((-c, v) for _, v, c in rows if _ == "hot"))[:5]
     assert [v for _, v in sorted(by["hot"])] == [v for _, v in want_hot]
     assert len(by["cold"]) == 5
+
+
+def test_distinct_entities_approx_is_close_and_counts_null(spark):
+    df = spark.range(20000).select(F.when(F.col("id") % 10 == 0, None).otherwise(F.col("id") % 5000).alias("d"))
+    exact = C.distinct_entities(df, "d").first().n_entities
+    approx = C.distinct_entities(df, "d", approx=True).first().n_entities
+    assert exact == 4501  # residues mod 5000 that are not multiples of 10, plus the null group
+    assert abs(approx - exact) <= 0.05 * exact

@@ -80,3 +80,9 @@ def test_clear_scratch_removes_this_applications_tables(spark):
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_write_train_test_reports_input_length(spark):
+    f = feed(spark, SF_SMALL).withColumn("input_data", F.array(F.col("value"), F.col("predict")))
+    res = write_train_test(f, scratch_path(spark, "len"), key="event_id", length_column="input_data", mode="none")
+    assert res["metrics"]["min_len"] == 2 and res["metrics"]["max_len"] == 2
