@@ -8,9 +8,9 @@ so its size is bounded by groups x partitions and it can be broadcast). The slic
 written once to the shared checkpoint folder so the offsets and the rows they apply to come
 from the same evaluation of the range partitioning.
 
-``value_at_ranks`` then finds, for target ranks, the value whose cumulative-count interval
-contains the rank: an equi-join on the group plus a range condition, against a target table
-whose size is fixed by the caller (groups x quantiles).
+``running_totals`` gives every row its running sum (AUC needs all of them). When only a few
+ranks are wanted (percentiles), ``sliced_counts`` + ``select_at_ranks`` place each rank in its
+slice from the slice table and order only the touched slices.
 """
 
 from __future__ import annotations
@@ -71,50 +71,6 @@ def running_totals(
     )
 
 
-def value_at_ranks(
-    cum: DataFrame,
-    targets: DataFrame,
-    by: Sequence[str],
-    keys: Sequence[str],
-    value: str,
-    cnt: str,
-    rank_cols: Sequence[str],
-) -> DataFrame:
-    """For each target row, the ``value`` at each of its 0-based ranks.
-
-    ``cum`` holds distinct values per group ``by`` with ``cnt``, ``cum_<cnt>`` and ``_slice`` from
-    ``running_totals``; ``targets`` holds ``by`` + ``keys`` (unique per row) + ``rank_cols``.
-    Each target rank is first placed in its slice (a join of two small tables: targets and
-    groups x slices ranges), then joined to the rows of that slice only, so every row of
-    ``cum`` is compared with the few targets of its own slice.
-    Returns the target rows with one ``<rank_col>_value`` column per rank column.
-    """
-    by, keys = list(by), list(keys)
-    hi = F.col(f"cum_{cnt}")
-    lo = hi - F.col(cnt)
-    stacked = targets.select(
-        *by,
-        *keys,
-        F.explode(
-            F.array(*[F.struct(F.lit(r).alias("_which"), F.col(r).cast("long").alias("_rank")) for r in rank_cols])
-        ).alias("_t"),
-    ).select(*by, *keys, "_t._which", "_t._rank")
-    ranges = cum.groupBy(*by, "_slice").agg(F.min(lo).alias("_lo"), F.max(hi).alias("_hi"))
-    rank = F.col("_rank")
-    placed = stacked.join(F.broadcast(ranges), by).where((rank >= F.col("_lo")) & (rank < F.col("_hi")))
-    placed = placed.drop("_lo", "_hi")
-    # targets x rank columns rows, a size fixed by the caller.
-    hits = (
-        cum.select(*by, "_slice", value, cnt, f"cum_{cnt}")
-        .join(F.broadcast(placed), [*by, "_slice"])
-        .where((lo <= rank) & (rank < hi))
-    )
-    agg = hits.groupBy(*by, *keys).agg(
-        *[F.max(F.when(F.col("_which") == r, F.col(value))).alias(f"{r}_value") for r in rank_cols]
-    )
-    return targets.join(agg, [*by, *keys], "left")
-
-
 def top_k_per_group(
     df: DataFrame,
     by: Sequence[str],
@@ -140,3 +96,79 @@ def top_k_per_group(
     kept = salted.withColumn("_r1", F.row_number().over(first)).where(F.col("_r1") <= k).drop("_salt", "_r1")
     second = Window.partitionBy(*by).orderBy(*order)
     return kept.withColumn(rank, F.row_number().over(second)).where(F.col(rank) <= k)
+
+
+def sliced_counts(
+    df: DataFrame, by: Sequence[str], order: str, weight: str, partitions: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Range-slice ``df`` (distinct ``order`` values per group with a ``weight`` count) and
+    write it once to the shared checkpoint folder.
+
+    Returns ``(table, slices)``: the written rows with their ``_slice``, and one row per group
+    and slice with the slice's weight ``_sw``, the weight of earlier slices ``_off``, and the
+    group total ``_tot`` (groups x slices rows, a size fixed by the caller and the partition
+    count). No running sum over all rows is built: ``select_at_ranks`` orders only the slices
+    that hold a wanted rank.
+    """
+    by = list(by)
+    n = _partitions(df, partitions)
+    ranged = df.repartitionByRange(n, *[F.col(c) for c in by], F.col(order)).withColumn(
+        "_slice", F.spark_partition_id()
+    )
+    table = materialize(ranged, "sliced_counts")
+    per = table.groupBy(*by, "_slice").agg(F.sum(weight).alias("_sw"))
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    slices = per.select(
+        *by,
+        "_slice",
+        "_sw",
+        F.coalesce(F.sum("_sw").over(before), F.lit(0)).alias("_off"),
+        F.sum("_sw").over(whole).alias("_tot"),
+    )
+    return table, slices
+
+
+def select_at_ranks(
+    table: DataFrame,
+    slices: DataFrame,
+    targets: DataFrame,
+    by: Sequence[str],
+    keys: Sequence[str],
+    order: str,
+    weight: str,
+    rank_cols: Sequence[str],
+) -> DataFrame:
+    """For each target row (``by`` + ``keys`` + 0-based ``rank_cols``), the ``order`` value at
+    each rank, from the output of ``sliced_counts``.
+
+    Each rank is placed in its slice using the small slice table; only the rows of touched
+    slices are read and ordered (a window per touched slice, each slice being one range
+    partition's share of the group), and matched to the ranks placed there.
+    """
+    by, keys = list(by), list(keys)
+    stacked = targets.select(
+        *by,
+        *keys,
+        F.explode(
+            F.array(*[F.struct(F.lit(r).alias("_which"), F.col(r).cast("long").alias("_rank")) for r in rank_cols])
+        ).alias("_t"),
+    ).select(*by, *keys, "_t._which", "_t._rank")
+    rank = F.col("_rank")
+    placed = (
+        stacked.join(F.broadcast(slices), by)
+        .where((rank >= F.col("_off")) & (rank < F.col("_off") + F.col("_sw")))
+        .select(*by, *keys, "_which", "_rank", "_slice", "_off")
+    )
+    touched = placed.select(*by, "_slice").distinct()
+    # targets x rank columns rows: a size fixed by the caller.
+    sub = table.join(F.broadcast(touched), [*by, "_slice"])
+    w = Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = sub.select(*by, "_slice", order, weight, F.sum(weight).over(w).alias("_loc"))
+    hi = F.col("_off") + F.col("_loc")
+    lo = hi - F.col(weight)
+    hits = local.join(F.broadcast(placed), [*by, "_slice"]).where((lo <= rank) & (rank < hi))
+    agg = hits.groupBy(*by, *keys).agg(
+        *[F.max(F.when(F.col("_which") == r, F.col(order))).alias(f"{r}_value") for r in rank_cols]
+    )
+    return targets.join(agg, [*by, *keys], "left")

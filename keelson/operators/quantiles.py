@@ -2,9 +2,11 @@
 
 Columns are exploded into a long ``(fid, value)`` layout (integer feature index, value cast to
 double; nulls and NaN dropped), reduced to distinct values with counts (map-side partial
-aggregation), ranked once per feature with ``running_totals`` (range-partitioned, no single-task
-window), and looked up at the ranks each percentile needs. Positive-only percentiles reuse the
-same ranking, shifted past the values <= 0. One pass covers every feature.
+aggregation), range-sliced and written once (``sliced_counts``), and looked up at the ranks each
+percentile needs: a rank is placed in its slice from the small slice table, and only the touched
+slices are ordered (``select_at_ranks``), so the distinct values are shuffled twice (aggregate,
+range slice) and never sorted as a whole. Positive-only percentiles reuse the same ranking,
+shifted past the values <= 0. One pass covers every feature.
 
 Midpoint rule (as NumPy ``method='midpoint'``): with ``q = p / 100`` and ``n`` values, the
 virtual index is ``v = (n - 1) * q`` in double precision; an integral ``v`` gives the value at
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.operators.filters import require_features
-from keelson.operators.ordered import running_totals, value_at_ranks
+from keelson.operators.ordered import select_at_ranks, sliced_counts
 from keelson.operators.sampling import sample_to_cap
 
 DEFAULT_PERCENTILES = (0, 5, 25, 50, 75, 90, 95, 99, 100)
@@ -38,23 +40,32 @@ def numeric_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def ranked_values(long: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Distinct values per feature with ``cnt``, ``cum_cnt``, ``tot_cnt`` and ``_slice``.
+class Ranked:
+    """Distinct values per feature, range-sliced and written once, with the slice table and
+    per-feature sizes (all values, and values <= 0 for the positive-only variant)."""
+
+    def __init__(self, long: DataFrame, partitions: int | None = None):
+        vc = long.groupBy("fid", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        self.table, self.slices = sliced_counts(vc, BY, "value", "cnt", partitions)
+        self.sizes = self.table.groupBy("fid").agg(
+            F.sum("cnt").alias("n_all"),
+            F.coalesce(F.sum(F.when(F.col("value") <= 0, F.col("cnt"))), F.lit(0)).alias("n_nonpos"),
+        )
+
+    def values_at(self, targets: DataFrame, keys: Sequence[str], rank_cols: Sequence[str]) -> DataFrame:
+        return select_at_ranks(self.table, self.slices, targets, BY, keys, "value", "cnt", rank_cols)
 
-    Only one ranking per feature is built: the positive-only ranks are the same ranks shifted
-    past the values <= 0, so no second copy of the positive values is shuffled.
-    """
-    vc = long.groupBy("fid", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    return running_totals(vc, BY, "value", ["cnt"], partitions)
 
+def ranked_values(long: DataFrame, partitions: int | None = None) -> Ranked:
+    """Rank structure over ``(fid, value)`` rows. Only one ranking per feature is built: the
+    positive-only ranks are the same ranks shifted past the values <= 0."""
+    return Ranked(long, partitions)
 
-def _groups(cum: DataFrame, variants: Sequence[str]) -> DataFrame:
+
+def _groups(ranked: Ranked, variants: Sequence[str]) -> DataFrame:
     """``(fid, variant, n, skip)``: values in the variant and ranks to skip to reach it.
     One row per feature and variant, bounded by the caller's column list."""
-    g = cum.groupBy("fid").agg(
-        F.max("tot_cnt").alias("n_all"),
-        F.coalesce(F.sum(F.when(F.col("value") <= 0, F.col("cnt"))), F.lit(0)).alias("n_nonpos"),
-    )
+    g = ranked.sizes
     rows = []
     if "all" in variants:
         rows.append(F.struct(F.lit("all").alias("variant"), F.col("n_all").alias("n"), F.lit(0).cast("long").alias("skip")))
@@ -81,7 +92,7 @@ def _named(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def midpoint_percentiles(
-    cum: DataFrame, columns: Sequence[str], percentiles: Sequence[float] = DEFAULT_PERCENTILES,
+    cum: Ranked, columns: Sequence[str], percentiles: Sequence[float] = DEFAULT_PERCENTILES,
     variants: Sequence[str] = VARIANTS,
 ) -> DataFrame:
     """``(feature, variant, percentile, value)`` by the midpoint rule from ``ranked_values``."""
@@ -97,7 +108,7 @@ def midpoint_percentiles(
         (F.greatest(F.least(fl, F.col("n") - 1), F.lit(0)) + F.col("skip")).cast("long").alias("lo_rank"),
         (F.greatest(F.least(fl + 1, F.col("n") - 1), F.lit(0)) + F.col("skip")).cast("long").alias("hi_rank"),
     )
-    found = value_at_ranks(cum, targets, BY, ["variant", "percentile"], "value", "cnt", ["lo_rank", "hi_rank"])
+    found = cum.values_at(targets, ["variant", "percentile"], ["lo_rank", "hi_rank"])
     a, b = F.col("lo_rank_value"), F.col("hi_rank_value")
     value = F.when(F.col("integral"), a).otherwise(b - (b - a) * F.lit(0.5))
     return _named(found.select("fid", "variant", "percentile", value.alias("value")), columns).select(
@@ -105,14 +116,14 @@ def midpoint_percentiles(
     )
 
 
-def discrete_quantiles(cum: DataFrame, columns: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
+def discrete_quantiles(cum: Ranked, columns: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
     """``(feature, variant, quantile, value)`` over all values: the value at rank
     ``ceil(q*n) - 1``."""
     qs = F.explode(F.array(*[F.lit(float(x)) for x in quantiles]))
     g = _groups(cum, ["all"]).select("fid", "variant", "n", qs.alias("quantile"))
     rank = F.greatest(F.ceil(F.col("quantile") * F.col("n").cast("double")) - 1, F.lit(0)).cast("long")
     targets = g.select("fid", "variant", "quantile", rank.alias("rank"))
-    found = value_at_ranks(cum, targets, BY, ["variant", "quantile"], "value", "cnt", ["rank"])
+    found = cum.values_at(targets, ["variant", "quantile"], ["rank"])
     return _named(found.select("fid", "variant", "quantile", F.col("rank_value").alias("value")), columns).select(
         "feature", "variant", "quantile", "value"
     )

@@ -278,3 +278,19 @@ def test_distinct_entities_approx_is_close_and_counts_null(spark):
     approx = C.distinct_entities(df, "d", approx=True).first().n_entities
     assert exact == 4501  # residues mod 5000 that are not multiples of 10, plus the null group
     assert abs(approx - exact) <= 0.05 * exact
+
+
+def test_midpoint_many_slices_hot_value_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    vals = np.round(rng.normal(10, 5, 5000), 1)
+    vals[rng.random(5000) < 0.33] = 7.5  # one value holds a third of the rows
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    pcts = [float(p) for p in range(0, 101, 5)]
+    got = {
+        (r.variant, r.percentile): r.value
+        for r in Q.percentiles_midpoint(df, ["x"], pcts, partitions=13).collect()
+    }
+    for variant, arr in (("all", vals), ("positive", vals[vals > 0])):
+        want = np.percentile(arr, pcts, method="midpoint")
+        for p, w in zip(pcts, want):
+            assert got[(variant, p)] == pytest.approx(float(w), rel=0, abs=1e-12), (variant, p)
