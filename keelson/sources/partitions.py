@@ -46,10 +46,42 @@ def date_range_scan(
     return df.where((c >= F.lit(start)) & (c <= F.lit(end)))
 
 
+def listed_days(spark: SparkSession, root: str, column: str = "dt") -> list[str]:
+    """Day values of the ``<column>=<day>`` directories directly under ``root``, listed through
+    the Hadoop file system of the path (one listing call; no data is read). Directories holding
+    no data file are not counted (an empty partition is not a ready day)."""
+    sc = spark.sparkContext
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    prefix = f"{column}="
+
+    def has_data(day_dir) -> bool:
+        # Stop at the first data file: a day directory may hold thousands of files.
+        it = fs.listStatusIterator(day_dir)
+        while it.hasNext():
+            if not it.next().getPath().getName().startswith(("_", ".")):
+                return True
+        return False
+
+    days = []
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith(prefix) and has_data(st.getPath()):
+            days.append(name[len(prefix):])
+    return sorted(days)
+
+
 def present_days(source: str | DataFrame, column: str = "dt", spark: SparkSession | None = None) -> DataFrame:
-    """Distinct days present in the source (for a partitioned path Spark answers this from
-    the partition listing plus a scan of the day column only)."""
-    return _source(spark, source).select(F.col(column).alias("dt")).distinct()
+    """Distinct days present in the source: for a partitioned path, from the directory listing
+    (metadata only); for a DataFrame, a distinct over its day column."""
+    if isinstance(source, str):
+        spark = spark or SparkSession.getActiveSession()
+        days = listed_days(spark, source, column)
+        return spark.createDataFrame([(d,) for d in days], "dt string")
+    return source.select(F.col(column).alias("dt")).distinct()
 
 
 def date_coverage(
@@ -59,9 +91,9 @@ def date_coverage(
 
     The range is ready when this is empty; ``coverage_ready`` gives the one-row verdict.
     """
-    df = _source(spark, source)
-    expected = df.sparkSession.range(1).select(F.explode(day_sequence(F.lit(start), F.lit(end))).alias("dt"))
-    return expected.join(present_days(df, column), "dt", "left_anti")
+    spark = source.sparkSession if isinstance(source, DataFrame) else (spark or SparkSession.getActiveSession())
+    expected = spark.range(1).select(F.explode(day_sequence(F.lit(start), F.lit(end))).alias("dt"))
+    return expected.join(present_days(source, column, spark), "dt", "left_anti")
 
 
 def coverage_ready(missing: DataFrame) -> DataFrame:
@@ -75,7 +107,7 @@ def partition_present(
     source: str | DataFrame, days: Sequence[str], column: str = "dt", spark: SparkSession | None = None
 ) -> DataFrame:
     """For each requested day: is it present in the source? Rows ``(dt, present)``."""
-    df = _source(spark, source)
-    wanted = df.sparkSession.createDataFrame([(d,) for d in dict.fromkeys(days)], "dt string")
-    present = present_days(df, column).withColumn("present", F.lit(True))
+    spark = source.sparkSession if isinstance(source, DataFrame) else (spark or SparkSession.getActiveSession())
+    wanted = spark.createDataFrame([(d,) for d in dict.fromkeys(days)], "dt string")
+    present = present_days(source, column, spark).withColumn("present", F.lit(True))
     return wanted.join(present, "dt", "left").select("dt", F.coalesce("present", F.lit(False)).alias("present"))
