@@ -99,7 +99,12 @@ def top_k_per_group(
 
 
 def sliced_counts(
-    df: DataFrame, by: Sequence[str], order: str, weight: str, partitions: int | None = None
+    df: DataFrame,
+    by: Sequence[str],
+    order: str,
+    weight: str,
+    partitions: int | None = None,
+    extra: Sequence = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Range-slice ``df`` (distinct ``order`` values per group with a ``weight`` count) and
     write it once to the shared checkpoint folder.
@@ -108,7 +113,8 @@ def sliced_counts(
     and slice with the slice's weight ``_sw``, the weight of earlier slices ``_off``, and the
     group total ``_tot`` (groups x slices rows, a size fixed by the caller and the partition
     count). No running sum over all rows is built: ``select_at_ranks`` orders only the slices
-    that hold a wanted rank.
+    that hold a wanted rank. ``extra`` are more aggregate columns computed per group and slice in
+    the same pass (summed per group by the caller).
     """
     by = list(by)
     n = _partitions(df, partitions)
@@ -116,7 +122,7 @@ def sliced_counts(
         "_slice", F.spark_partition_id()
     )
     table = materialize(ranged, "sliced_counts")
-    per = table.groupBy(*by, "_slice").agg(F.sum(weight).alias("_sw"))
+    per = table.groupBy(*by, "_slice").agg(F.sum(weight).alias("_sw"), *extra)
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     slices = per.select(
@@ -125,6 +131,7 @@ def sliced_counts(
         "_sw",
         F.coalesce(F.sum("_sw").over(before), F.lit(0)).alias("_off"),
         F.sum("_sw").over(whole).alias("_tot"),
+        *[c for c in per.columns if c not in (*by, "_slice", "_sw")],
     )
     return table, slices
 

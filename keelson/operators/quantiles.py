@@ -46,10 +46,11 @@ class Ranked:
 
     def __init__(self, long: DataFrame, partitions: int | None = None):
         vc = long.groupBy("fid", "value").agg(F.count(F.lit(1)).alias("cnt"))
-        self.table, self.slices = sliced_counts(vc, BY, "value", "cnt", partitions)
-        self.sizes = self.table.groupBy("fid").agg(
-            F.sum("cnt").alias("n_all"),
-            F.coalesce(F.sum(F.when(F.col("value") <= 0, F.col("cnt"))), F.lit(0)).alias("n_nonpos"),
+        nonpos = F.coalesce(F.sum(F.when(F.col("value") <= 0, F.col("cnt"))), F.lit(0)).alias("_np")
+        self.table, self.slices = sliced_counts(vc, BY, "value", "cnt", partitions, extra=[nonpos])
+        # Per feature from the (groups x slices) table: no second pass over the values.
+        self.sizes = self.slices.groupBy("fid").agg(
+            F.max("_tot").alias("n_all"), F.sum("_np").alias("n_nonpos")
         )
 
     def values_at(self, targets: DataFrame, keys: Sequence[str], rank_cols: Sequence[str]) -> DataFrame:
