@@ -88,3 +88,26 @@ FROM (SELECT content, {_ROUTE} AS route, {_CLEAN} AS t FROM articles) GROUP BY r
 )
 def q_clean_articles_report(spark, sf_dir):
     return J.clean_articles_report(articles(spark, sf_dir))
+
+
+@register(
+    "clean_articles_stream",
+    ART + f"SELECT article_id, {_ROUTE} AS route, t AS text, t IS NOT NULL AS ok "
+    f"FROM (SELECT article_id, content, {_CLEAN} AS t FROM articles)",
+)
+def q_clean_articles_stream(spark, sf_dir):
+    """The same cleaning as a Structured Streaming job: the article table is written as input
+    files under the scratch folder, streamed through ``clean_articles`` (available-now trigger,
+    checkpointed) into a Parquet sink, and the sink is read back."""
+    from keelson.session import scratch_path
+    from keelson.streaming.stateless import clean_articles_stream
+
+    src, sink = scratch_path(spark, "articles-in"), scratch_path(spark, "articles-out")
+    articles(spark, sf_dir).write.parquet(src)
+    query = clean_articles_stream(spark, src, sink)
+    if not query.awaitTermination(3600):
+        query.stop()
+        raise TimeoutError("article stream did not finish within an hour")
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+    return spark.read.parquet(sink).select("article_id", "route", "text", "ok")
