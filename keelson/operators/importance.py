@@ -36,10 +36,9 @@ def feature_importance(
     feats = list(features)
     data = df.select(*feats, F.col(label).cast("double").alias("_label"), *([key] if isinstance(key, str) else []))
     data = data.where(F.col("_label").isin(0.0, 1.0))
-    # The fit runs many jobs over its input; write the split rows once to the shared scratch
-    # folder so sampling subqueries and the scan are not repeated per job (and so the fit and
-    # the test scoring see one evaluation).
-    split = materialize(with_split(data, weights, key=key), "importance_input")
+    # The split is a deterministic hash, so the fit (which caches its own input) and the test
+    # scoring may each evaluate it and see the same rows.
+    split = with_split(data, weights, key=key)
     assembler = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="skip")
     train = assembler.transform(split.where(F.col("split") == "train"))
     test = assembler.transform(split.where(F.col("split") == "test"))
@@ -86,6 +85,12 @@ def importance_analysis(
     key=None,
     **tree_kw,
 ) -> DataFrame:
-    """Balance to ``rate``, cap at ``max_n`` rows, then ``feature_importance``."""
+    """Balance to ``rate``, cap at ``max_n`` rows, then ``feature_importance``.
+
+    The capped sample (at most about ``max_n`` rows) is written once to the shared scratch
+    folder: the fit runs many jobs, and each would otherwise re-run the label and row counts
+    that the balancing and the cap take over the whole input.
+    """
     sampled = balance_then_sample(df, balance="balance", rate=rate, mode=mode, max_n=max_n, label=label, key=key)
-    return feature_importance(sampled, features, label, key=key, **tree_kw)
+    cols = list(dict.fromkeys([*features, label, *([key] if isinstance(key, str) else [])]))
+    return feature_importance(materialize(sampled.select(*cols), "importance_sample"), features, label, key=key, **tree_kw)
