@@ -3,13 +3,12 @@ pages with spliced platform markup) and raw ``pages``."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from keelson.functions import text as T
 from keelson.operators import text as J
 from keelson.plans.catalog import register
 from keelson.plans.oracle_views import with_views
-from keelson.plans.views import articles, table
+from keelson.plans.views import articles, html_articles, rich_articles, table
 
 ART = with_views("articles")
 
@@ -62,8 +61,8 @@ _MD = T.steps_sql(T.steps_sql("content", T.MARKDOWN_STEPS), T.MEDIA_STEPS)
     ART + f"SELECT article_id, {_MD} AS text FROM articles WHERE NOT contains(content, '{T.RICH_MARKER}')",
 )
 def q_html_to_text(spark, sf_dir):
-    html = articles(spark, sf_dir).where(~F.col("content").contains(T.RICH_MARKER))
-    return J.extract(html, "html_to_text")
+    # Same rows as the non-rich part of the article view, read from the pages branch alone.
+    return J.extract(html_articles(spark, sf_dir), "html_to_text")
 
 
 _FLAT = f"replace(replace({_MD}, chr(10), ''), '\\\\\\', '')"
@@ -75,8 +74,8 @@ _FLAT = f"replace(replace({_MD}, chr(10), ''), '\\\\\\', '')"
     f"FROM (SELECT article_id, {_FLAT} AS f FROM articles WHERE contains(content, '{T.RICH_MARKER}'))",
 )
 def q_html_json_to_text(spark, sf_dir):
-    rich = articles(spark, sf_dir).where(F.col("content").contains(T.RICH_MARKER))
-    return J.extract(rich, "html_json_to_text")
+    # Same rows as the rich part of the article view, read from the documents branch alone.
+    return J.extract(rich_articles(spark, sf_dir), "html_json_to_text")
 
 
 @register(

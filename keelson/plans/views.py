@@ -98,11 +98,11 @@ SPLICE_MARKUP = [
 ]
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Article payloads: rich-content JSON wrapped documents (even doc_id) and raw pages with
-    platform markup spliced in after ``<body>`` by ``page_id % 4``."""
+def rich_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rich-content JSON payloads: documents with an even ``doc_id`` wrapped as
+    ``{"rich_content": {"text": ..., "spans": []}}``."""
     docs = table(spark, sf_dir, "documents").where(F.col("doc_id") % 2 == 0)
-    rich = docs.select(
+    return docs.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("article_id"),
         F.to_json(
             F.struct(
@@ -113,13 +113,21 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("content"),
     )
+
+
+def html_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw pages with platform markup spliced in after ``<body>`` by ``page_id % 4``."""
     pages = table(spark, sf_dir, "pages")
     markup = F.lit(None).cast("string")
     for i, m in reversed(list(enumerate(SPLICE_MARKUP))):
         markup = F.when(F.col("page_id") % 4 == i, F.lit(m)).otherwise(markup)
     spliced = F.replace(F.col("html"), F.lit("<body>"), F.concat(F.lit("<body>"), markup))
-    html = pages.select(
+    return pages.select(
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("article_id"),
         spliced.alias("content"),
     )
-    return rich.unionByName(html)
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article payloads of both kinds: rich-content documents and pages with markup."""
+    return rich_articles(spark, sf_dir).unionByName(html_articles(spark, sf_dir))
