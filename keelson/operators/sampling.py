@@ -2,10 +2,10 @@
 
 Sampling keeps a row when ``unit_hash(key, seed) < fraction`` (see
 ``keelson.functions.sampling``): the same rows on every run, under any partitioning and after
-task retries, and reproducible in SQL. Fractions come from one ``groupBy(label)`` aggregate;
-they reach the filter either as a one-row broadcast (binary labels, caller's event list: sizes
-fixed by construction) or, for multi-class balancing, as literals once the class count is
-known to be small, with a shuffle join beyond that. Rows are never collected.
+task retries, and reproducible in SQL. Fractions come from one label-count aggregate; they
+reach the filter as a scalar subquery (binary labels), a broadcast of one row per listed event
+(the caller's list bounds it), or, for multi-class balancing, as literals once the class count is
+known to be small, with a plain join beyond that. Rows are never collected.
 
 Null semantics: rows whose label is null (or not 0/1 for the binary operators) are dropped from
 every balanced output; an empty class gives an empty result.
@@ -126,8 +126,8 @@ def sample_to_cap(
     seed: int | str = CAP_SEED,
 ) -> DataFrame:
     """When ``mode == 'sample'`` and the row count exceeds ``max_n``, keep ``max_n / count``
-    of the rows. A known count ``n`` skips counting; otherwise the count is a one-row
-    aggregate broadcast into the filter."""
+    of the rows. A known count ``n`` skips counting; otherwise the count is a scalar subquery
+    evaluated once and used as a value in the filter."""
     if mode != "sample":
         return df
     if n is not None:
