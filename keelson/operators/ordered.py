@@ -167,9 +167,9 @@ def select_at_ranks(
         .where((rank >= F.col("_off")) & (rank < F.col("_off") + F.col("_sw")))
         .select(*by, *keys, "_which", "_rank", "_slice", "_off")
     )
-    touched = placed.select(*by, "_slice").distinct()
-    # targets x rank columns rows: a size fixed by the caller.
-    sub = table.join(F.broadcast(touched), [*by, "_slice"])
+    # targets x rank columns rows: a size fixed by the caller. A semi join keeps the rows of
+    # touched slices without de-duplicating the slice list first.
+    sub = table.join(F.broadcast(placed.select(*by, "_slice")), [*by, "_slice"], "left_semi")
     w = Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = sub.select(*by, "_slice", order, weight, F.sum(weight).over(w).alias("_loc"))
     hi = F.col("_off") + F.col("_loc")
