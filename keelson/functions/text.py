@@ -79,7 +79,9 @@ _BREAKS = [
 _MARKDOWN = [
     *[("re", rf"(?i)<h{n}[^>]*>", "\n" + "#" * n + " ") for n in range(1, 7)],
     ("re", r"(?i)<li[^>]*>", "\n* "),
-    ("re", r'(?is)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', "[{2}]({1})"),
+    # Link text without nested tags: a bounded class instead of a lazy match, so an unclosed
+    # <a> cannot make the scan run to the end of the text once per tag.
+    ("re", r'(?i)<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', "[{2}]({1})"),
     ("re", r'(?i)<img[^>]*src="\{\{image_domain\}\}[^>]*>', ""),
     ("re", r'(?i)<img[^>]*src="([^"]*)"[^>]*>', "![]({1})"),
 ]
