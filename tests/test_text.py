@@ -86,3 +86,12 @@ def test_routes_and_failure_flag(spark):
     ]
     got = {r.article_id: (r.route, r.text, r.ok) for r in clean_articles(spark.createDataFrame(rows, "article_id string, content string")).collect()}
     assert got == {"j": ("rich", "hi", True), "h": ("html", "hello", True), "bad": ("rich", None, False)}
+
+
+def test_unclosed_links_do_not_rescan_the_text(spark):
+    import time
+
+    junk = "<p>" + ('<a href="/x">unclosed ' * 5000) + "</p>"
+    t0 = time.perf_counter()
+    out = _one(spark, T.html_to_text, junk)
+    assert "unclosed" in out and time.perf_counter() - t0 < 30
