@@ -42,10 +42,13 @@ def vocabulary_merge(old: DataFrame, new: DataFrame) -> DataFrame:
     def keys(df: DataFrame) -> DataFrame:
         return df.select(F.col("feature").alias("_f"), F.col("value").alias("_v"))
 
-    cands = _ns_join(new.select("feature", "value", "cnt"), keys(reserved), "left_anti")
-    kept = _ns_join(slots, keys(cands), "left_semi")
-    gaps = _ns_join(slots, keys(cands), "left_anti")
-    remaining = _ns_join(cands, keys(slots), "left_anti")
+    # The old vocabulary is small (features x length); the candidates are every distinct value.
+    # Only the old side is broadcast, and the large side is never shuffled to meet it.
+    cands = _ns_join(new.select("feature", "value", "cnt"), F.broadcast(keys(reserved)), "left_anti")
+    matched = _ns_join(cands.select("feature", "value"), F.broadcast(keys(slots)), "left_semi")
+    kept = _ns_join(slots, F.broadcast(keys(matched)), "left_semi")
+    gaps = _ns_join(slots, F.broadcast(keys(matched)), "left_anti")
+    remaining = _ns_join(cands, F.broadcast(keys(slots)), "left_anti")
 
     # Largest vocabulary length: a scalar from the (small) old vocabulary table.
     k = old.agg(F.max("_L")).first()[0] or 1
