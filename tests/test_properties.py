@@ -68,3 +68,44 @@ def test_penetration_monotone_and_confusion_totals(spark):
     assert all(a.n_rows >= b.n_rows and a.n_entities >= b.n_entities for a, b in zip(pen, pen[1:]))
     n = f.where(F.col("label").isin(0.0, 1.0)).count()
     assert all(r.tp + r.fp + r.fn + r.tn == n for r in T.threshold_confusion(f).collect())
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    vals=st.lists(st.sampled_from([-3.0, -0.5, 0.0, 0.25, 1.0, 1.5, 2.0, 7.0, 7.5, 100.0]), min_size=1, max_size=60),
+    slices=st.integers(min_value=1, max_value=9),
+)
+def test_midpoint_percentiles_random_against_numpy(spark, vals, slices):
+    import numpy as np
+
+    from keelson.operators import quantiles as Q
+
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    pcts = (0, 5, 25, 50, 75, 90, 95, 99, 100)
+    got = {(r.variant, r.percentile): r.value for r in Q.percentiles_midpoint(df, ["x"], pcts, partitions=slices).collect()}
+    for variant, arr in (("all", np.array(vals)), ("positive", np.array([v for v in vals if v > 0]))):
+        if arr.size == 0:
+            assert not any(k[0] == variant for k in got)
+            continue
+        for p, w in zip(pcts, np.percentile(arr, pcts, method="midpoint")):
+            assert got[(variant, float(p))] == float(w), (variant, p, vals)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    vals=st.lists(st.one_of(st.none(), st.sampled_from(["a", "b", "c", "d", "e", "f"])), min_size=1, max_size=80),
+    share=st.sampled_from([0.0, 0.05, 0.2]),
+    max_len=st.integers(min_value=2, max_value=5),
+)
+def test_sparse_map_against_brute_force(spark, vals, share, max_len):
+    from collections import Counter
+
+    from keelson.operators.feature_map import sparse_map
+
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    got = [(r.position, r.value, r.cnt) for r in sorted(sparse_map(df, ["s"], share, max_len).collect(), key=lambda r: r.position)]
+    counts = Counter(vals)
+    kept = [(v, c) for v, c in counts.items() if c / len(vals) >= share]
+    kept.sort(key=lambda vc: (-vc[1], vc[0] is None, vc[0] or ""))
+    want = [(i + 1, v, c) for i, (v, c) in enumerate(kept)] if 2 <= len(kept) <= max_len else []
+    assert got == want
