@@ -294,3 +294,20 @@ def test_midpoint_many_slices_hot_value_against_numpy(spark):
         want = np.percentile(arr, pcts, method="midpoint")
         for p, w in zip(pcts, want):
             assert got[(variant, p)] == pytest.approx(float(w), rel=0, abs=1e-12), (variant, p)
+
+
+# --- selections -----------------------------------------------------------------------------
+def test_selection_modes(spark):
+    from keelson.operators import filters as B
+
+    df = spark.createDataFrame([(True, "x"), (False, "y"), (None, "z")], "f boolean, c string")
+    assert B.select_flagged(df, "mix", flag="f", name="f").count() == 3
+    assert [r.c for r in B.select_flagged(df, "with_f", flag="f", name="f").collect()] == ["x"]
+    assert [r.c for r in B.select_flagged(df, "without_f", flag="f", name="f").collect()] == ["y"]
+    with pytest.raises(ValueError):
+        B.select_flagged(df, "sometimes_f", flag="f", name="f")
+    classes = {0: "x", 1: "y", 2: "z"}
+    assert [r.c for r in B.select_user_class(df, 1, column="c", classes=classes).collect()] == ["y"]
+    assert B.select_user_class(df, 7, column="c", classes=classes).count() == 3
+    assert {r.c for r in B.unknown_class_values(df, column="c", classes={0: "x"}).collect()} == {"y", "z"}
+    assert B.select_events(df.withColumnRenamed("c", "event_name"), ["x", "x", "z"]).count() == 2
