@@ -75,13 +75,15 @@ def outcome_funnel_by_code(
     all entities, and entities with that code that never had a valid row (and share)."""
     c = F.col(code)
     per = df.groupBy(entity, code).agg(F.count(F.lit(1)).alias("n"))
-    by_entity = Window.partitionBy(entity)
+    # One window spec (same partitioning and order) for both columns: one sort, one operator.
+    by_entity = Window.partitionBy(entity).orderBy(c.asc_nulls_first())
+    whole = by_entity.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     per = per.select(
         entity,
         code,
         "n",
-        F.max((c == 0).cast("int")).over(by_entity).alias("has_valid"),
-        (F.row_number().over(by_entity.orderBy(c.asc_nulls_first())) == 1).cast("long").alias("first"),
+        F.max((c == 0).cast("int")).over(whole).alias("has_valid"),
+        (F.row_number().over(by_entity) == 1).cast("long").alias("first"),
     )
     # Totals as one scalar subquery over the same per-entity table (its exchanges are reused).
     totals = per.agg(
