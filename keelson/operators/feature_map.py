@@ -44,6 +44,10 @@ def sparse_map(
     ``1 / min_share`` values whatever the cardinality of the column.
     """
     feats = require_features(df, features, ignore_missing)
+    if not feats:
+        return df.sparkSession.createDataFrame(
+            [], "feature string, kind string, position bigint, value string, cnt bigint, rate double"
+        )
     src = df.select(*feats) if max_rows is None else sample_to_cap(df.select(*feats), max_rows, key=key)
     counts = multi_value_counts(src, feats, batch_size)
     # Every feature's counts sum to the row count: one row per feature, broadcast.

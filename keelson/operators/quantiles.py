@@ -148,6 +148,14 @@ def _maybe_cap(df: DataFrame, max_rows: int | None, key) -> DataFrame:
     return df if max_rows is None else sample_to_cap(df, max_rows, key=key)
 
 
+DENSE_SCHEMA = "feature string, kind string, min double, max double"
+
+
+def _no_dense(df: DataFrame) -> DataFrame:
+    """The empty dense map (every requested feature was missing)."""
+    return df.sparkSession.createDataFrame([], DENSE_SCHEMA)
+
+
 def _dense_rows(bounds: DataFrame, lo: str, hi: str) -> DataFrame:
     return bounds.where(F.col(lo) < F.col(hi)).select(
         "feature",
@@ -168,6 +176,8 @@ def dense_map_exact(
     """Keep a feature when its positive-only midpoint p5 < p99; its range is [0, p99].
     ``max_rows`` optionally hash-samples the input down to that many rows first."""
     feats = require_features(df, features, ignore_missing)
+    if not feats:
+        return _no_dense(df)
     src = _maybe_cap(df.select(*feats), max_rows, key)
     cum = ranked_values(numeric_long(src, feats), partitions)
     p = midpoint_percentiles(cum, feats, (5, 99), variants=("positive",))
@@ -194,6 +204,8 @@ def dense_map_approx(
     partial sketch per task and feature merged at the end; ``rel_error == 0`` is exact
     (discrete rank ``ceil(q*n) - 1``)."""
     feats = require_features(df, features, ignore_missing)
+    if not feats:
+        return _no_dense(df)
     src = _maybe_cap(df.select(*feats), max_rows, key)
     lo_q, hi_q = quantiles
     long = numeric_long(src, feats)

@@ -311,3 +311,15 @@ def test_selection_modes(spark):
     assert B.select_user_class(df, 7, column="c", classes=classes).count() == 3
     assert {r.c for r in B.unknown_class_values(df, column="c", classes={0: "x"}).collect()} == {"y", "z"}
     assert B.select_events(df.withColumnRenamed("c", "event_name"), ["x", "x", "z"]).count() == 2
+
+
+def test_maps_with_only_missing_features_are_empty(spark):
+    from keelson.operators.feature_map import feature_map, sparse_map
+
+    df = spark.createDataFrame([(1.0, "a")], "x double, s string")
+    assert Q.dense_map_exact(df, ["nope"]).count() == 0
+    assert Q.dense_map_approx(df, ["nope"]).count() == 0
+    assert sparse_map(df, ["nope"]).count() == 0
+    assert feature_map(df, ["nope"], ["nada"], dense_method="exact").count() == 0
+    with pytest.raises(ValueError):
+        Q.dense_map_exact(df, ["nope"], ignore_missing=False)
