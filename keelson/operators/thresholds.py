@@ -32,12 +32,6 @@ def _bin(score: Column, thresholds: Sequence[float], strict: bool) -> Column:
     return total
 
 
-def _threshold_list(thresholds: Sequence[float]) -> Column:
-    """Generator of ``(th_index, threshold)`` rows from the literal list."""
-    pairs = [F.struct(F.lit(i).alias("th_index"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(thresholds)]
-    return F.inline(F.array(*pairs))
-
-
 def auc(df: DataFrame, score: str = "predict", label: str = "label", digits: int = 4,
         partitions: int | None = None) -> DataFrame:
     """Area under the ROC curve with ties counted half: one row ``(auc, n_pos, n_neg)``.
@@ -60,10 +54,11 @@ def auc(df: DataFrame, score: str = "predict", label: str = "label", digits: int
     term = F.col("pos").cast("double") * (F.lit(2.0) * below.cast("double") + F.col("neg").cast("double"))
     agg = ranked.agg(
         F.sum(term).alias("_s"),
-        F.sum("pos").alias("n_pos"),
-        F.sum("neg").alias("n_neg"),
+        F.coalesce(F.sum("pos"), F.lit(0)).cast("long").alias("n_pos"),
+        F.coalesce(F.sum("neg"), F.lit(0)).cast("long").alias("n_neg"),
     )
-    value = F.col("_s") / (F.lit(2.0) * F.col("n_pos").cast("double") * F.col("n_neg").cast("double"))
+    # Null (not an error) when a class is absent.
+    value = F.try_divide(F.col("_s"), F.lit(2.0) * F.col("n_pos").cast("double") * F.col("n_neg").cast("double"))
     return agg.select(F.round(value, digits).alias("auc"), "n_pos", "n_neg")
 
 
@@ -84,15 +79,34 @@ def threshold_confusion(
         .groupBy("bin")
         .agg(F.sum("y").cast("long").alias("p"), F.count(F.lit(1)).alias("n"))
     )
-    # Bin b passes thresholds 0..b-1, so it is predicted positive at threshold i iff b > i.
-    # Each of the <= 22 bin rows is paired with the literal threshold list (no join).
-    pred = F.col("bin") > F.col("th_index")
-    g = bins.select("*", _threshold_list(thresholds)).groupBy("th_index", "threshold").agg(
-        F.sum(F.when(pred, F.col("p")).otherwise(0)).cast("long").alias("tp"),
-        F.sum(F.when(pred, F.col("n") - F.col("p")).otherwise(0)).cast("long").alias("fp"),
-        F.sum(F.when(~pred, F.col("p")).otherwise(0)).cast("long").alias("fn"),
-        F.sum(F.when(~pred, F.col("n") - F.col("p")).otherwise(0)).cast("long").alias("tn"),
+    # Bin b passes thresholds 0..b-1, so it is predicted positive at threshold i iff b > i. One
+    # global aggregate over the (<= 22) bin rows gives every threshold at once, also on empty input.
+    b, p, n = F.col("bin"), F.col("p"), F.col("n")
+    zero = F.lit(0).cast("long")
+
+    def total(expr):
+        return F.coalesce(F.sum(expr), zero).cast("long")
+
+    sums = []
+    for i in range(len(thresholds)):
+        sums += [
+            total(F.when(b > i, p)).alias(f"tp{i}"),
+            total(F.when(b > i, n - p)).alias(f"fp{i}"),
+            total(F.when(b <= i, p)).alias(f"fn{i}"),
+            total(F.when(b <= i, n - p)).alias(f"tn{i}"),
+        ]
+    per_th = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(float(t)).alias("threshold"),
+                    *[F.col(f"{m}{i}").alias(m) for m in ("tp", "fp", "fn", "tn")],
+                )
+                for i, t in enumerate(thresholds)
+            ]
+        )
     )
+    g = bins.agg(*sums).select(per_th.alias("_t")).select("_t.*")
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return g.select(
         "threshold", "tp", "fp", "fn", "tn",

@@ -323,3 +323,13 @@ def test_maps_with_only_missing_features_are_empty(spark):
     assert feature_map(df, ["nope"], ["nada"], dense_method="exact").count() == 0
     with pytest.raises(ValueError):
         Q.dense_map_exact(df, ["nope"], ignore_missing=False)
+
+
+def test_scoring_on_degenerate_inputs(spark):
+    only_neg = spark.createDataFrame([(0.1, 0.0), (0.5, 0.0)], "predict double, label double")
+    r = T.auc(only_neg).first()
+    assert (r.auc, r.n_pos, r.n_neg) == (None, 0, 2)
+    empty = spark.createDataFrame([], "predict double, label double")
+    assert T.auc(empty).first().n_pos == 0
+    rows = T.threshold_confusion(empty).collect()
+    assert len(rows) == 21 and all(x.tp + x.fp + x.fn + x.tn == 0 and x.precision is None for x in rows)
