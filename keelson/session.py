@@ -39,18 +39,35 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "keels
     return spark
 
 
+# Fallback folders chosen for sessions that name no checkpoint folder, one per application, so
+# every call returns the same folder.
+_FALLBACK_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``, read from the session.
 
-    Only when the session has none (a local run or a test harness) is a scratch folder created
-    and registered as the checkpoint folder; a cluster's setting is never replaced.
+    The configured folder itself is returned (a stable root for this library's tables); it is
+    also registered for RDD checkpoints if none is yet. Only when the session names no folder
+    (a local run or a test harness) is a scratch folder created, once per application.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    current = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - sessions without a classic context (Spark Connect)
+        sc = None
+    if not current and sc is not None:
+        current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        current = tempfile.mkdtemp(prefix="keelson-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+        key = sc.applicationId if sc is not None else "session"
+        if key not in _FALLBACK_DIRS:
+            existing = sc.getCheckpointDir() if sc is not None else None
+            _FALLBACK_DIRS[key] = existing or tempfile.mkdtemp(prefix="keelson-ckpt-", dir="/tmp")
+        current = _FALLBACK_DIRS[key]
+    # setCheckpointDir adds a fresh sub-folder on every call: register once only.
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
+    return current
 
 
 def scratch_root(spark: SparkSession) -> str:

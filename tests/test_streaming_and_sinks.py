@@ -73,13 +73,18 @@ def test_partitioned_range_scan_prunes_and_coverage(spark):
 def test_clear_scratch_removes_this_applications_tables(spark):
     from keelson.session import clear_scratch, materialize, scratch_root
 
+    from keelson.session import checkpoint_dir
+
+    assert checkpoint_dir(spark) == checkpoint_dir(spark)  # stable across calls
     t = materialize(spark.range(5), "probe")
     assert t.count() == 5
     root = scratch_root(spark)
-    clear_scratch(spark)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
-    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert fs.exists(path)  # the table was written under this root
+    clear_scratch(spark)
+    assert not fs.exists(path)
 
 
 def test_write_train_test_reports_input_length(spark):
