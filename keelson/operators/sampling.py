@@ -168,7 +168,10 @@ def with_split(
     df: DataFrame, weights: Sequence[float] = (0.8, 0.2), names: Sequence[str] = ("train", "test"), key=None,
     seed: int | str = SPLIT_SEED, column: str = "split",
 ) -> DataFrame:
-    """E6 core: adds ``split`` from cumulative normalised weights on an independent hash."""
+    """E6 core: adds ``split`` from cumulative normalised weights on an independent hash (one
+    name per weight; the last part takes the rest)."""
+    if len(weights) != len(names) or not weights:
+        raise ValueError("give one name per split weight")
     total = float(sum(weights))
     u = _u(key, seed)
     acc, expr = 0.0, None

@@ -333,3 +333,16 @@ def test_scoring_on_degenerate_inputs(spark):
     assert T.auc(empty).first().n_pos == 0
     rows = T.threshold_confusion(empty).collect()
     assert len(rows) == 21 and all(x.tp + x.fp + x.fn + x.tn == 0 and x.precision is None for x in rows)
+
+
+def test_cap_paths_and_three_way_split(spark):
+    df = spark.range(4000).withColumnRenamed("id", "k")
+    assert E.sample_to_cap(df, 10_000, key="k").count() == 4000  # under the cap: unchanged
+    assert E.sample_to_cap(df, 100, mode="none", key="k").count() == 4000  # not sampling
+    known = E.sample_to_cap(df, 1000, n=4000, key="k").count()
+    counted = E.sample_to_cap(df, 1000, key="k").count()
+    assert known == counted and 850 <= known <= 1150  # same rows with a known or a counted total
+    parts = {r.split: r["count"] for r in E.with_split(df, (0.6, 0.2, 0.2), ("a", "b", "c"), key="k").groupBy("split").count().collect()}
+    assert set(parts) == {"a", "b", "c"} and sum(parts.values()) == 4000
+    with pytest.raises(ValueError):
+        E.with_split(df, (0.6, 0.2, 0.2), key="k")
