@@ -60,6 +60,9 @@ def main() -> None:
     if failed:
         out["failed"] = failed
     print(json.dumps(out))
+    from keelson.session import clear_scratch
+
+    clear_scratch(spark)  # the intermediate tables this run wrote
     spark.stop()
 
 
