@@ -109,3 +109,26 @@ def test_sparse_map_against_brute_force(spark, vals, share, max_len):
     kept.sort(key=lambda vc: (-vc[1], vc[0] is None, vc[0] or ""))
     want = [(i + 1, v, c) for i, (v, c) in enumerate(kept)] if 2 <= len(kept) <= max_len else []
     assert got == want
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    rows=st.lists(
+        st.tuples(st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]), st.sampled_from([0.0, 1.0])),
+        min_size=2,
+        max_size=80,
+    ),
+    slices=st.integers(min_value=1, max_value=7),
+)
+def test_auc_random_against_pair_count(spark, rows, slices):
+    pos = [s for s, y in rows if y == 1.0]
+    neg = [s for s, y in rows if y == 0.0]
+    df = spark.createDataFrame(rows, "predict double, label double")
+    got = T.auc(df, partitions=slices).first()
+    if not pos or not neg:
+        assert got.auc is None
+        return
+    pairs = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg)
+    # Spark rounds the decimal form half-up, Python's round() the binary value: compare to 4 places.
+    assert abs(got.auc - pairs / (len(pos) * len(neg))) <= 0.00005 + 1e-12
+    assert (got.n_pos, got.n_neg) == (len(pos), len(neg))
