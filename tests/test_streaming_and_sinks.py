@@ -91,3 +91,16 @@ def test_write_train_test_reports_input_length(spark):
     f = feed(spark, SF_SMALL).withColumn("input_data", F.array(F.col("value"), F.col("predict")))
     res = write_train_test(f, scratch_path(spark, "len"), key="event_id", length_column="input_data", mode="none")
     assert res["metrics"]["min_len"] == 2 and res["metrics"]["max_len"] == 2
+
+
+def test_listed_days_skip_empty_partition_directories(spark):
+    root = scratch_path(spark, "days")
+    spark.createDataFrame([("20240101", 1), ("20240102", 2)], "dt string, v int").write.partitionBy("dt").parquet(root)
+    jvm = spark.sparkContext._jvm
+    fs_path = jvm.org.apache.hadoop.fs.Path(f"{root}/dt=20240103")
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(fs_path)  # an empty day directory
+    fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/dt=20240103/_SUCCESS")).close()  # marker only
+    assert P.listed_days(spark, root) == ["20240101", "20240102"]
+    missing = [r.dt for r in P.date_coverage(root, "20240101", "20240103", spark=spark).collect()]
+    assert missing == ["20240103"]
