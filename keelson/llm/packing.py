@@ -9,9 +9,8 @@ no task grows with the input.
 Every round writes its small assignment table (item, bin, offset) to the shared checkpoint folder; the position of a
 piece is the sum of its offsets up the tree, found by joins on unique ids.
 
-A word's tokens do not depend on its neighbours across white space (the tokenizer drops white space before it
-splits), so a task encodes each distinct word once and strings the ids together; the test holds this against
-encoding whole texts.
+The tokenizer splits a text into pieces (letter runs, single digits, other runs) that it encodes on their own, so a task
+encodes each distinct piece once and strings the ids together; the test holds this against encoding whole texts.
 
 Defined results: a null or empty text is one piece of the end token alone; a null or repeated id is a document of its own;
 an empty table gives an empty table.
@@ -19,9 +18,11 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.llm.hashing import CHUNK, IS_SPACE, hash_spans
 from keelson.session import materialize
 
 LENGTH = 4096
@@ -37,54 +39,155 @@ TOKENIZER = "word_bpe_49k.json"
 NEARLY_FULL = 0.995
 PART_ITEMS = 50_000
 FAN_IN = 8
-CACHE_WORDS = 200_000
+CACHE_PIECES = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def word_encoder(file: str):
-    """A function from a text to its ids as little-endian unsigned 32-bit bytes."""
-    import public_tokenizers
-    from tokenizers import Tokenizer
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level models write for each byte: printable Latin-1 stands for itself,
+    the other bytes get the characters from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    tokenizer = Tokenizer.from_file(file if "/" in file else public_tokenizers.path(file))
-    cache: dict[bytes, bytes] = {}
 
-    def encode(texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in texts]  # bytes split at space and the controls from tab to carriage return
-        new = set().union(*split).difference(cache) if split else set()
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = set().union(*split)
-        new_words = list(new)
-        for at in range(0, len(new_words), 4096):
-            some = new_words[at : at + 4096]
-            for w, e in zip(some, tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                cache[w] = np.asarray(e.ids, "<u4").tobytes()
-        for s in split:
-            yield b"".join([cache[w] for w in s])
+#: Texts of these characters alone are split into pieces here, by the tokenizer's own rule (letter runs, single digits, other runs);
+#: NFC leaves them as they are. An apostrophe may start a contraction, which has a rule of its own.
+_PLAIN = re.compile(r"[!-&(-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF\x20\x09-\x0D]*+")
+_KIND = np.full(256, 3, np.int8)
+_KIND[IS_SPACE] = 0
+_KIND[48:58] = 2
+_KIND[97:123] = 1
+_KIND[128:] = 1
 
-    return encode
+
+class Encoder:
+    """Texts to their ids, each distinct piece encoded once by the tokenizer's model.
+
+    What was encoded is kept by the piece's 64-bit hash, for at most ``CACHE_PIECES`` pieces. Words outside the plain
+    alphabet, and those that hold an added token, go through the whole tokenizer, word by word.
+    """
+
+    def __init__(self, file: str):
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(file if "/" in file else public_tokenizers.path(file))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)  # sorted; the ids of key k are ids[at[k] : at[k] + n[k]]
+        self.at, self.n, self.ids, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
+
+    def plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and not any(a in text for a in self.added)
+
+    def _learn(self, keys: np.ndarray, found: list[bytes]) -> None:
+        made = [
+            [t.id for t in self.model.tokenize(p.decode() if p.isascii() else "".join([self.letters[b] for b in p]))]
+            for p in found
+        ]
+        n = np.array([len(m) for m in made], np.int64)
+        at = self.used + np.cumsum(n) - n
+        flat = np.array([i for m in made for i in m], np.uint32)
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(flat), np.uint32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        order = np.argsort(keys)
+        into = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, into, keys[order])
+        self.at, self.n = np.insert(self.at, into, at[order]), np.insert(self.n, into, n[order])
+
+    def _plain_ids(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        lower = [t.lower().encode() for t in texts]
+        raw = b"\n".join(lower)
+        buf = np.frombuffer(raw, np.uint8)
+        kind = _KIND[buf]
+        new = np.empty(len(buf), bool)
+        if len(buf):
+            new[0] = True
+            np.not_equal(kind[1:], kind[:-1], out=new[1:])
+            new |= kind == 2
+        edges = np.append(np.flatnonzero(new), len(buf))
+        real = kind[edges[:-1]] != 0
+        starts, ends = edges[:-1][real], edges[1:][real]
+        keys, first, which = np.unique(hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > CACHE_PIECES:
+            self.forget()
+        spot = np.searchsorted(self.keys, keys)
+        known = spot < len(self.keys)
+        known[known] = self.keys[spot[known]] == keys[known]
+        if not known.all():
+            at = first[~known]
+            self._learn(keys[~known], [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            spot = np.searchsorted(self.keys, keys)
+        n = self.n[spot][which]
+        last = np.cumsum(n)
+        take = np.arange(last[-1] if len(last) else 0) - np.repeat(last - n, n) + np.repeat(self.at[spot][which], n)
+        ids = self.ids[take]
+        text_ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in lower]))  # pieces before each text's end
+        return np.split(ids, np.concatenate(([0], last))[text_ends][:-1])
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, unsigned 32-bit."""
+        out: list = [None] * len(texts)
+        easy = [i for i, t in enumerate(texts) if self.plain(t)]
+        for i, ids in zip(easy, self._plain_ids([texts[i] for i in easy])):
+            out[i] = ids
+        for i, text in enumerate(texts):
+            if out[i] is None:
+                found = re.findall(r"[^\x20\x09-\x0D]+", text)
+                fine = [self.plain(w) for w in found]
+                made = iter(self._plain_ids([w for w, f in zip(found, fine) if f]))
+                parts = [
+                    next(made) if f else np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+                    for w, f in zip(found, fine)
+                ]
+                out[i] = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        return out
+
+
+@cache
+def encoder(file: str) -> Encoder:
+    """One per worker process, which serves many tasks."""
+    return Encoder(file)
+
+
+def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about a megabyte."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= CHUNK:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """One row per piece with the columns of :data:`PIECES`."""
-    end = np.asarray([end_id], "<u4").tobytes()
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def cut(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(tokenizer)
+        encode = encoder(tokenizer)
         for batch in iterator:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in _runs(texts):
                 rows = []
-                texts = [(t.as_py() or "").encode() for t in part.column(1)]
-                for doc, ids in zip(part.column(0).to_pylist(), encode(texts)):
-                    ids += end
-                    for k, a in enumerate(range(0, len(ids), 4 * length)):
-                        own = ids[a : a + 4 * length]
-                        rows.append((doc, k, a // 4, len(own) // 4, zlib.crc32(own)))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                for doc, ids in zip(docs[a:b], encode(texts[a:b])):
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                    for k, at in enumerate(range(0, len(ids), length)):
+                        own = ids[at : at + length]
+                        rows.append((doc, k, at, len(own), zlib.crc32(own.tobytes())))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
+                    [pa.array(c, t) for c, t in zip(zip(*rows), types)],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
