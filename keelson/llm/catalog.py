@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import chat, mixing, packing, quality, substring, warc
+from keelson.llm import chat, minhash, mixing, packing, quality, substring, warc
 
 _MODULES = {
     "op1_chat_format": chat,
     "op3_warc": warc,
     "op6_substring_dedup": substring,
     "op7_quality_rules": quality,
+    "op8_minhash_near_dedup": minhash,
     "op9_best_fit_packing": packing,
     "op10_mix_sources": mixing,
 }
