@@ -288,6 +288,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return out.select(back("doc").alias("doc_id"), "n_shingles", back("c").alias("component_id"), (F.col("doc") == F.col("c")).alias("kept"))
 
 
+def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``df`` that stay: the smallest id of each component, all columns unchanged."""
+    found = near_duplicates(df, doc_id, text)
+    gone = found.groupBy(F.col("doc_id").alias("_n_doc")).agg(F.max("kept").alias("kept")).where("not kept").select("_n_doc")
+    gone = materialize(gone, "near_duplicates")
+    few = gone.count() <= broadcast_ids
+    return df.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), F.col(doc_id) == F.col("_n_doc"), "left_anti")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -205,6 +205,26 @@ def digest(texts: list[bytes], kept: list[np.ndarray]) -> dict[str, pa.Array]:
     return {"kept_sha256": pa.array([hashlib.sha256(kept_words(t, k)).hexdigest() for t, k in zip(texts, kept)], pa.string())}
 
 
+def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """``df`` with the repeated words taken out of its texts.
+
+    A text that lost words becomes its kept words joined by one space, and ``n_chars``, if there is such a column, its
+    length; other rows stay as they are.
+    """
+
+    def lost(texts: list[bytes], kept: list[np.ndarray]) -> dict[str, pa.Array]:
+        return {"kept_text": pa.array([None if k.all() else kept_words(t, k).decode() for t, k in zip(texts, kept)], pa.string())}
+
+    # Column names of the input that the result needs for itself are out of the way meanwhile.
+    names = {c: f"_s{i}_{c}" for i, c in enumerate(df.columns)}
+    out = dedup_substrings(df.withColumnsRenamed(names), names[doc_id], names[text], finish=lost)
+    changed = {text: F.coalesce("kept_text", names[text])}
+    if n_chars in names:
+        length = F.length("kept_text").cast(df.schema[n_chars].dataType)
+        changed[n_chars] = F.when(F.col("kept_text").isNotNull(), length).otherwise(F.col(names[n_chars]))
+    return out.select(*[changed.get(c, F.col(names[c])).alias(c) for c in df.columns])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = dedup_substrings(docs, finish=digest, finish_schema="kept_sha256 string")
