@@ -9,8 +9,8 @@
    threshold go, and the others are confirmed on full sets.
 4. Components of the confirmed links: labels go to neighbours and jump to their label's label until none changes.
 5. A bucket whose classes now lie in several components may hold links that the stars missed. Its members are compared
-   across components by their signatures, in blocks of bounded size; likely pairs are confirmed, and the components
-   made again. So every pair that shares a band key is linked, or compared, or already connected.
+   across components by their signatures, in blocks of bounded size; the full sets of those that may have a link meet in the
+   same blocks, and with the links found the components are made again. So every pair that shares a band key is linked, or compared, or already connected.
 
 A pair at the threshold 0.85 shares one of 24 bands of 4 minima except with probability 3e-8, and the
 estimate drops it with less than 1e-9.
@@ -44,7 +44,7 @@ PERCENT = 85
 #: A pair with fewer equal minima is not confirmed; at similarity 0.85 this is over 7 standard deviations off.
 LEAST_EQUAL = 57
 BROADCAST_IDS = 200_000
-BLOCK = 256
+BLOCK = 512
 LANES = 64 // BITS
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -161,9 +161,9 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where(equal_minima(F.col("_a"), F.col("_b")) >= LEAST_EQUAL).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, df: DataFrame, doc_id: str, text: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """The pairs (a, b) that the full sets link."""
-    ids = materialize(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "confirm_ids")
+def full_sets(ids: DataFrame, df: DataFrame, doc_id: str, text: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """(doc, shingles) of the documents with the distinct ids ``doc``."""
+    ids = materialize(ids, "confirm_ids")
     few = ids.count() <= broadcast_ids
     docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text).alias("text"))
     wanted = docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc", "left_semi")
@@ -175,7 +175,12 @@ def confirmed(pairs: DataFrame, df: DataFrame, doc_id: str, text: str, broadcast
                 found = [s.tobytes() for s in shingle_sets(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], names=["doc", "shingles"])
 
-    full = materialize(wanted.mapInArrow(sets, "doc long, shingles binary"), "shingle_sets")
+    return materialize(wanted.mapInArrow(sets, "doc long, shingles binary"), "shingle_sets")
+
+
+def confirmed(pairs: DataFrame, df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The pairs (a, b) that the full sets link."""
+    full = full_sets(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), df, doc_id, text)
 
     def compare(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in iterator:
@@ -214,8 +219,62 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(done, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def _missed(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) across components inside a bucket, compared in blocks."""
+def _cells(iterator: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
+    """Runs of rows that agree on the first ``keys`` columns, also over batch borders: key and the other columns."""
+    cell, held = None, []
+    for batch in iterator:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if row[:keys] != cell:
+                if held:
+                    yield cell, [list(c) for c in zip(*held)]
+                cell, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield cell, [list(c) for c in zip(*held)]
+
+
+def _maybe(cell: tuple, own: list, label: list, sig: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the cell's two blocks, and which pairs of them may be links between components."""
+    own, label, sig = np.array(own), np.array(label), np.array(sig, np.int64).view(np.uint64)
+    left, right = np.flatnonzero(own == cell[1]), np.flatnonzero(own == cell[2])
+    ones = np.uint64(sum(1 << (BITS * k) for k in range(LANES)))
+    equal = np.full((len(left), len(right)), BANDS * ROWS)
+    for w in range(sig.shape[1]):
+        d = sig[left, w][:, None] ^ sig[right, w][None, :]
+        fold = d
+        for s in range(1, BITS):
+            fold = fold | (d >> np.uint64(s))
+        equal -= np.bitwise_count(fold & ones)
+    return left, right, (equal >= LEAST_EQUAL) & (label[left][:, None] != label[right][None, :])
+
+
+def _linked(x: list[np.ndarray], y: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Of the marked pairs of sets those that link; intersections come from a product of incidence matrices, by stretches of the words."""
+    words = np.unique(np.concatenate([*x, *y]))
+    common = np.zeros(pairs.shape, np.float32)
+    step = max(1, (8 << 20) // (len(x) + len(y)))
+
+    def incidence(sets: list[np.ndarray], low: int, part: np.ndarray) -> np.ndarray:
+        m = np.zeros((len(sets), len(part)), np.float32)
+        for i, s in enumerate(sets):
+            inside = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
+            m[i, np.searchsorted(part, inside)] = 1
+        return m
+
+    for low in range(0, len(words), step):
+        part = words[low : low + step]
+        common += incidence(x, low, part) @ incidence(y, low, part).T
+    union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - common
+    return pairs & (100 * common.astype(np.float64) >= PERCENT * union.astype(np.float64))
+
+
+def _missed(members: DataFrame, labels: DataFrame, classes: DataFrame, df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Links (a, b) between components inside a bucket, compared in blocks.
+
+    First the signatures say which members may have a link into another component; their full sets then meet in
+    the same blocks. A pair is compared in the first band that it shares, and a block emits no more links than join its
+    components, so neither rows shipped nor links made grow with the pairs.
+    """
     marked = materialize(members.join(labels.withColumnRenamed("node", "rep"), "rep"), "bucket_labels")
     mixed = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
     mixed = materialize(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed_buckets")
@@ -223,45 +282,56 @@ def _missed(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFr
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     # A member meets every block of its bucket: as first block up to its own number, as second from it on.
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "sig")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label", "sig", "rep")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    rows = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    ones = np.uint64(sum(1 << (BITS * k) for k in range(LANES)))
 
-    def likely(cell: tuple, own: np.ndarray, rep: np.ndarray, label: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        _, i, j = cell
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        differ = np.zeros((len(left), len(right)), np.int64)
-        for w in range(sig.shape[1]):
-            d = sig[left, w][:, None] ^ sig[right, w][None, :]
-            fold = d
-            for s in range(1, BITS):
-                fold = fold | (d >> np.uint64(s))
-            differ += np.bitwise_count(fold & ones)
-        x, y = np.nonzero((BANDS * ROWS - differ >= LEAST_EQUAL) & (label[left][:, None] != label[right][None, :]))
-        a, b = rep[left[x]], rep[right[y]]
-        return np.minimum(a, b), np.maximum(a, b)
+    def suspects(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, (own, label, sig, rep) in _cells(iterator, 3):
+            left, right, maybe = _maybe(cell, own, label, sig)
+            some = np.unique(np.concatenate([left[maybe.any(axis=1)], right[maybe.any(axis=0)]]))
+            if len(some):
+                columns = [[v] * len(some) for v in cell] + [[c[r] for r in some] for c in (own, label, rep)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))],
+                    names=["key", "i", "j", "own", "label", "rep"],
+                )
+
+    found = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
+        suspects, "key long, i int, j int, own int, label long, rep long"
+    )
+    found = materialize(found, "suspects")
+    full = full_sets(found.select(F.col("rep").alias("doc")).distinct(), df, doc_id, text)
+    rows = found.join(classes.select("rep", "sig", "bands"), "rep").join(full.withColumnRenamed("doc", "rep"), "rep")
+    rows = rows.select("key", "i", "j", "own", "label", "sig", "rep", "bands", "shingles")
 
     def compare(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []  # rows of a cell that may go on in the next batch
-        cell = None
-        def flush():
-            if len(held) < 2:
-                return None
-            own, rep, label = (np.array([r[k] for r in held], np.int64) for k in range(3))
-            a, b = likely(cell, own, rep, label, np.array([r[3] for r in held], np.int64).view(np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if len(a) else None
-        for batch in iterator:
-            for key, i, j, *row in zip(*[c.to_pylist() for c in batch.columns]):
-                if (key, i, j) != cell:
-                    if (out := flush()) is not None:
-                        yield out
-                    cell, held = (key, i, j), []
-                held.append(row)
-        if (out := flush()) is not None:
-            yield out
-
-    return rows.mapInArrow(compare, "a long, b long").distinct()
+        for cell, (own, label, sig, rep, bands, shingles) in _cells(iterator, 3):
+            left, right, maybe = _maybe(cell, own, label, sig)
+            bands = np.array(bands, np.int64)
+            k = int(np.flatnonzero(bands[0] == cell[0])[0])
+            for e in range(k):
+                maybe &= bands[left, e][:, None] != bands[right, e][None, :]
+            x, y = left[maybe.any(axis=1)], right[maybe.any(axis=0)]
+            if not len(x):
+                continue
+            sets = {r: np.frombuffer(shingles[r], np.uint64) for r in {*x.tolist(), *y.tolist()}}
+            maybe = maybe[maybe.any(axis=1)][:, maybe.any(axis=0)]
+            yes = _linked([sets[r] for r in x.tolist()], [sets[r] for r in y.tolist()], maybe)
+            joins, group = [], {l: l for l in label}
+            for p, q in zip(*[v.tolist() for v in np.nonzero(yes)]):
+                a, b = int(x[p]), int(y[q])
+                u, v = label[a], label[b]
+                while group[u] != u:
+                    u = group[u]
+                while group[v] != v:
+                    v = group[v]
+                if u != v:
+                    group[max(u, v)] = min(u, v)
+                    joins.append((rep[a], rep[b]))
+            if joins:
+                yield pa.RecordBatch.from_arrays([pa.array([j[i] for j in joins], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -277,11 +347,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     links = materialize(confirmed(stars, df, doc_id, text), "star_links")
     nodes = classes.select(F.col("rep").alias("node")).distinct()
     labels = materialize(components(nodes, links), "star_components")
-    missed = materialize(_missed(members.select("key", "rep"), labels, classes).join(stars, ["a", "b"], "left_anti"), "missed_pairs")
-    if not missed.isEmpty():
-        more = materialize(confirmed(missed, df, doc_id, text), "missed_links")
-        if not more.isEmpty():
-            labels = materialize(components(nodes, links.union(more)), "components")
+    more = materialize(_missed(members.select("key", "rep"), labels, classes, df, doc_id, text), "missed_links")
+    if not more.isEmpty():
+        labels = materialize(components(nodes, links.union(more)), "components")
     named = materialize(classes.select("set_key", F.col("rep").alias("node")).join(labels, "node").select("set_key", "label"), "class_labels")
     out = docs.select("doc", "n_shingles", "set_key").join(named, "set_key", "left").withColumn("c", F.coalesce("label", "doc"))
     back = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
