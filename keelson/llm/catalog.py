@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import ann, chat, minhash, mixing, packing, quality, substring, warc
+from keelson.llm import ann, chat, html, minhash, mixing, packing, quality, substring, warc
 
 _MODULES = {
     "op1_chat_format": chat,
     "op3_warc": warc,
     "op4_nearest_neighbours": ann,
+    "op5_main_text": html,
     "op6_substring_dedup": substring,
     "op7_quality_rules": quality,
     "op8_minhash_near_dedup": minhash,
