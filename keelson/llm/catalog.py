@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import ann, chat, html, minhash, mixing, packing, quality, substring, warc
+from keelson.llm import ann, chat, html, minhash, mixing, packing, quality, substring, suffix, warc
 
 _MODULES = {
     "op1_chat_format": chat,
+    "op2_suffix_dedup": suffix,
     "op3_warc": warc,
     "op4_nearest_neighbours": ann,
     "op5_main_text": html,

@@ -151,7 +151,8 @@ def blocks(page: str) -> list[Block]:
                 if tag == "br":
                     text.append(" ")
                 continue
-            for k in range(len(stack) - 1, 0, -1):  # what this tag ends
+            ends = opened["head"] or opened["a"] and tag == "a" or opened["p"] and tag in BLOCK_TAGS or any(opened[t] for t in _ENDS.get(tag, ()))
+            for k in range(len(stack) - 1, 0, -1) if ends else ():  # what this tag ends
                 open_ = stack[k].tag
                 if open_ == "head" and tag not in HEAD_TAGS or open_ in _ENDS.get(tag, ()) or open_ == "p" and tag in BLOCK_TAGS or open_ == tag == "a":
                     leave(k)
