@@ -69,6 +69,12 @@ def _slide_at(h: np.ndarray, span: int) -> np.ndarray:
     return at
 
 
+def _in_order(table: pa.Table, doc_id: str, text: str) -> pa.Table:
+    """The group's rows by id and text: segments are cut from the group's bytes, so every pass needs one order."""
+    ids, texts = runs.doc_ids(table, doc_id).tolist(), runs.texts(table, text)
+    return table.take(pa.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i])), pa.int64()))
+
+
 class _Group:
     """A group's bytes, anchor hashes and anchored suffixes, the same in every pass."""
 
@@ -313,7 +319,7 @@ def dedup_bytes(
     doc_id: str = "doc_id",
     text: str = "text",
     group_bytes: int = runs.GROUP_BYTES,
-    bucket_bytes: int = runs.BUCKET_BYTES,
+    bucket_bytes: int = runs.GROUP_BYTES,
     finish=None,
     finish_schema: str = "kept binary",
 ) -> DataFrame:
@@ -327,18 +333,20 @@ def dedup_bytes(
     docs, buckets = runs.grouped(df.select(*keep), doc_id, text, group_bytes, bucket_bytes)
 
     def ask(table: pa.Table) -> pa.Table:
-        return runs.key_runs(table.column(GROUP)[0].as_py(), *_Group(table, doc_id, text).anchors(), buckets)
+        g = _Group(_in_order(table, doc_id, text), doc_id, text)
+        return runs.key_runs(table.column(GROUP)[0].as_py(), *g.anchors(), buckets)
 
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
         if table.num_rows and replies.num_rows:
             number = table.column(GROUP)[0].as_py()
-            for b, rows, least, _, _ in _Group(table, doc_id, text).suffixes(replies, buckets).by_bucket(buckets):
+            for b, rows, least, _, _ in _Group(_in_order(table, doc_id, text), doc_id, text).suffixes(replies, buckets).by_bucket(buckets):
                 out.append((b, number, *front_code(rows), zlib.compress(least.tobytes(), 1)))
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["bucket", GROUP, "prefixes", "rest", "mins"])
 
     def finished(table: pa.Table, replies: pa.Table) -> pa.Table:
+        table = _in_order(table, doc_id, text)
         g = _Group(table, doc_id, text)
         edge = np.zeros(len(g.buf) + 1, np.int32)
         if replies.num_rows:
