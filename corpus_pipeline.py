@@ -20,8 +20,15 @@ from keelson.llm import minhash, mixing, packing, quality, substring
 from keelson.session import materialize
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list]:
+    """``docs`` with names that no operator's result has, the new names, and the columns that restore the old ones."""
+    names = {c: f"_c{i}_{c}" for i, c in enumerate(docs.columns)}
+    return docs.withColumnsRenamed(names), names, [F.col(n).alias(c) for c, n in names.items()]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(docs).where("kept").select(*docs.columns)
+    apart, names, back = _apart(docs)
+    return quality.quality_rules(apart, names["text"], names["source"]).where("kept").select(*back)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +36,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(docs).select(*docs.columns)
+    return substring.remove_repeats(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(mixing.sized(docs)).where("copies > 0")
+    apart, names, back = _apart(docs)
+    mixed = mixing.mix(mixing.sized(apart, names["text"]), names["source"], names["doc_id"]).where("copies > 0")
     each = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return each.select(*docs.columns)
+    return each.select(*back)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
