@@ -65,20 +65,23 @@ ENTITIES = [
     ("&amp;", "&"),  # last, so '&amp;lt;' becomes '&lt;' and not '<'
 ]
 
+# White space inside a character class: a tag name ends there, so <head> is not <header>.
+_IN = _WS[1:-1]
+
 _DROP_BLOCKS = [
-    ("re", rf"(?is)<head[^>]*>.*?</head{_WS}*>", ""),
-    ("re", rf"(?is)<script[^>]*>.*?</script{_WS}*>", ""),
-    ("re", rf"(?is)<style[^>]*>.*?</style{_WS}*>", ""),
-    ("re", rf"(?is)<noscript[^>]*>.*?</noscript{_WS}*>", ""),
+    ("re", rf"(?is)<head(?:[{_IN}/][^>]*)?>.*?</head{_WS}*>", ""),
+    ("re", rf"(?is)<script(?:[{_IN}/][^>]*)?>.*?</script{_WS}*>", ""),
+    ("re", rf"(?is)<style(?:[{_IN}/][^>]*)?>.*?</style{_WS}*>", ""),
+    ("re", rf"(?is)<noscript(?:[{_IN}/][^>]*)?>.*?</noscript{_WS}*>", ""),
     ("re", r"(?s)<!--.*?-->", ""),
 ]
 _BREAKS = [
-    ("re", rf"(?i)<br{_WS}*/?>", "\n"),
+    ("re", rf"(?i)<br(?:[{_IN}/][^>]*)?>", "\n"),
     ("re", rf"(?i)</({BLOCK_TAGS}){_WS}*>", "\n"),
 ]
 _MARKDOWN = [
     *[("re", rf"(?i)<h{n}[^>]*>", "\n" + "#" * n + " ") for n in range(1, 7)],
-    ("re", r"(?i)<li[^>]*>", "\n* "),
+    ("re", rf"(?i)<li(?:[{_IN}/][^>]*)?>", "\n* "),
     # Link text without nested tags: a bounded class instead of a lazy match, so an unclosed
     # <a> cannot make the scan run to the end of the text once per tag.
     ("re", r'(?i)<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', "[{2}]({1})"),
@@ -89,7 +92,7 @@ _TAGS = [("re", r"<[^>]*>", "")]
 _ENTITIES = [("lit", a, b) for a, b in ENTITIES]
 _BLANKS = [
     ("re", "[ \\t\\f\\r\\x0B]+", " "),
-    ("re", "(?: ?\\n ?)+", "\n"),
+    ("re", " ?\\n[ \\n]*", "\n"),  # no repeated group: those recurse once per round
     ("re", "\\A[ \\n]+|[ \\n]+\\z", ""),
 ]
 

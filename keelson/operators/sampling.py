@@ -25,7 +25,6 @@ CAP_SEED = 5
 SPLIT_SEED = 33
 SHUFFLE_SEED = 42
 # Above this many classes the per-class fractions are joined instead of inlined.
-MAX_INLINE_CLASSES = 1000
 
 
 def _u(key: Sequence[str] | str | None, seed: int | str) -> Column:
@@ -96,30 +95,19 @@ def balance_by_fractions(
 def balance_to_minority(df: DataFrame, label: str, key=None, seed: int | str = SAMPLE_SEED) -> DataFrame:
     """Keep the rarest class whole (ties: smallest value) and sample every other class
     down to its size. Null labels are dropped."""
-    lab = F.col(label)
-    counts = df.where(lab.isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_cnt"))
-    few = counts.limit(MAX_INLINE_CLASSES + 1).collect()
-    if len(few) <= MAX_INLINE_CLASSES:
-        if not few:
-            return df.limit(0)
-        base = min(few, key=lambda r: (r["_cnt"], r[label]))
-        frac = F.lit(0.0)
-        for r in few:
-            f = 1.0 if r[label] == base[label] else float(base["_cnt"]) / float(r["_cnt"])
-            frac = F.when(lab == F.lit(r[label]), F.lit(f)).otherwise(frac)
-        keep = (lab == F.lit(base[label])) | (_u(key, seed) < frac)
-        return df.where(lab.isNotNull() & keep)
-    # Many classes: join per-class fractions (a shuffle join, or broadcast if AQE finds it small).
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_cnt"))
     base = counts.orderBy("_cnt", label).limit(1).select(F.struct(F.col("_cnt").alias("m"), F.col(label).alias("b"))).scalar()
+    # One plan for any number of classes: a shuffle join, or a broadcast if AQE finds the fractions small.
     fr = counts.select(
         label, F.when(F.col(label) == base["b"], 1.0).otherwise(base["m"] / F.col("_cnt")).alias("_frac")
     )
-    return df.withColumn("_u", _u(key, seed)).join(fr, label).where(F.col("_u") < F.col("_frac")).drop(*_TMP)
+    kept = df.withColumn("_u", _u(key, seed)).join(fr, label).where((F.col("_u") < F.col("_frac")) | (F.col("_frac") == 1.0))
+    return kept.select(*df.columns)
 
 
 def sample_to_cap(
     df: DataFrame,
-    max_n: int,
+    max_n: int | None,
     mode: str = "sample",
     n: int | None = None,
     key=None,
@@ -128,7 +116,7 @@ def sample_to_cap(
     """When ``mode == 'sample'`` and the row count exceeds ``max_n``, keep ``max_n / count``
     of the rows. A known count ``n`` skips counting; otherwise the count is a scalar subquery
     evaluated once and used as a value in the filter."""
-    if mode != "sample":
+    if mode != "sample" or max_n is None:
         return df
     if n is not None:
         return df if max_n >= n else sample_fraction(df, float(max_n) / float(n), key, seed)
@@ -142,7 +130,7 @@ def balance_then_sample(
     balance: str = "unbalance",
     rate: Sequence[float] | None = (5, 1),
     mode: str = "sample",
-    max_n: int = 2_000_000,
+    max_n: int | None = None,
     label: str = "label",
     fractions: Sequence[float] | None = None,
     n: int | None = None,
@@ -151,16 +139,14 @@ def balance_then_sample(
     cap_seed: int | str = CAP_SEED,
 ) -> DataFrame:
     """E5: balance (ratio, or explicit fractions) then cap. ``balance='unbalance'`` cancels the
-    ratio but not explicit fractions; with neither, the rows labelled 0 or 1 pass whole. The
-    cap hashes with its own seed so it is independent of the balancing draw."""
+    ratio but not explicit fractions; with neither, all rows pass, whatever their label. There is no
+    cap unless ``max_n`` is given; it hashes with its own seed so it is independent of the balancing draw."""
     if balance == "unbalance":
         rate = None
     if fractions is not None:
         df = balance_by_fractions(df, fractions, label, key, seed)
     elif rate is not None:
         df = balance_to_ratio(df, rate, label, key, seed)
-    else:
-        df = df.where(F.col(label).isin(0.0, 1.0))
     return sample_to_cap(df, max_n, mode, n, key, cap_seed)
 
 

@@ -60,7 +60,7 @@ _MARKUP_CASE = (
 ARTICLES = f"""articles AS (
   SELECT 'd' || CAST(doc_id AS VARCHAR) AS article_id,
          CAST(to_json({{'rich_content': {{'text': text, 'spans': CAST([] AS VARCHAR[])}}}}) AS VARCHAR) AS content
-  FROM documents WHERE doc_id % 2 = 0
+  FROM documents
   UNION ALL
   SELECT 'p' || CAST(page_id AS VARCHAR) AS article_id,
          replace(html, '<body>', '<body>' || {_MARKUP_CASE}) AS content

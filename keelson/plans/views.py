@@ -99,9 +99,9 @@ SPLICE_MARKUP = [
 
 
 def rich_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rich-content JSON payloads: documents with an even ``doc_id`` wrapped as
+    """Rich-content JSON payloads: all documents, wrapped as
     ``{"rich_content": {"text": ..., "spans": []}}``."""
-    docs = table(spark, sf_dir, "documents").where(F.col("doc_id") % 2 == 0)
+    docs = table(spark, sf_dir, "documents")
     return docs.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("article_id"),
         F.to_json(

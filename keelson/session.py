@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 LOCAL_CONF = {
@@ -32,8 +33,9 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "keels
     builder = builder.config("spark.driver.memory", os.environ.get("KEELSON_DRIVER_MEMORY", "16g"))
     for key, value in LOCAL_CONF.items():
         builder = builder.config(key, value)
-    # Tests have no cluster folder: give them a scratch one, the only place we choose it.
-    builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="keelson-ckpt-", dir="/tmp"))
+    # Tests have no cluster folder: give them a scratch one unless a folder is configured.
+    if not SparkConf().contains("spark.checkpoint.dir"):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="keelson-ckpt-", dir="/tmp"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -48,8 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``, read from the session.
 
     The configured folder itself is returned (a stable root for this library's tables); it is
-    also registered for RDD checkpoints if none is yet. Only when the session names no folder
-    (a local run or a test harness) is a scratch folder created, once per application.
+    also registered for RDD checkpoints if none is yet. Only when a local session names no folder
+    (a test harness) is a scratch folder created, once per application; on a cluster that is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -59,9 +61,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not current and sc is not None:
         current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        key = sc.applicationId if sc is not None else "session"
+        if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        key = sc.applicationId
         if key not in _FALLBACK_DIRS:
-            existing = sc.getCheckpointDir() if sc is not None else None
+            existing = sc.getCheckpointDir()
             _FALLBACK_DIRS[key] = existing or tempfile.mkdtemp(prefix="keelson-ckpt-", dir="/tmp")
         current = _FALLBACK_DIRS[key]
     # setCheckpointDir adds a fresh sub-folder on every call: register once only.

@@ -37,14 +37,15 @@ def write_train_test(
 
     ``layout='partitioned'`` writes once to ``<base>`` partitioned by ``split``;
     ``layout='two_paths'`` writes ``<base>_train.parquet`` and ``<base>_test.parquet`` (two
-    jobs over the same deterministic plan). ``partitions > 0`` coalesces before writing.
+    jobs over the same deterministic plan). ``partitions > 0`` repartitions before writing.
     ``length_column`` adds min/max ``size()`` of that array column to the returned metrics.
     Returns the paths and the observed row counts.
     """
+    balance_kw.setdefault("rate", (1, 1))
     sampled = balance_then_sample(df, key=key, **balance_kw)
     split = with_split(sampled, weights, key=key)
     if partitions > 0:
-        split = split.coalesce(partitions)
+        split = split.repartition(partitions)  # not coalesce, which would pull the scan into so few tasks
     if layout == "partitioned":
         out, obs = _observed(split, "write_train_test", "split")
         length_obs = None

@@ -16,7 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from keelson.operators.text import clean_articles
-from keelson.session import scratch_path
 
 
 def stream_through(
@@ -33,7 +32,9 @@ def stream_through(
     """Read new files under ``source`` as a stream, apply ``transform``, append to ``sink``.
 
     ``available_now`` processes what is there in bounded batches and stops (a scheduled job);
-    otherwise the query keeps running with the default trigger.
+    otherwise the query keeps running with the default trigger. The checkpoint lies under the sink
+    unless one is given, so a later run into the same sink goes on where the last one ended. Without
+    ``max_files_per_trigger`` all new files are one batch.
     """
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
@@ -42,7 +43,7 @@ def stream_through(
     writer = (
         out.writeStream.format("parquet")
         .option("path", sink)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-checkpoint"))
+        .option("checkpointLocation", checkpoint or f"{sink.rstrip('/')}/_stream_checkpoint")
         .outputMode("append")
     )
     if available_now:
