@@ -362,7 +362,7 @@ def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "tex
     gone = found.groupBy(F.col("doc_id").alias("_n_doc")).agg(F.max("kept").alias("kept")).where("not kept").select("_n_doc")
     gone = materialize(gone, "near_duplicates")
     few = gone.count() <= broadcast_ids
-    return df.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), F.col(doc_id) == F.col("_n_doc"), "left_anti")
+    return df.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("_n_doc")), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -132,7 +132,7 @@ def _parse(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = lambda x: None if x is None else int(x)
     for batch in iterator:
         for content in batch.column("content"):
-            raw = zlib.decompress(content.as_buffer(), wbits=47)  # gzip or plain zlib header
+            raw = zlib.decompress(content.as_buffer(), wbits=47) if len(content.as_buffer()) else b""  # gzip
             rows, at, held = [], 0, 0
             while at < len(raw):
                 head = raw.index(b"\r\n\r\n", at)
