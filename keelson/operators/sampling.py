@@ -24,7 +24,6 @@ SAMPLE_SEED = 3
 CAP_SEED = 5
 SPLIT_SEED = 33
 SHUFFLE_SEED = 42
-# Above this many classes the per-class fractions are joined instead of inlined.
 
 
 def _u(key: Sequence[str] | str | None, seed: int | str) -> Column:
