@@ -140,13 +140,14 @@ def outcome_code_report(df: DataFrame, code: str, names: dict[int, str], digits:
     """Named outcome codes with their row count and share of all rows.
 
     ``names`` is a code -> description lookup (a handful of rows, broadcast); codes outside it
-    count in the total only. The total is a scalar subquery (a row count), not a join.
+    count in the total only. The total is a scalar subquery over the counts, not a second scan.
     """
     spark = df.sparkSession
     lookup = spark.createDataFrame(list(names.items()), f"{code} int, description string")
-    total = df.agg(F.count(F.lit(1))).scalar()
+    counts = value_counts(df, code)
+    total = counts.agg(F.sum("cnt")).scalar()
     return (
-        value_counts(df, code)
+        counts
         .join(F.broadcast(lookup), code)
         .select(code, "description", "cnt", share("cnt", total, digits).alias("share"))
     )
@@ -155,7 +156,8 @@ def outcome_code_report(df: DataFrame, code: str, names: dict[int, str], digits:
 def value_topk(df: DataFrame, column: str, n: int, digits: int = 5) -> DataFrame:
     """The ``n`` most frequent values with count and share of all rows (ties by value).
     ``orderBy(...).limit(n)`` plans as a per-partition top-n merged once (TakeOrdered); the
-    total is a scalar subquery."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    top = value_counts(df, column).orderBy(F.col("cnt").desc(), F.col(column).asc_nulls_last()).limit(n)
+    total is a scalar subquery over the counts."""
+    counts = value_counts(df, column)
+    total = counts.agg(F.sum("cnt")).scalar()
+    top = counts.orderBy(F.col("cnt").desc(), F.col(column).asc_nulls_last()).limit(n)
     return top.select(column, "cnt", share("cnt", total, digits).alias("share"))

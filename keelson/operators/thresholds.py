@@ -24,8 +24,9 @@ PENETRATION_THRESHOLDS: list[float] = [round(t, 4) for t in CONFUSION_THRESHOLDS
 
 
 def _bin(score: Column, thresholds: Sequence[float], strict: bool) -> Column:
-    """Number of thresholds the score passes (``>`` when strict, else ``>=``); null score -> 0."""
-    terms = [F.when((score > F.lit(t)) if strict else (score >= F.lit(t)), F.lit(1)).otherwise(F.lit(0)) for t in thresholds]
+    """Number of thresholds the score passes (``>`` when strict, else ``>=``); null score -> 0, and
+    NaN -> 0 when strict (Spark orders NaN above every number, so ``>`` alone would pass it)."""
+    terms = [F.when(((score > F.lit(t)) & ~F.isnan(score)) if strict else (score >= F.lit(t)), F.lit(1)).otherwise(F.lit(0)) for t in thresholds]
     total = terms[0]
     for t in terms[1:]:
         total = total + t
