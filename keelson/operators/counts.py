@@ -27,11 +27,13 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def long_layout(
     df: DataFrame, columns: Sequence[str], name: str = "feature", value: str = "value", keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Unpivot ``columns`` (cast to string) into ``(keep..., name, value)``; nulls are kept."""
+    """Unpivot ``columns`` (cast to string) into ``(keep..., name, value)``; nulls are kept, -0.0 is 0.0."""
     cols = list(columns)
     if not cols:
         raise ValueError("no columns to unpivot")
-    cast = df.select(*keep, *[F.col(c).cast("string").alias(c) for c in cols])
+    kinds = dict(df.dtypes)
+    one_zero = lambda c: F.col(c) + F.lit(0.0).cast(kinds[c]) if kinds.get(c) in ("float", "double") else F.col(c)
+    cast = df.select(*keep, *[one_zero(c).cast("string").alias(c) for c in cols])
     return cast.unpivot(list(keep), cols, name, value)
 
 

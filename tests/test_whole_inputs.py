@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from keelson import session
 from keelson.functions.text import strip_html
+from keelson.operators.counts import multi_value_counts
 from keelson.operators.sampling import balance_then_sample, balance_to_minority, sample_to_cap
 from keelson.streaming.stateless import clean_articles_stream
 
@@ -40,3 +41,9 @@ def test_stream_goes_on_in_the_same_sink(spark):
         spark.createDataFrame([(f"{k}", "<p>x</p>")], "article_id string, content string").write.mode("append").parquet(src)
         clean_articles_stream(spark, src, sink).awaitTermination()
         assert spark.read.parquet(sink).count() == k + 1
+
+
+def test_one_zero(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (1.5,), (None,)], "v double")
+    got = {r["value"]: r.cnt for r in multi_value_counts(df, ["v"]).collect()}
+    assert got == {"0.0": 2, "1.5": 1, None: 1}
