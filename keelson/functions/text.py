@@ -6,7 +6,8 @@ agree on every pattern, which is why patterns avoid ``\\s``, ``\\b`` and ``$`` (
 differs between the two engines) and use explicit classes, ``\\A`` and ``\\z`` instead.
 
 Step kinds: ``("re", pattern, replacement)`` for a global regex replace,
-``("lit", text, replacement)`` for a literal replace, and ``("gate", needle, steps)`` for a group
+``("lit", text, replacement)`` for a literal replace, ``("entities", "", "")`` for character references, each decoded once
+(unknown or unclosed ones and numbers that are no character stay), and ``("gate", needle, steps)`` for a group
 of steps that can only match when the text contains ``needle`` (all tag patterns need ``<``, all
 entities ``&``): Spark skips the group for other rows, the SQL text applies it unconditionally,
 and the results are the same. Group references in replacements are written ``{1}`` and
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,21 +51,11 @@ BLOCK_TAGS = (
     "p|div|h[1-6]|li|tr|article|section|header|footer|blockquote|ul|ol|table|nav|main|aside|"
     "figure|figcaption|pre|dd|dt"
 )
-ENTITIES = [
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&middot;", "·"),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&hellip;", "…"),
-    ("&mdash;", "—"),
-    ("&ndash;", "–"),
-    ("&amp;", "&"),  # last, so '&amp;lt;' becomes '&lt;' and not '<'
-]
+# Named references: the HTML 4 set of the standard library, and ``&apos;``. A no-break space becomes a space.
+ENTITY_NAMES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'", "nbsp": " "}
+_NUMBER = r"(?s)\A#(?:[xX]0*([0-9a-fA-F]{1,6})|0*([0-9]{1,7}));.*\z"
+_NAME = r"(?s)\A([a-zA-Z][a-zA-Z0-9]{1,9});.*\z"
+_INLINE_TAGS = "b|strong|i|em|u|s|span|font|code|small|big|sub|sup|mark|tt"
 
 # White space inside a character class: a tag name ends there, so <head> is not <header>.
 _IN = _WS[1:-1]
@@ -84,12 +76,16 @@ _MARKDOWN = [
     ("re", rf"(?i)<li(?:[{_IN}/][^>]*)?>", "\n* "),
     # Link text without nested tags: a bounded class instead of a lazy match, so an unclosed
     # <a> cannot make the scan run to the end of the text once per tag.
-    ("re", r'(?i)<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', "[{2}]({1})"),
+    # Formatting tags go first; so a link may hold them.
+    ("re", rf"(?i)</?(?:{_INLINE_TAGS})(?:[{_IN}/][^>]*)?>", ""),
+    ("re", rf"(?i)<a[{_IN}][^>]*href=\"([^\"]*)\"[^>]*>([^<]*)</a{_WS}*>", "[{2}]({1})"),
+    ("re", rf"(?i)<a[{_IN}][^>]*href='([^']*)'[^>]*>([^<]*)</a{_WS}*>", "[{2}]({1})"),
     ("re", r'(?i)<img[^>]*src="\{\{image_domain\}\}[^>]*>', ""),
     ("re", r'(?i)<img[^>]*src="([^"]*)"[^>]*>', "![]({1})"),
+    ("re", r"(?i)<img[^>]*src='([^']*)'[^>]*>", "![]({1})"),
 ]
 _TAGS = [("re", r"<[^>]*>", "")]
-_ENTITIES = [("lit", a, b) for a, b in ENTITIES]
+_ENTITIES = [("entities", "", "")]
 _BLANKS = [
     ("re", "[ \\t\\f\\r\\x0B]+", " "),
     ("re", " ?\\n[ \\n]*", "\n"),  # no repeated group: those recurse once per round
@@ -109,9 +105,40 @@ def _java_repl(r: str) -> str:
     return re.sub(r"\{(\d)\}", r"$\1", r)
 
 
+def _decode_entities(c: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for pair in ENTITY_NAMES.items() for x in pair])
+
+    def part(p: Column, i: Column) -> Column:
+        """A piece that followed an ampersand."""
+        code = F.conv(F.regexp_extract(p, _NUMBER, 1), 16, 10).cast("int")
+        code = F.coalesce(code, F.regexp_extract(p, _NUMBER, 2).try_cast("int"))
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.when(code == 160, F.lit(" ")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        char = F.coalesce(F.when(valid, char), F.try_element_at(names, F.regexp_extract(p, _NAME, 1)))
+        decoded = F.concat(char, F.substring(p, F.locate(";", p) + 1, F.length(p)))
+        return F.when(i == 0, p).otherwise(F.coalesce(decoded, F.concat(F.lit("&"), p)))
+
+    return F.array_join(F.transform(F.split(c, "&"), part), "")
+
+
+def _decode_entities_sql(expr: str) -> str:
+    names = ", ".join(f"{_sql_str(k)}: {_sql_str(v)}" for k, v in ENTITY_NAMES.items())
+    number, name = _sql_str(_NUMBER), _sql_str(_NAME)
+    code = (
+        f"CASE WHEN regexp_extract(p, {number}, 1) <> '' THEN CAST('0x' || regexp_extract(p, {number}, 1) AS INTEGER) "
+        f"ELSE TRY_CAST(regexp_extract(p, {number}, 2) AS INTEGER) END"
+    )
+    valid = f"(({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111)"
+    char = f"CASE WHEN {valid} THEN CASE WHEN ({code}) = 160 THEN ' ' ELSE chr({code}) END ELSE MAP {{{names}}}[regexp_extract(p, {name}, 1)] END"
+    decoded = f"coalesce(({char}) || substr(p, strpos(p, ';') + 1), '&' || p)"
+    return f"array_to_string(list_transform(str_split({expr}, '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE {decoded} END), '')"
+
+
 def _plain(c: Column, steps) -> Column:
     for kind, pat, repl in steps:
-        if kind == "re":
+        if kind == "entities":
+            c = _decode_entities(c)
+        elif kind == "re":
             c = F.regexp_replace(c, F.lit(pat), F.lit(_java_repl(repl)))
         else:
             c = F.replace(c, F.lit(pat), F.lit(repl))
@@ -159,6 +186,8 @@ def steps_sql(expr: str, steps) -> str:
     for kind, pat, repl in steps:
         if kind == "gate":
             expr = steps_sql(expr, repl)
+        elif kind == "entities":
+            expr = _decode_entities_sql(expr)
         elif kind == "re":
             expr = f"regexp_replace({expr}, {_sql_str(pat)}, {_sql_str(_re2_repl(repl))}, 'g')"
         else:
@@ -176,7 +205,7 @@ def strip_platform_markup(c: str | Column) -> Column:
 
 def strip_html(c: str | Column) -> Column:
     """HTML to plain text: drop head/script/style/comments, line breaks for ``br`` and block
-    ends, drop other tags (``<[^>]*>``), decode common entities (``&amp;`` last), collapse
+    ends, drop other tags (``<[^>]*>``), decode character references, collapse
     blanks and trim."""
     return apply_steps(_c(c), STRIP_HTML_STEPS)
 
@@ -188,11 +217,14 @@ def html_to_text(c: str | Column) -> Column:
 
 
 def rich_text(c: str | Column) -> Column:
-    """``rich_content.text`` of a JSON payload; when the payload does not parse, the text
-    between the text key and the spans key (left JSON-escaped); null when neither works."""
+    """``rich_content.text`` of a JSON payload; when the payload is not JSON as a whole (raw control characters in a
+    string, text after the value), the text between the text key and the spans key (left JSON-escaped); null when
+    neither works."""
     col = _c(c)
     fallback = F.when(col.rlike(RICH_FALLBACK), F.regexp_extract(col, RICH_FALLBACK, 1))
-    return F.coalesce(F.get_json_object(col, RICH_TEXT_PATH), fallback)
+    # As a member of an object, a payload with a tail does not parse; get_json_object alone takes it.
+    whole = F.try_parse_json(F.concat(F.lit('{"a":'), col, F.lit("}"))).isNotNull()
+    return F.coalesce(F.when(whole, F.get_json_object(col, RICH_TEXT_PATH)), fallback)
 
 
 def html_json_to_text(c: str | Column) -> Column:

@@ -11,19 +11,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions.numeric import share
 
 
-
-
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows per distinct value of ``column`` (null included): ``(column, cnt)``."""
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def as_text(column: str, kind: str | None) -> Column:
+    """The column as string, with one zero for floats."""
+    c = F.col(column)
+    return (c + F.lit(0.0).cast(kind) if kind in ("float", "double") else c).cast("string")
+
+
 def long_layout(
     df: DataFrame, columns: Sequence[str], name: str = "feature", value: str = "value", keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -32,29 +36,26 @@ def long_layout(
     if not cols:
         raise ValueError("no columns to unpivot")
     kinds = dict(df.dtypes)
-    one_zero = lambda c: F.col(c) + F.lit(0.0).cast(kinds[c]) if kinds.get(c) in ("float", "double") else F.col(c)
-    cast = df.select(*keep, *[one_zero(c).cast("string").alias(c) for c in cols])
+    cast = df.select(*keep, *[as_text(c, kinds.get(c)).alias(c) for c in cols])
     return cast.unpivot(list(keep), cols, name, value)
 
 
 def multi_value_counts(
     df: DataFrame, columns: Sequence[str], batch_size: int | None = None
 ) -> DataFrame:
-    """Rows per ``(feature, value)`` for many columns in one job.
+    """Rows per ``(feature, value)`` for many columns in one job and one scan.
 
-    ``batch_size`` splits very wide column lists into several unpivots (one union, still one
-    job) so the per-row expansion stays bounded.
+    ``batch_size`` unpivots very wide column lists in two steps, batches of columns and then the columns of a batch,
+    so that no single expansion is wider than the batch or the number of batches.
     """
     cols = list(columns)
-    step = batch_size or len(cols) or 1
-    parts = [
-        long_layout(df, cols[i : i + step]).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
-        for i in range(0, len(cols), step)
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if batch_size is None or batch_size >= len(cols):
+        return long_layout(df, cols).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    kinds = dict(df.dtypes)
+    pair = lambda c: F.struct(F.lit(c).alias("feature"), as_text(c, kinds[c]).alias("value"))
+    batches = [F.array(*[pair(c) for c in cols[i : i + batch_size]]) for i in range(0, len(cols), batch_size)]
+    long = df.select(F.explode(F.array(*batches)).alias("_b")).select(F.explode("_b").alias("_p")).select("_p.*")
+    return long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

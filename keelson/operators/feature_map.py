@@ -48,8 +48,7 @@ def sparse_map(
         return df.sparkSession.createDataFrame(
             [], "feature string, kind string, position bigint, value string, cnt bigint, rate double"
         )
-    src = df.select(*feats) if max_rows is None else sample_to_cap(df.select(*feats), max_rows, key=key)
-    counts = multi_value_counts(src, feats, batch_size)
+    counts = multi_value_counts(sample_to_cap(df, max_rows, key=key).select(*feats), feats, batch_size)
     # Every feature's counts sum to the row count: one row per feature, broadcast.
     totals = counts.groupBy("feature").agg(F.sum("cnt").alias("_n"))
     rate = F.col("cnt").cast("double") / F.col("_n").cast("double")
@@ -71,22 +70,26 @@ def feature_map(
     sparse: Sequence[str] = (),
     dense_method: str = "approx",
     given: DataFrame | None = None,
-    **kw,
+    rel_error: float = 0.01,
+    min_share: float = 0.001,
+    max_len: int = 100,
+    max_rows: int | None = None,
+    key=None,
+    batch_size: int | None = None,
 ) -> DataFrame:
     """Generate the map for the dense and sparse features (or pass ``given`` through),
-    as one table with the common layout."""
+    as one table with the common layout. ``max_rows`` samples the input of both parts first (off by default)."""
     if given is not None:
         return given
     parts = []
+    df = sample_to_cap(df, max_rows, key=key)
     if dense:
         if dense_method == "exact":
             parts.append(dense_map_exact(df, dense))
         else:
-            parts.append(dense_map_approx(df, dense, rel_error=kw.get("rel_error", 0.01)))
+            parts.append(dense_map_approx(df, dense, rel_error=rel_error))
     if sparse:
-        parts.append(
-            sparse_map(df, sparse, kw.get("min_share", 0.001), kw.get("max_len", 100))
-        )
+        parts.append(sparse_map(df, sparse, min_share, max_len, batch_size=batch_size))
     if not parts:
         raise ValueError("no features requested")
     out = parts[0]

@@ -32,28 +32,38 @@ def feature_importance(
 ) -> DataFrame:
     """Report ``(section, name, value)``: section ``importance`` has one row per feature
     (importance, descending ranks in ``rank``), section ``confusion`` has tp, fp, fn, tn,
-    precision and recall on the test part (label 1 = positive)."""
+    precision and recall on the test part (label 1 = positive), and section ``skipped`` the labelled rows of each
+    part that the tree could not take since a feature is null or NaN.
+
+    The labelled rows and their split are written once to the shared folder; the fit, the scoring and the counts read that.
+    Without training rows there are no importances and the counts are 0."""
     feats = list(features)
     data = df.select(*feats, F.col(label).cast("double").alias("_label"), *([key] if isinstance(key, str) else []))
     data = data.where(F.col("_label").isin(0.0, 1.0))
-    # The split is a deterministic hash, so the fit (which caches its own input) and the test
-    # scoring may each evaluate it and see the same rows.
-    split = with_split(data, weights, key=key)
-    assembler = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="skip")
+    doubles = [F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(feats)]
+    usable = ~F.exists(F.array(*doubles), lambda x: x.isNull() | F.isnan(x))
+    named = with_split(data, weights, key=key).select("split", "_label", *doubles, usable.alias("_usable"))
+    split = materialize(named, "importance_rows")
+    skipped = split.agg(
+        *[F.count(F.when((F.col("split") == p) & ~F.col("_usable"), 1)).cast("double").alias(p) for p in ("train", "test")]
+    ).unpivot([], ["train", "test"], "name", "value")
+    skipped = skipped.select(F.lit("skipped").alias("section"), "name", "value", F.lit(None).cast("int").alias("rank"))
+    split = split.where("_usable")
+    assembler = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(feats))], outputCol="_features")
     train = assembler.transform(split.where(F.col("split") == "train"))
     test = assembler.transform(split.where(F.col("split") == "test"))
     tree = DecisionTreeClassifier(
         featuresCol="_features", labelCol="_label", maxDepth=max_depth, seed=seed, cacheNodeIds=False
     )
-    model = tree.fit(train)
+    model = tree.fit(train) if train.limit(1).count() else None
     spark = df.sparkSession
-    imp = model.featureImportances.toArray().tolist()
+    imp = model.featureImportances.toArray().tolist() if model else []
     ranked = sorted(zip(feats, imp), key=lambda x: (-x[1], x[0]))
     importance = spark.createDataFrame(
         [("importance", f, float(v), i + 1) for i, (f, v) in enumerate(ranked)],
         "section string, name string, value double, rank int",
     )
-    pred = model.transform(test).select("_label", "prediction")
+    pred = (model.transform(test) if model else test.withColumn("prediction", F.lit(0.0)).limit(0)).select("_label", "prediction")
     y, p = F.col("_label") == 1.0, F.col("prediction") == 1.0
     counts = pred.agg(
         F.count(F.when(y & p, 1)).alias("tp"),
@@ -72,7 +82,7 @@ def feature_importance(
     confusion = metrics.unpivot([], ["tp", "fp", "fn", "tn", "precision", "recall"], "name", "value").select(
         F.lit("confusion").alias("section"), "name", "value", F.lit(None).cast("int").alias("rank")
     )
-    return importance.unionByName(confusion)
+    return importance.unionByName(confusion).unionByName(skipped)
 
 
 def importance_analysis(
@@ -81,16 +91,13 @@ def importance_analysis(
     label: str = "label",
     rate: Sequence[float] | None = (1, 1),
     mode: str = "sample",
-    max_n: int = 2_000_000,
+    max_n: int | None = 2_000_000,
     key=None,
     **tree_kw,
 ) -> DataFrame:
     """Balance to ``rate``, cap at ``max_n`` rows, then ``feature_importance``.
 
-    The capped sample (at most about ``max_n`` rows) is written once to the shared scratch
-    folder: the fit runs many jobs, and each would otherwise re-run the label and row counts
-    that the balancing and the cap take over the whole input.
+    ``max_n`` bounds the labelled rows of the fit; ``None`` fits on all of them.
     """
     sampled = balance_then_sample(df, balance="balance", rate=rate, mode=mode, max_n=max_n, label=label, key=key)
-    cols = list(dict.fromkeys([*features, label, *([key] if isinstance(key, str) else [])]))
-    return feature_importance(materialize(sampled.select(*cols), "importance_sample"), features, label, key=key, **tree_kw)
+    return feature_importance(sampled, features, label, key=key, **tree_kw)

@@ -19,16 +19,20 @@ def _sessions_where(df: DataFrame, cond, session: str) -> DataFrame:
     return df.where(cond).select(session).where(F.col(session).isNotNull()).distinct()
 
 
+def _without(df: DataFrame, bad: DataFrame, session: str) -> DataFrame:
+    """Rows outside the sessions ``bad``. Rows without a session pass beside the join, so they are not shuffled as one key."""
+    null = F.col(session).isNull()
+    return df.where(~null).join(bad, session, "left_anti").select(*df.columns).unionByName(df.where(null))
+
+
 def drop_sessions_below(df: DataFrame, feature: str, min_value, session: str = "session_id") -> DataFrame:
     """Remove every row of any session having a row with ``feature < min_value``."""
-    bad = _sessions_where(df, F.col(feature) < F.lit(min_value), session)
-    return df.join(bad, session, "left_anti")
+    return _without(df, _sessions_where(df, F.col(feature) < F.lit(min_value), session), session)
 
 
 def drop_sessions_above(df: DataFrame, feature: str, max_value, session: str = "session_id") -> DataFrame:
     """Remove every row of any session having a row with ``feature > max_value``."""
-    bad = _sessions_where(df, F.col(feature) > F.lit(max_value), session)
-    return df.join(bad, session, "left_anti")
+    return _without(df, _sessions_where(df, F.col(feature) > F.lit(max_value), session), session)
 
 
 def keep_sessions_with(df: DataFrame, feature: str, value, session: str = "session_id") -> DataFrame:
@@ -39,4 +43,5 @@ def keep_sessions_with(df: DataFrame, feature: str, value, session: str = "sessi
 
 def entities_only_in(a: DataFrame, b: DataFrame, entity: str) -> DataFrame:
     """Distinct entities of ``a`` that are not in ``b`` (set semantics: null equals null)."""
-    return a.select(entity).subtract(b.select(entity))
+    # Distinct on both sides first: a hot entity is one row per map task before the shuffle.
+    return a.select(entity).distinct().subtract(b.select(entity).distinct())

@@ -8,11 +8,10 @@ Rule, per feature, for an old vocabulary of length L whose last slot is reserved
 - when candidates run out a gap keeps its old value; surplus candidates are dropped.
 So the length never changes. Values are compared null-safely and must be unique per feature.
 
-Plan: semi / anti joins on (feature, value), gap ranks by position, candidate ranks by
-frequency, and an equi-join on (feature, rank). Only the first ``L - 1`` candidates of a feature
-can fill a gap, so candidate ranking is a top-k per feature (Spark's window group limit keeps
-at most k rows per feature and hash bucket before ranking per feature), whatever the column's
-cardinality.
+Plan: old slots and candidates are united and grouped once by (feature, value), which tells reserved, matched,
+free and missing values apart. Candidates that occur several times in ``new`` count together. Only the first ``L - 1``
+free candidates of a feature can fill a gap, so their ranking is a top-k per feature, whatever the column's
+cardinality; gaps and fillers, both bounded by the vocabulary's length, meet on (feature, rank). Nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -24,48 +23,40 @@ from pyspark.sql import functions as F
 
 from keelson.operators.counts import multi_value_counts
 from keelson.operators.ordered import top_k_per_group
-
-
-def _ns_join(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    cond = (left["feature"] == right["_f"]) & left["value"].eqNullSafe(right["_v"])
-    return left.join(right, cond, how)
+from keelson.session import materialize
 
 
 def vocabulary_merge(old: DataFrame, new: DataFrame) -> DataFrame:
     """``old``: ``(feature, position, value)`` positions 1..L per feature; ``new``:
     ``(feature, value, cnt)`` candidate frequencies. Returns ``(feature, position, value)``."""
     last = Window.partitionBy("feature")
-    old = old.select("feature", "position", "value", F.max("position").over(last).alias("_L"))
-    reserved = old.where(F.col("position") == F.col("_L"))
-    slots = old.where(F.col("position") < F.col("_L"))
-
-    def keys(df: DataFrame) -> DataFrame:
-        return df.select(F.col("feature").alias("_f"), F.col("value").alias("_v"))
-
-    # The old vocabulary is small (features x length); the candidates are every distinct value.
-    # Only the old side is broadcast, and the large side is never shuffled to meet it.
-    cands = _ns_join(new.select("feature", "value", "cnt"), F.broadcast(keys(reserved)), "left_anti")
-    matched = _ns_join(cands.select("feature", "value"), F.broadcast(keys(slots)), "left_semi")
-    kept = _ns_join(slots, F.broadcast(keys(matched)), "left_semi")
-    gaps = _ns_join(slots, F.broadcast(keys(matched)), "left_anti")
-    remaining = _ns_join(cands, F.broadcast(keys(slots)), "left_anti")
+    none = F.lit(None).cast("long")
+    slot = F.struct(F.col("position").cast("long").alias("position"), (F.col("position") == F.col("_L")).alias("last"))
+    sized = old.select("feature", "position", "value", F.max("position").over(last).alias("_L"))
+    sized = materialize(sized, "vocabulary")  # features x length rows; two branches and the length read it
+    slots = sized.select("feature", "value", none.alias("cnt"), slot.alias("_slot"))
+    cands = new.select("feature", "value", F.col("cnt").cast("long").alias("cnt")).withColumn("_slot", F.lit(None).cast(slots.schema["_slot"].dataType))
+    # One row per value: its count and its old slots (collect_list skips nulls; a vocabulary's length bounds it).
+    values = (
+        slots.unionByName(cands)
+        .groupBy("feature", "value")
+        .agg(F.sum("cnt").alias("cnt"), F.collect_list("_slot").alias("_slots"))
+        .withColumn("_cand", F.col("cnt").isNotNull() & ~F.exists("_slots", lambda s: s["last"]))
+    )
+    taken = values.where(F.size("_slots") > 0).select("feature", "value", "_cand", F.inline("_slots"))
+    gap = ~(F.col("last") | F.col("_cand"))
+    by_position = Window.partitionBy("feature", gap).orderBy("position")
+    slots = taken.select("feature", "position", "value", F.when(gap, F.row_number().over(by_position)).alias("_r"))
 
-    # Largest vocabulary length: a scalar from the (small) old vocabulary table.
-    k = old.agg(F.max("_L")).first()[0] or 1
+    # One number, the largest vocabulary length, is read ahead: a top-k takes a literal.
+    k = sized.agg(F.max("_L")).first()[0] or 1
     by_freq = [F.col("cnt").desc(), F.col("value").asc_nulls_last()]
-    ranked = top_k_per_group(remaining, ["feature"], by_freq, max(k - 1, 0), rank="_r")
-    gap_rank = gaps.withColumn("_r", F.row_number().over(Window.partitionBy("feature").orderBy("position")))
-    cand = ranked.select("feature", "_r", F.col("value").alias("_new"), F.lit(True).alias("_hit"))
-    fill = gap_rank.join(cand, ["feature", "_r"], "left")
+    free = values.where(F.col("_cand") & (F.size("_slots") == 0)).select("feature", "value", "cnt")
+    ranked = top_k_per_group(free, ["feature"], by_freq, max(k - 1, 0), rank="_r")
     # A null candidate is a value too, so the match flag, not the value, decides.
-    filled = fill.select(
-        "feature", "position", F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("value")).alias("value")
-    )
-    return (
-        kept.select("feature", "position", "value")
-        .unionByName(filled)
-        .unionByName(reserved.select("feature", "position", "value"))
-    )
+    fillers = ranked.select("feature", "_r", F.col("value").alias("_new"), F.lit(True).alias("_hit"))
+    value = F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("value"))
+    return slots.join(fillers, ["feature", "_r"], "left").select("feature", "position", value.alias("value"))
 
 
 def vocabulary_refresh(df: DataFrame, features: Sequence[str], vocab: DataFrame) -> DataFrame:

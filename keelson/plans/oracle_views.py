@@ -36,24 +36,23 @@ DENSE_IN = """dense_in AS (
 )"""
 
 
-def _vocab_counts(name: str, cond: str) -> str:
-    return f"""{name} AS (
-  SELECT 'p_brand' AS feature, p_brand AS value, count(*) AS cnt FROM part WHERE {cond} GROUP BY p_brand
+VOCAB_PART = """vocab_part AS (
+  SELECT 'p_brand' AS feature, p_brand AS value, count(*) AS cnt FROM part GROUP BY p_brand
+)"""
+VOCAB_NEW = """vocab_new AS (
+  SELECT 'p_brand' AS feature, p_brand AS value, count(*) AS cnt FROM lineitem JOIN part ON l_partkey = p_partkey
+  GROUP BY p_brand
 )"""
-
-
-VOCAB_SMALL = _vocab_counts("vocab_small", "p_size <= 25")
-VOCAB_NEW = _vocab_counts("vocab_new", "p_size > 25")
 VOCAB_OLD = """vocab_old AS (
   SELECT feature, position, value FROM (
     SELECT feature, value,
            row_number() OVER (PARTITION BY feature ORDER BY cnt DESC, value ASC NULLS LAST) AS position
-    FROM vocab_small) WHERE position <= 11
+    FROM vocab_part) WHERE position <= 11
 )"""
 
 _MARKUP_CASE = (
     "CASE "
-    + " ".join(f"WHEN page_id % 4 = {i} THEN {_sql_str(m)}" for i, m in enumerate(SPLICE_MARKUP))
+    + " ".join(f"WHEN page_id % {len(SPLICE_MARKUP)} = {i} THEN {_sql_str(m)}" for i, m in enumerate(SPLICE_MARKUP))
     + " END"
 )
 
@@ -62,6 +61,8 @@ ARTICLES = f"""articles AS (
          CAST(to_json({{'rich_content': {{'text': text, 'spans': CAST([] AS VARCHAR[])}}}}) AS VARCHAR) AS content
   FROM documents
   UNION ALL
+  SELECT 'r' || CAST(doc_id AS VARCHAR), '{{"rich_content":{{"text":"' || text || '","spans":[]}}}}' FROM documents
+  UNION ALL
   SELECT 'p' || CAST(page_id AS VARCHAR) AS article_id,
          replace(html, '<body>', '<body>' || {_MARKUP_CASE}) AS content
   FROM pages
@@ -70,7 +71,7 @@ ARTICLES = f"""articles AS (
 _VIEWS = {
     "feed": [FEED],
     "dense_in": [DENSE_IN],
-    "vocab_old": [VOCAB_SMALL, VOCAB_OLD],
+    "vocab_old": [VOCAB_PART, VOCAB_OLD],
     "vocab_new": [VOCAB_NEW],
     "articles": [ARTICLES],
 }

@@ -10,7 +10,7 @@ from keelson.operators import quantiles as Q
 from keelson.operators import vocabulary as V
 from keelson.plans.catalog import register
 from keelson.plans.oracle_views import with_views
-from keelson.plans.views import DENSE_COLUMNS, SPARSE_FEED_COLUMNS, dense_in, feed, table, vocab_new, vocab_old
+from keelson.plans.views import DENSE_COLUMNS, SPARSE_FEED_COLUMNS, dense_in, feed, ordered_parts, table, vocab_new, vocab_old
 
 LINE_SPARSE = ["l_returnflag", "l_linestatus", "l_linenumber"]
 
@@ -99,6 +99,35 @@ def q_dense_map_approx(spark, sf_dir):
     return Q.dense_map_approx(dense_in(spark, sf_dir), DENSE_COLUMNS, rel_error=0.0)
 
 
+_SKETCH_ERROR = 0.01
+
+
+@register(
+    "dense_map_sketch",
+    "SELECT feature, true AS within FROM (VALUES " + ", ".join(f"('{c}')" for c in DENSE_COLUMNS) + ") AS w(feature)",
+)
+def q_dense_map_sketch(spark, sf_dir):
+    """The default (sketch) path: the 95% bound of each feature has its rank within the sketch's error."""
+    rows = dense_in(spark, sf_dir)
+    found = Q.dense_map_approx(rows, DENSE_COLUMNS, rel_error=_SKETCH_ERROR)
+    bounds = found.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("feature", "max"))).alias("m")).scalar()
+    n = F.count(F.lit(1))
+    counted = rows.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("feature"),
+                    (F.count(F.when(F.col(c) < bounds[c], 1)) / n).alias("below"),
+                    (F.count(F.when(F.col(c) <= bounds[c], 1)) / n).alias("upto"),
+                )
+                for c in DENSE_COLUMNS
+            ]
+        ).alias("a")
+    )
+    inside = (F.col("below") <= 0.95 + _SKETCH_ERROR) & (F.col("upto") >= 0.95 - _SKETCH_ERROR)
+    return counted.select(F.inline("a")).select("feature", inside.alias("within"))
+
+
 def _sparse_sql(src: str, cols, min_share=0.001, max_len=100, name="sp") -> str:
     counts = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, v AS value, count(*) AS cnt FROM (SELECT CAST({c} AS VARCHAR) AS v FROM {src}) "
@@ -254,18 +283,12 @@ def q_vocabulary_merge(spark, sf_dir):
     return V.vocabulary_merge(vocab_old(spark, sf_dir), vocab_new(spark, sf_dir))
 
 
-_REFRESH_NEW = """fresh AS (
-  SELECT 'p_brand' AS feature, CAST(p_brand AS VARCHAR) AS value, count(*) AS cnt FROM part WHERE p_size > 40
-  GROUP BY p_brand)"""
-
-
 @register(
     "vocabulary_refresh",
-    with_views("vocab_old") + ", " + _REFRESH_NEW + ", " + _merge_sql("vocab_old", "fresh") + "SELECT * FROM merged",
+    with_views("vocab_old", "vocab_new") + ", " + _merge_sql("vocab_old", "vocab_new") + "SELECT * FROM merged",
 )
 def q_vocabulary_refresh(spark, sf_dir):
-    recent = table(spark, sf_dir, "part").where(F.col("p_size") > 40)
-    return V.vocabulary_refresh(recent, ["p_brand"], vocab_old(spark, sf_dir))
+    return V.vocabulary_refresh(ordered_parts(spark, sf_dir), ["p_brand"], vocab_old(spark, sf_dir))
 
 
 # --- map persistence (write, read back) -----------------------------------------------------
@@ -274,7 +297,8 @@ def q_vocabulary_refresh(spark, sf_dir):
     "WITH " + _FMAP_CTES + "SELECT kind, count(*) AS entries FROM fmap GROUP BY kind",
 )
 def q_write_feature_map(spark, sf_dir):
-    from keelson.sources.sinks import scratch_path, write_feature_map
+    from keelson.session import scratch_path
+    from keelson.sources.sinks import write_feature_map
 
     path = write_feature_map(_line_map(spark, sf_dir), scratch_path(spark, "feature_map"))
     return spark.read.parquet(path).groupBy("kind").agg(F.count(F.lit(1)).alias("entries"))
@@ -282,7 +306,8 @@ def q_write_feature_map(spark, sf_dir):
 
 @register("read_feature_map", "WITH " + _FMAP_CTES + "SELECT * FROM fmap")
 def q_read_feature_map(spark, sf_dir):
-    from keelson.sources.sinks import read_feature_map, scratch_path, write_feature_map
+    from keelson.session import scratch_path
+    from keelson.sources.sinks import read_feature_map, write_feature_map
 
     path = write_feature_map(_line_map(spark, sf_dir), scratch_path(spark, "feature_map"))
     return read_feature_map(spark, path)

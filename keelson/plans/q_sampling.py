@@ -3,14 +3,16 @@ A writers). Key = ``event_id``; the oracles recompute the same md5 fractions in
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from keelson.functions.sampling import unit_hash_sql
+from keelson.functions.sampling import unit_hash, unit_hash_sql
 from keelson.operators import sampling as E
 from keelson.plans.catalog import register
 from keelson.plans.oracle_views import with_views
-from keelson.plans.views import feed
-from keelson.sources.sinks import scratch_path, write_all, write_train_test
+from keelson.plans.views import feed, table
+from keelson.session import scratch_path
+from keelson.sources.sinks import write_all, write_train_test
 
 FEED = with_views("feed")
 KEY = "event_id"
@@ -75,6 +77,24 @@ def q_balance_to_minority(spark, sf_dir):
     return E.balance_to_minority(feed(spark, sf_dir), "user_class", key=KEY)
 
 
+_LINES = ["l_orderkey", "l_linenumber", "l_partkey"]
+_LINE_KEY = "CAST(l_orderkey AS VARCHAR) || chr(1) || CAST(l_linenumber AS VARCHAR)"
+
+
+@register(
+    "balance_to_minority_many",
+    f"""WITH c AS (SELECT l_partkey, count(*) AS cnt FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY l_partkey),
+b AS (SELECT l_partkey AS base, cnt AS mn FROM c ORDER BY cnt, l_partkey LIMIT 1)
+SELECT {", ".join("l." + x for x in _LINES)} FROM lineitem l JOIN c ON l.l_partkey = c.l_partkey CROSS JOIN b
+WHERE l.l_partkey = b.base OR {unit_hash_sql(_LINE_KEY, E.SAMPLE_SEED)} < CAST(b.mn AS DOUBLE) / CAST(c.cnt AS DOUBLE)
+""",
+)
+def q_balance_to_minority_many(spark, sf_dir):
+    """Thousands of classes: one for each ordered part."""
+    lines = table(spark, sf_dir, "lineitem").select(*_LINES)
+    return E.balance_to_minority(lines, "l_partkey", key=["l_orderkey", "l_linenumber"])
+
+
 # --- E2 / E3 / E4 ---------------------------------------------------------------------------
 @register("balance_to_ratio", FEED + "SELECT * FROM " + _ratio_sql("feed", (2, 1)))
 def q_balance_to_ratio(spark, sf_dir):
@@ -98,6 +118,45 @@ def q_sample_to_cap(spark, sf_dir):
     return E.sample_to_cap(feed(spark, sf_dir), 4000, key=KEY)
 
 
+@register(
+    "sample_to_cap_exact",
+    FEED + f"SELECT * FROM feed QUALIFY row_number() OVER (ORDER BY {_u(E.CAP_SEED)}, {_KEY_SQL}) <= 4000",
+)
+def q_sample_to_cap_exact(spark, sf_dir):
+    return E.sample_to_cap(feed(spark, sf_dir), 4000, key=KEY, exact=True)
+
+
+_FLAG_JSON = """'{"l_returnflag":"' || l_returnflag || '","l_linestatus":"' || l_linestatus || '"}'"""
+_COPY_KEY = f"{_FLAG_JSON} || ':' || CAST(copy AS VARCHAR)"
+
+
+@register(
+    "sample_to_cap_keyless",
+    f"""SELECT l_returnflag, l_linestatus
+FROM (SELECT l_returnflag, l_linestatus, row_number() OVER (PARTITION BY l_returnflag, l_linestatus) AS copy,
+             count(*) OVER () AS n FROM lineitem)
+WHERE n <= 5000 OR {unit_hash_sql(_COPY_KEY, E.CAP_SEED)} < CAST(5000 AS DOUBLE) / CAST(n AS DOUBLE)
+""",
+)
+def q_sample_to_cap_keyless(spark, sf_dir):
+    """Few different rows with many copies each: copies are drawn one by one."""
+    return E.sample_to_cap(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus"), 5000)
+
+
+_DID_KEY = "coalesce(CAST(did AS VARCHAR), '{\"event_id\":' || CAST(event_id AS VARCHAR) || '}')"
+
+
+@register(
+    "sample_to_cap_null_keys",
+    FEED
+    + f"""SELECT event_id, did FROM (SELECT event_id, did, count(*) OVER () AS n FROM feed)
+WHERE n <= 4000 OR {unit_hash_sql(_DID_KEY, E.CAP_SEED)} < CAST(4000 AS DOUBLE) / CAST(n AS DOUBLE)""",
+)
+def q_sample_to_cap_null_keys(spark, sf_dir):
+    """By entity: its rows share one fate, rows without one are drawn one by one."""
+    return E.sample_to_cap(feed(spark, sf_dir).select("event_id", "did"), 4000, key="did")
+
+
 # --- E5 / E6 --------------------------------------------------------------------------------
 _BTS = FEED + ", bal AS " + _ratio_sql("feed", (2, 1)) + "\n"
 
@@ -107,6 +166,12 @@ def q_balance_then_sample(spark, sf_dir):
     return E.balance_then_sample(feed(spark, sf_dir), balance="balance", rate=(2, 1), max_n=2000, key=KEY)
 
 
+@register("balance_unbalanced", FEED + "SELECT * FROM feed")
+def q_balance_unbalanced(spark, sf_dir):
+    """The default mode: rows pass whatever their label, null included."""
+    return E.balance_then_sample(feed(spark, sf_dir), key=KEY)
+
+
 _SPLIT_BASE = FEED + ", bal AS " + _ratio_sql("feed", (1, 1)) + ", capped AS " + _cap_sql("bal", 3000) + "\n"
 _SPLIT_COL = f"CASE WHEN {_u(E.SPLIT_SEED)} < {_dbl(0.8 / 1.0)} THEN 'train' ELSE 'test' END"
 
@@ -177,3 +242,49 @@ def q_write_all(spark, sf_dir):
     base = scratch_path(spark, "feed")
     path = write_all(feed(spark, sf_dir), base, key=KEY, balance="balance", rate=(2, 1), max_n=2000)
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+_BAL = FEED + ", bal AS " + _ratio_sql("feed", (1, 1)) + "\n"
+
+
+@register(
+    "write_train_test_whole",
+    _BAL + f"SELECT split, count(*) AS n_rows FROM (SELECT {_SPLIT_COL} AS split FROM bal) GROUP BY split",
+)
+def q_write_train_test_whole(spark, sf_dir):
+    base = scratch_path(spark, "feed_split")
+    write_train_test(feed(spark, sf_dir), base, (0.8, 0.2), key=KEY, balance="balance")
+    return spark.read.parquet(base).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("write_all_whole", _BAL + "SELECT count(*) AS n_rows FROM bal")
+def q_write_all_whole(spark, sf_dir):
+    path = write_all(feed(spark, sf_dir), scratch_path(spark, "feed"), key=KEY, balance="balance")
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register(
+    "shuffle_rows_stored",
+    FEED + "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS out_of_order, CAST(0 AS BIGINT) AS overlapping FROM feed",
+)
+def q_shuffle_rows_stored(spark, sf_dir):
+    """The shuffled rows written to files: within a file hashes rise, and files don't overlap."""
+    path = scratch_path(spark, "shuffled")
+    E.shuffle_rows(feed(spark, sf_dir).select(KEY), key=KEY).write.parquet(path)
+    rows = spark.read.parquet(path).select(
+        unit_hash(F.col(KEY).cast("string"), E.SHUFFLE_SEED).alias("u"),
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"),
+    )
+    # Neighbours only: a file's slice of the order is one task's share of the range shuffle.
+    before = F.lag("u").over(Window.partitionBy("file").orderBy("at"))
+    checked = rows.withColumn("down", (F.col("u") < before).cast("long"))
+    files = checked.groupBy("file").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("down").alias("down"), F.min("u").alias("lo"), F.max("u").alias("hi")
+    )
+    over = files.withColumn("over", (F.col("lo") < F.lag("hi").over(Window.orderBy("lo", "hi"))).cast("long"))
+    zero = F.lit(0).cast("long")
+    return over.agg(
+        F.coalesce(F.sum("n"), zero).alias("n_rows"),
+        F.coalesce(F.sum("down"), zero).alias("out_of_order"),
+        F.coalesce(F.sum("over"), zero).alias("overlapping"),
+    )

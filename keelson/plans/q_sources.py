@@ -8,6 +8,7 @@ from keelson.functions.dates import date_shift, day_sequence
 from keelson.plans.catalog import register
 from keelson.plans.oracle_views import with_views
 from keelson.plans.views import feed
+from keelson.session import scratch_path
 from keelson.sources import partitions as P
 
 FEED = with_views("feed")
@@ -93,6 +94,23 @@ def q_partition_present(spark, sf_dir):
     return P.partition_present(feed(spark, sf_dir), _DAYS)
 
 
+def _stored_by_day(spark, sf_dir) -> str:
+    """The feed written into ``dt=<day>`` directories."""
+    root = scratch_path(spark, "feed_by_day")
+    feed(spark, sf_dir).repartition("dt").write.partitionBy("dt").parquet(root)
+    return root
+
+
+@register("date_range_scan_stored", FEED + "SELECT * FROM feed WHERE dt BETWEEN '20240105' AND '20240110'")
+def q_date_range_scan_stored(spark, sf_dir):
+    return P.date_range_scan(_stored_by_day(spark, sf_dir), "20240105", "20240110", spark=spark)
+
+
+@register("date_coverage_stored", _COVER_SQL)
+def q_date_coverage_stored(spark, sf_dir):
+    return P.date_coverage(_stored_by_day(spark, sf_dir), COVER_START, COVER_END, spark=spark)
+
+
 @register("date_range_scan", FEED + "SELECT * FROM feed WHERE dt BETWEEN '20240105' AND '20240110'")
 def q_date_range_scan(spark, sf_dir):
     return P.date_range_scan(feed(spark, sf_dir), "20240105", "20240110")

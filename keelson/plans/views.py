@@ -63,30 +63,31 @@ SPARSE_PART_COLUMNS = ["p_brand", "p_type", "p_size", "p_name"]
 SPARSE_ORDER_COLUMNS = ["o_orderstatus", "o_orderpriority"]
 
 
-def vocab_counts(spark: SparkSession, sf_dir: str, small: bool) -> DataFrame:
-    """Brand counts of small (size <= 25) or large (size > 25) parts."""
-    part = table(spark, sf_dir, "part")
-    cond = F.col("p_size") <= 25 if small else F.col("p_size") > 25
-    return (
-        part.where(cond)
-        .groupBy(F.col("p_brand").alias("value"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .select(F.lit("p_brand").alias("feature"), "value", "cnt")
-    )
+def ordered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of every line item."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return lines.join(part, lines["l_partkey"] == part["p_partkey"])
+
+
+def _brand_counts(rows: DataFrame) -> DataFrame:
+    counts = rows.groupBy(F.col("p_brand").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
+    return counts.select(F.lit("p_brand").alias("feature"), "value", "cnt")
 
 
 def vocab_old(spark: SparkSession, sf_dir: str, slots: int = 10) -> DataFrame:
-    """Positional vocabulary: the top ``slots`` small-part brands plus the next one as the
+    """Positional vocabulary: the top ``slots`` brands of ``part`` plus the next one as the
     reserved last slot."""
     from keelson.operators.ordered import top_k_per_group
 
     order = [F.col("cnt").desc(), F.col("value").asc_nulls_last()]
-    top = top_k_per_group(vocab_counts(spark, sf_dir, small=True), ["feature"], order, slots + 1, rank="_r")
+    top = top_k_per_group(_brand_counts(table(spark, sf_dir, "part")), ["feature"], order, slots + 1, rank="_r")
     return top.select("feature", F.col("_r").cast("long").alias("position"), "value")
 
 
 def vocab_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab_counts(spark, sf_dir, small=False)
+    """Brand frequencies among the ordered parts."""
+    return _brand_counts(ordered_parts(spark, sf_dir))
 
 
 # Invented platform markup spliced into pages (fixture values, see FIXTURES.md section 4).
@@ -95,14 +96,22 @@ SPLICE_MARKUP = [
     '<a class="author-name-link pgc-link" href="/u/1">Author\nName</a>',
     '<div class="tt-title">Headline</div>',
     '{!-- PGC_VIDEO:{"vid":"v1","duration":12.5} --}',
+    "<header>Kept header</header><link rel='x' href='y'>",
+    "It&#8217;s &#x27;so&#x27; &#128512; &#0; &#55296; &eacute;t&Eacute; &amp;lt; &amp;#39; &bogus; & &#; R&D &nbsp;&#160;x",
+    "one" + '<br class="c">' * 10_000 + "two",
+    "<a class='l' href='/u/2'>A <b>bold</b> link</a> <a href=\"/u/3\"><em>x</em></a>",
 ]
 
 
 def rich_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rich-content JSON payloads: all documents, wrapped as
-    ``{"rich_content": {"text": ..., "spans": []}}``."""
+    """Rich-content JSON payloads: all documents, wrapped as ``{"rich_content": {"text": ..., "spans": []}}``, once
+    escaped and once as they are (not JSON where the text has quotes or line breaks)."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select(
+    raw = docs.select(
+        F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("article_id"),
+        F.concat(F.lit('{"rich_content":{"text":"'), F.col("text"), F.lit('","spans":[]}}')).alias("content"),
+    )
+    escaped = docs.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("article_id"),
         F.to_json(
             F.struct(
@@ -113,14 +122,16 @@ def rich_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("content"),
     )
+    return escaped.unionByName(raw)
 
 
 def html_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw pages with platform markup spliced in after ``<body>`` by ``page_id % 4``."""
+    """Raw pages with platform markup spliced in after ``<body>`` in turn by
+    ``page_id``."""
     pages = table(spark, sf_dir, "pages")
     markup = F.lit(None).cast("string")
     for i, m in reversed(list(enumerate(SPLICE_MARKUP))):
-        markup = F.when(F.col("page_id") % 4 == i, F.lit(m)).otherwise(markup)
+        markup = F.when(F.col("page_id") % len(SPLICE_MARKUP) == i, F.lit(m)).otherwise(markup)
     spliced = F.replace(F.col("html"), F.lit("<body>"), F.concat(F.lit("<body>"), markup))
     return pages.select(
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("article_id"),

@@ -1,9 +1,9 @@
 """Day-partitioned sources: range scans, coverage checks and partition presence.
 
-Storage layout is ``<root>/dt=yyyyMMdd/...`` so a range scan is a filter on the partition
-column that Spark prunes at planning time (``PartitionFilters`` in the scan), instead of a
-hand-built list of day paths. Every function accepts either a root path or a DataFrame that
-already has the day column.
+Two storage layouts are read: ``<root>/dt=yyyyMMdd/...``, where a range scan is a filter on the partition
+column that Spark prunes at planning time (``PartitionFilters`` in the scan), and plain day directories
+``<root>/yyyyMMdd[/<child>]``, of which only the present days of the range are listed and read. Every function accepts
+a root path or a DataFrame that already has the day column.
 """
 
 from __future__ import annotations
@@ -16,19 +16,29 @@ from pyspark.sql import functions as F
 from keelson.functions.dates import day_sequence
 
 
-def _source(spark: SparkSession | None, source: str | DataFrame, fmt: str = "parquet") -> DataFrame:
-    if isinstance(source, DataFrame):
-        return source
-    if spark is None:
-        spark = SparkSession.getActiveSession()
-    # Day directories are read as text so '20240101' keeps its leading form.
-    return (
-        spark.read.format(fmt)
-        .option("basePath", source)
-        .option("recursiveFileLookup", "false")
-        .load(source)
-        .withColumn("dt", F.col("dt").cast("string"))
-    )
+def _read_days(spark: SparkSession, root: str, start: str, end: str, column: str, child: str | None, fmt: str) -> DataFrame:
+    """The days of the range from either layout, with their day as a string in ``column``."""
+    named = _day_dirs(spark, root, column)
+    if not named:
+        raise FileNotFoundError(f"no day directories under {root}")
+    if all(name.startswith(f"{column}=") for name in named.values()) and child is None:
+        # The partition column is read as Spark infers it and compared as text, which keeps the pruning.
+        df = spark.read.format(fmt).option("basePath", root).load(root)
+        return df.withColumn(column, F.col(column).cast("string")).where(F.col(column).between(start, end))
+    base = root.rstrip("/")
+    suffix = f"/{child.strip('/')}" if child else ""
+    wanted = {d: f"{base}/{n}{suffix}" for d, n in named.items() if start <= d <= end}
+    wanted = {d: p for d, p in wanted.items() if _has_data(spark, p)}
+    if not wanted:  # any day gives the schema
+        some = next((p for d, n in sorted(named.items()) if _has_data(spark, p := f"{base}/{n}{suffix}")), None)
+        if some is None:
+            raise FileNotFoundError(f"no day directory with data under {root}")
+        return spark.read.format(fmt).load(some).withColumn(column, F.lit(None).cast("string")).limit(0)
+    # One read over all the days; the day is taken from the file's path, right after the root. A stored column
+    # of that name gives way.
+    df = spark.read.format(fmt).load(list(wanted.values()))
+    day = F.regexp_extract(F.col("_metadata.file_path"), rf"/(?:{column}=)?([0-9]{{8}}){suffix}/[^/]*$", 1)
+    return df.withColumn(column, day)
 
 
 def date_list(spark: SparkSession, start: str, end: str) -> DataFrame:
@@ -37,63 +47,94 @@ def date_list(spark: SparkSession, start: str, end: str) -> DataFrame:
 
 
 def date_range_scan(
-    source: str | DataFrame, start: str, end: str, column: str = "dt", spark: SparkSession | None = None
+    source: str | DataFrame,
+    start: str,
+    end: str,
+    column: str = "dt",
+    spark: SparkSession | None = None,
+    child: str | None = None,
+    fmt: str = "parquet",
 ) -> DataFrame:
-    """Rows of the days ``start..end`` inclusive (empty when reversed). On a partitioned path
-    the filter prunes whole day directories."""
-    df = _source(spark, source)
-    c = F.col(column)
-    return df.where((c >= F.lit(start)) & (c <= F.lit(end)))
+    """Rows of the days ``start..end`` inclusive (empty when reversed). On a path only the day directories of the
+    range are read; ``child`` names a directory inside each day."""
+    if isinstance(source, DataFrame):
+        c = F.col(column)
+        return source.where((c >= F.lit(start)) & (c <= F.lit(end)))
+    return _read_days(spark or SparkSession.getActiveSession(), source, start, end, column, child, fmt)
 
 
-def listed_days(spark: SparkSession, root: str, column: str = "dt") -> list[str]:
-    """Day values of the ``<column>=<day>`` directories directly under ``root``, listed through
-    the Hadoop file system of the path (one listing call; no data is read). Directories holding
-    no data file are not counted (an empty partition is not a ready day)."""
-    sc = spark.sparkContext
-    jvm = sc._jvm
+def _fs(spark: SparkSession, root: str):
+    jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    prefix = f"{column}="
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def has_data(day_dir) -> bool:
-        # Stop at the first data file: a day directory may hold thousands of files.
-        it = fs.listStatusIterator(day_dir)
-        while it.hasNext():
-            if not it.next().getPath().getName().startswith(("_", ".")):
-                return True
-        return False
 
-    days = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith(prefix) and has_data(st.getPath()):
-            days.append(name[len(prefix):])
-    return sorted(days)
+def _day_dirs(spark: SparkSession, root: str, column: str) -> dict[str, str]:
+    """Day -> name of its directory directly under ``root``, either ``<column>=<day>`` or ``<day>``, from one
+    listing through the Hadoop file system of the path."""
+    path, fs = _fs(spark, root)
+    if not fs.exists(path):
+        return {}
+    prefix = f"{column}="
+    names = [st.getPath().getName() for st in fs.listStatus(path) if st.isDirectory()]
+    days = {n.removeprefix(prefix): n for n in names if n.startswith(prefix)}
+    return days | {n: n for n in names if len(n) == 8 and n.isdigit()}
 
 
-def present_days(source: str | DataFrame, column: str = "dt", spark: SparkSession | None = None) -> DataFrame:
-    """Distinct days present in the source: for a partitioned path, from the directory listing
+def _has_data(spark: SparkSession, day_dir: str) -> bool:
+    """Whether the directory holds a data file or folder. Stops at the first: a day may hold thousands of files."""
+    path, fs = _fs(spark, day_dir)
+    if not fs.exists(path):
+        return False
+    it = fs.listStatusIterator(path)
+    while it.hasNext():
+        if not it.next().getPath().getName().startswith(("_", ".")):
+            return True
+    return False
+
+
+def listed_days(
+    spark: SparkSession, root: str, column: str = "dt", child: str | None = None,
+    start: str | None = None, end: str | None = None,
+) -> list[str]:
+    """Days under ``root`` (either layout) whose directory, or its ``child``, holds data; no data is read. Only
+    days between ``start`` and ``end`` are looked into."""
+    suffix = f"/{child.strip('/')}" if child else ""
+    days = _day_dirs(spark, root, column).items()
+    asked = [(d, n) for d, n in days if (start is None or d >= start) and (end is None or d <= end)]
+    return sorted(d for d, n in asked if _has_data(spark, f"{root.rstrip('/')}/{n}{suffix}"))
+
+
+def present_days(
+    source: str | DataFrame, column: str = "dt", spark: SparkSession | None = None, child: str | None = None,
+    start: str | None = None, end: str | None = None,
+) -> DataFrame:
+    """Distinct days present in the source (between the bounds): for a path, from the directory listing
     (metadata only); for a DataFrame, a distinct over its day column."""
     if isinstance(source, str):
         spark = spark or SparkSession.getActiveSession()
-        days = listed_days(spark, source, column)
+        days = listed_days(spark, source, column, child, start, end)
         return spark.createDataFrame([(d,) for d in days], "dt string")
-    return source.select(F.col(column).alias("dt")).distinct()
+    c = F.col(column)
+    inside = [c >= F.lit(start)] * (start is not None) + [c <= F.lit(end)] * (end is not None)
+    rows = source
+    for condition in inside:
+        rows = rows.where(condition)
+    return rows.select(c.alias("dt")).distinct()
 
 
 def date_coverage(
-    source: str | DataFrame, start: str, end: str, column: str = "dt", spark: SparkSession | None = None
+    source: str | DataFrame, start: str, end: str, column: str = "dt", spark: SparkSession | None = None,
+    child: str | None = None,
 ) -> DataFrame:
-    """Expected days of ``start..end`` that are absent from the source: rows ``(dt)``.
+    """Expected days of ``start..end`` that are absent from the source: rows ``(dt)``. On a path, a day
+    counts if its directory (or the ``child`` in it) holds data.
 
     The range is ready when this is empty; ``coverage_ready`` gives the one-row verdict.
     """
     spark = source.sparkSession if isinstance(source, DataFrame) else (spark or SparkSession.getActiveSession())
     expected = spark.range(1).select(F.explode(day_sequence(F.lit(start), F.lit(end))).alias("dt"))
-    return expected.join(present_days(source, column, spark), "dt", "left_anti")
+    return expected.join(present_days(source, column, spark, child, start, end), "dt", "left_anti")
 
 
 def coverage_ready(missing: DataFrame) -> DataFrame:
@@ -104,10 +145,11 @@ def coverage_ready(missing: DataFrame) -> DataFrame:
 
 
 def partition_present(
-    source: str | DataFrame, days: Sequence[str], column: str = "dt", spark: SparkSession | None = None
+    source: str | DataFrame, days: Sequence[str], column: str = "dt", spark: SparkSession | None = None,
+    child: str | None = None,
 ) -> DataFrame:
     """For each requested day: is it present in the source? Rows ``(dt, present)``."""
     spark = source.sparkSession if isinstance(source, DataFrame) else (spark or SparkSession.getActiveSession())
     wanted = spark.createDataFrame([(d,) for d in dict.fromkeys(days)], "dt string")
-    present = present_days(source, column, spark).withColumn("present", F.lit(True))
+    present = present_days(source, column, spark, child).withColumn("present", F.lit(True))
     return wanted.join(present, "dt", "left").select("dt", F.coalesce("present", F.lit(False)).alias("present"))

@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.operators.sampling import balance_then_sample, with_split
-from keelson.session import scratch_path  # noqa: F401  (re-exported for callers)
+from keelson.operators.sampling import balance_then_sample, split_train_test
 
 
 def _observed(df: DataFrame, name: str, split: str | None = None) -> tuple[DataFrame, Observation]:
@@ -42,8 +41,7 @@ def write_train_test(
     Returns the paths and the observed row counts.
     """
     balance_kw.setdefault("rate", (1, 1))
-    sampled = balance_then_sample(df, key=key, **balance_kw)
-    split = with_split(sampled, weights, key=key)
+    split = split_train_test(df, weights, key=key, **balance_kw)
     if partitions > 0:
         split = split.repartition(partitions)  # not coalesce, which would pull the scan into so few tasks
     if layout == "partitioned":
@@ -74,6 +72,7 @@ def write_train_test(
 
 def write_all(df: DataFrame, base: str, key=None, **balance_kw) -> str:
     """Balance and sample ``df`` and write it whole to ``<base>_all.parquet``; returns the path."""
+    balance_kw.setdefault("rate", (1, 1))
     path = f"{base}_all.parquet"
     balance_then_sample(df, key=key, **balance_kw).write.mode("overwrite").parquet(path)
     return path

@@ -95,3 +95,14 @@ def test_unclosed_links_do_not_rescan_the_text(spark):
     t0 = time.perf_counter()
     out = _one(spark, T.html_to_text, junk)
     assert "unclosed" in out and time.perf_counter() - t0 < 30
+
+
+def test_character_references_are_decoded_once(spark):
+    p = "It&#8217;s &#x27;so&#x27; &#128512; &#0; &#55296; &eacute; &amp;lt; &amp;#39; &bogus; & &#; R&D a&nbsp;&#160;b &#x110000;"
+    want = "It’s 'so' 😀 &#0; &#55296; é &lt; &#39; &bogus; & &#; R&D a b &#x110000;"
+    assert _one(spark, T.strip_html, p) == want
+
+
+def test_links_with_single_quotes_and_tags(spark):
+    p = "<a class='l' href='/u/2'>A <b>bold</b> link</a> <a href=\"/u/3\"><em>x</em></a><link href=\"/s.css\"> <body>y"
+    assert _one(spark, T.html_to_text, p) == "[A bold link](/u/2) [x](/u/3) y"
