@@ -61,7 +61,7 @@ ARTICLES = f"""articles AS (
          CAST(to_json({{'rich_content': {{'text': text, 'spans': CAST([] AS VARCHAR[])}}}}) AS VARCHAR) AS content
   FROM documents
   UNION ALL
-  SELECT 'r' || CAST(doc_id AS VARCHAR), '{{"rich_content":{{"text":"' || text || '","spans":[]}}}}' FROM documents
+  SELECT 'd' || CAST(doc_id AS VARCHAR) || '-raw', '{{"rich_content":{{"text":"' || text || '","spans":[]}}}}' FROM documents
   UNION ALL
   SELECT 'p' || CAST(page_id AS VARCHAR) AS article_id,
          replace(html, '<body>', '<body>' || {_MARKUP_CASE}) AS content

@@ -108,7 +108,7 @@ def rich_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     escaped and once as they are (not JSON where the text has quotes or line breaks)."""
     docs = table(spark, sf_dir, "documents")
     raw = docs.select(
-        F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("article_id"),
+        F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("-raw")).alias("article_id"),
         F.concat(F.lit('{"rich_content":{"text":"'), F.col("text"), F.lit('","spans":[]}}')).alias("content"),
     )
     escaped = docs.select(
