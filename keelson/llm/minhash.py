@@ -1,6 +1,6 @@
 """Near-duplicate components by b-bit MinHash, confirmed on full shingle sets.
 
-1. A task turns whole texts into the set of 3-word shingles (64-bit hashes), ``BANDS * ROWS`` minima, one
+1. A task turns whole texts into the set of word shingles (64-bit hashes; five words, unless told otherwise), ``BANDS * ROWS`` minima, one
    key per band of minima, and a packed signature of the low ``BITS`` bits of every minimum.
 2. Documents with the same set are one class, named by its smallest id; only classes go on, so a group of copies
    of any size is one row after the partial aggregate.
@@ -12,8 +12,8 @@
    across components by their signatures, in blocks of bounded size; the full sets of those that may have a link meet in the
    same blocks, and with the links found the components are made again. So every pair that shares a band key is linked, or compared, or already connected.
 
-A pair at the threshold 0.85 shares one of 24 bands of 4 minima except with probability 3e-8, and the
-estimate drops it with less than 1e-9.
+A pair at the threshold shares one of 24 bands of 4 minima except with probability 3e-8 (threshold 0.85) or 3e-6 (0.8),
+and the estimate drops it with less than 1e-9.
 
 Every step's small tables are written to the shared checkpoint folder, which lets skewed joins split. Ids of texts to confirm are
 broadcast if there are no more than ``BROADCAST_IDS`` of them; beyond that the texts are joined by a shuffle.
@@ -26,6 +26,7 @@ of all its rows; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +38,12 @@ from keelson.llm.common import NULL_ID
 from keelson.llm.hashing import CHUNK, gram_hashes, mix, word_hashes
 from keelson.session import materialize
 
-SHINGLE = 3
+SHINGLE = 5
 BANDS, ROWS, BITS = 24, 4, 4
 #: Linked if 100 * intersection >= PERCENT * union.
-PERCENT = 85
-#: A pair with fewer equal minima is not confirmed; at similarity 0.85 this is over 7 standard deviations off.
-LEAST_EQUAL = 57
+PERCENT = 80
+#: The same for the query.
+QUERY_SHINGLE, QUERY_PERCENT = 3, 85
 BROADCAST_IDS = 200_000
 BLOCK = 512
 LANES = 64 // BITS
@@ -52,6 +53,13 @@ _ODD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) +
 SIGNED = "doc long, n_shingles long, set_key binary, bands array<long>, sig array<long>"
 
 
+def least_equal(percent: int) -> int:
+    """A pair with fewer equal minima is not confirmed: over 7 standard deviations below a pair at the threshold."""
+    p = percent / 100 + (1 - percent / 100) * 2.0**-BITS
+    n = BANDS * ROWS
+    return math.floor(n * p - 7.4 * math.sqrt(n * p * (1 - p)))
+
+
 def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     words, counts = word_hashes([t.lower() for t in texts])
@@ -101,7 +109,7 @@ def _binary(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def signed(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def signed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per document with the columns of :data:`SIGNED`; empty sets have nulls."""
 
     def sign(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +117,7 @@ def signed(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         for batch in iterator:
             texts = _binary(batch.column(1))
             for a, b in _runs(texts):
-                sets = shingle_sets(texts[a:b])
+                sets = shingle_sets(texts[a:b], shingle)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys: list = [None] * len(sets)
                 bands: list = [None] * len(sets)
@@ -154,14 +162,14 @@ def estimate(equal: F.Column) -> F.Column:
     return (equal / F.lit(float(BANDS * ROWS)) - chance) / (1 - chance)
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose signatures allow a link."""
     sig = classes.select("rep", "sig")
     both = pairs.join(sig.withColumnsRenamed({"rep": "a", "sig": "_a"}), "a").join(sig.withColumnsRenamed({"rep": "b", "sig": "_b"}), "b")
-    return both.where(equal_minima(F.col("_a"), F.col("_b")) >= LEAST_EQUAL).select("a", "b")
+    return both.where(equal_minima(F.col("_a"), F.col("_b")) >= least_equal(percent)).select("a", "b")
 
 
-def full_sets(ids: DataFrame, df: DataFrame, doc_id: str, text: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def full_sets(ids: DataFrame, df: DataFrame, doc_id: str, text: str, shingle: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(doc, shingles) of the documents with the distinct ids ``doc``."""
     ids = materialize(ids, "confirm_ids")
     few = ids.count() <= broadcast_ids
@@ -172,15 +180,15 @@ def full_sets(ids: DataFrame, df: DataFrame, doc_id: str, text: str, broadcast_i
         for batch in iterator:
             texts = _binary(batch.column(1))
             for a, b in _runs(texts):
-                found = [s.tobytes() for s in shingle_sets(texts[a:b])]
+                found = [s.tobytes() for s in shingle_sets(texts[a:b], shingle)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], names=["doc", "shingles"])
 
     return materialize(wanted.mapInArrow(sets, "doc long, shingles binary"), "shingle_sets")
 
 
-def confirmed(pairs: DataFrame, df: DataFrame, doc_id: str, text: str) -> DataFrame:
+def confirmed(pairs: DataFrame, df: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) that the full sets link."""
-    full = full_sets(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), df, doc_id, text)
+    full = full_sets(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), df, doc_id, text, shingle)
 
     def compare(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in iterator:
@@ -189,13 +197,13 @@ def confirmed(pairs: DataFrame, df: DataFrame, doc_id: str, text: str) -> DataFr
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 if len(p) > len(q):
                     p, q = q, p
-                if 100 * len(p) < PERCENT * len(q) or not len(p):
+                if 100 * len(p) < percent * len(q) or not len(p):
                     linked.append(False)
                     continue
                 at = np.searchsorted(q, p)
                 at[at == len(q)] = 0
                 common = int((q[at] == p).sum())
-                linked.append(100 * common >= PERCENT * (len(p) + len(q) - common))
+                linked.append(100 * common >= percent * (len(p) + len(q) - common))
             mask = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -233,7 +241,7 @@ def _cells(iterator: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield cell, [list(c) for c in zip(*held)]
 
 
-def _maybe(cell: tuple, own: list, label: list, sig: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _maybe(cell: tuple, own: list, label: list, sig: list, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of the cell's two blocks, and which pairs of them may be links between components."""
     own, label, sig = np.array(own), np.array(label), np.array(sig, np.int64).view(np.uint64)
     left, right = np.flatnonzero(own == cell[1]), np.flatnonzero(own == cell[2])
@@ -245,10 +253,10 @@ def _maybe(cell: tuple, own: list, label: list, sig: list) -> tuple[np.ndarray,
         for s in range(1, BITS):
             fold = fold | (d >> np.uint64(s))
         equal -= np.bitwise_count(fold & ones)
-    return left, right, (equal >= LEAST_EQUAL) & (label[left][:, None] != label[right][None, :])
+    return left, right, (equal >= least) & (label[left][:, None] != label[right][None, :])
 
 
-def _linked(x: list[np.ndarray], y: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+def _linked(x: list[np.ndarray], y: list[np.ndarray], pairs: np.ndarray, percent: int) -> np.ndarray:
     """Of the marked pairs of sets those that link; intersections come from a product of incidence matrices, by stretches of the words."""
     words = np.unique(np.concatenate([*x, *y]))
     common = np.zeros(pairs.shape, np.float32)
@@ -265,16 +273,19 @@ def _linked(x: list[np.ndarray], y: list[np.ndarray], pairs: np.ndarray) -> np.n
         part = words[low : low + step]
         common += incidence(x, low, part) @ incidence(y, low, part).T
     union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - common
-    return pairs & (100 * common.astype(np.float64) >= PERCENT * union.astype(np.float64))
+    return pairs & (100 * common.astype(np.float64) >= percent * union.astype(np.float64))
 
 
-def _missed(members: DataFrame, labels: DataFrame, classes: DataFrame, df: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _missed(
+    members: DataFrame, labels: DataFrame, classes: DataFrame, df: DataFrame, doc_id: str, text: str, shingle: int, percent: int
+) -> DataFrame:
     """Links (a, b) between components inside a bucket, compared in blocks.
 
     First the signatures say which members may have a link into another component; their full sets then meet in
     the same blocks. A pair is compared in the first band that it shares, and a block emits no more links than join its
     components, so neither rows shipped nor links made grow with the pairs.
     """
+    least = least_equal(percent)
     marked = materialize(members.join(labels.withColumnRenamed("node", "rep"), "rep"), "bucket_labels")
     mixed = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
     mixed = materialize(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed_buckets")
@@ -287,7 +298,7 @@ def _missed(members: DataFrame, labels: DataFrame, classes: DataFrame, df: DataF
 
     def suspects(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, (own, label, sig, rep) in _cells(iterator, 3):
-            left, right, maybe = _maybe(cell, own, label, sig)
+            left, right, maybe = _maybe(cell, own, label, sig, least)
             some = np.unique(np.concatenate([left[maybe.any(axis=1)], right[maybe.any(axis=0)]]))
             if len(some):
                 columns = [[v] * len(some) for v in cell] + [[c[r] for r in some] for c in (own, label, rep)]
@@ -300,13 +311,13 @@ def _missed(members: DataFrame, labels: DataFrame, classes: DataFrame, df: DataF
         suspects, "key long, i int, j int, own int, label long, rep long"
     )
     found = materialize(found, "suspects")
-    full = full_sets(found.select(F.col("rep").alias("doc")).distinct(), df, doc_id, text)
+    full = full_sets(found.select(F.col("rep").alias("doc")).distinct(), df, doc_id, text, shingle)
     rows = found.join(classes.select("rep", "sig", "bands"), "rep").join(full.withColumnRenamed("doc", "rep"), "rep")
     rows = rows.select("key", "i", "j", "own", "label", "sig", "rep", "bands", "shingles")
 
     def compare(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, (own, label, sig, rep, bands, shingles) in _cells(iterator, 3):
-            left, right, maybe = _maybe(cell, own, label, sig)
+            left, right, maybe = _maybe(cell, own, label, sig, least)
             bands = np.array(bands, np.int64)
             k = int(np.flatnonzero(bands[0] == cell[0])[0])
             for e in range(k):
@@ -316,7 +327,7 @@ def _missed(members: DataFrame, labels: DataFrame, classes: DataFrame, df: DataF
                 continue
             sets = {r: np.frombuffer(shingles[r], np.uint64) for r in {*x.tolist(), *y.tolist()}}
             maybe = maybe[maybe.any(axis=1)][:, maybe.any(axis=0)]
-            yes = _linked([sets[r] for r in x.tolist()], [sets[r] for r in y.tolist()], maybe)
+            yes = _linked([sets[r] for r in x.tolist()], [sets[r] for r in y.tolist()], maybe, percent)
             joins, group = [], {l: l for l in label}
             for p, q in zip(*[v.tolist() for v in np.nonzero(yes)]):
                 a, b = int(x[p]), int(y[q])
@@ -334,20 +345,22 @@ def _missed(members: DataFrame, labels: DataFrame, classes: DataFrame, df: DataF
     return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
-    docs = materialize(signed(df, doc_id, text), "signed")
+    docs = materialize(signed(df, doc_id, text, shingle), "signed")
     classes = docs.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
     bands = classes.select(F.explode("bands").alias("key"), "rep")
     buckets = bands.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center < last").select("key", "center")
     members = materialize(bands.join(materialize(buckets, "buckets"), "key"), "bucket_members")
     stars = members.where("center < rep").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = materialize(_likely(stars, classes), "star_pairs")
-    links = materialize(confirmed(stars, df, doc_id, text), "star_links")
+    stars = materialize(_likely(stars, classes, percent), "star_pairs")
+    links = materialize(confirmed(stars, df, doc_id, text, shingle, percent), "star_links")
     nodes = classes.select(F.col("rep").alias("node")).distinct()
     labels = materialize(components(nodes, links), "star_components")
-    more = materialize(_missed(members.select("key", "rep"), labels, classes, df, doc_id, text), "missed_links")
+    more = materialize(_missed(members.select("key", "rep"), labels, classes, df, doc_id, text, shingle, percent), "missed_links")
     if not more.isEmpty():
         labels = materialize(components(nodes, links.union(more)), "components")
     named = materialize(classes.select("set_key", F.col("rep").alias("node")).join(labels, "node").select("set_key", "label"), "class_labels")
@@ -356,9 +369,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return out.select(back("doc").alias("doc_id"), "n_shingles", back("c").alias("component_id"), (F.col("doc") == F.col("c")).alias("kept"))
 
 
-def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def drop_near_duplicates(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
+    broadcast_ids: int = BROADCAST_IDS,
+) -> DataFrame:
     """The rows of ``df`` that stay: the smallest id of each component, all columns unchanged."""
-    found = near_duplicates(df, doc_id, text)
+    found = near_duplicates(df, doc_id, text, shingle, percent)
     gone = found.groupBy(F.col("doc_id").alias("_n_doc")).agg(F.max("kept").alias("kept")).where("not kept").select("_n_doc")
     gone = materialize(gone, "near_duplicates")
     few = gone.count() <= broadcast_ids
@@ -366,18 +382,19 @@ def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return near_duplicates(docs, shingle=QUERY_SHINGLE, percent=QUERY_PERCENT)
 
 
 SQL = rf"""
 WITH RECURSIVE t AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                              '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS k
-      FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {SHINGLE - 2}))) AS i FROM t WHERE len(w) > 0)),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {QUERY_SHINGLE - 1}], ' ') AS k
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {QUERY_SHINGLE - 2}))) AS i FROM t WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
-e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {QUERY_PERCENT} * (x.n + y.n - c)),
 r AS (SELECT doc_id AS v, doc_id AS c FROM t UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v)
 SELECT t.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.c) AS component_id, t.doc_id = min(r.c) AS kept
 FROM t JOIN r ON r.v = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id GROUP BY t.doc_id

@@ -112,26 +112,27 @@ def test_loser_tree():
         assert p == next((k for k in range(12) if a[k] != b[k]), 12)
 
 
-def test_near_duplicates(docs, rows):
+@pytest.mark.parametrize("n, percent", [(3, 85), (5, 80)])
+def test_near_duplicates(docs, rows, n, percent):
     sets = []
     for i, text, *_ in rows:
         w = words((text or "").encode().lower().decode()) if text else []
         w = [x.decode() for x in w]
-        sets.append((2**63 - 1 if i is None else i, {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()))
+        sets.append((2**63 - 1 if i is None else i, {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()))
     label = {i: i for i, _ in sets}
     changed = True
     while changed:
         changed = False
         for i, a in sets:
             for j, b in sets:
-                if a and b and 100 * len(a & b) >= 85 * len(a | b) and label[i] != label[j]:
+                if a and b and 100 * len(a & b) >= percent * len(a | b) and label[i] != label[j]:
                     label[i] = label[j] = min(label[i], label[j])
                     changed = True
     back = lambda i: None if i == 2**63 - 1 else i
     wanted = [(back(i), len(s), back(label[i]), label[i] == i) for i, s in sets]
-    assert sorted([tuple(r) for r in minhash.near_duplicates(docs).collect()], key=str) == sorted(wanted, key=str)
+    assert sorted([tuple(r) for r in minhash.near_duplicates(docs, shingle=n, percent=percent).collect()], key=str) == sorted(wanted, key=str)
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
-    kept = minhash.drop_near_duplicates(docs)
+    kept = minhash.drop_near_duplicates(docs, shingle=n, percent=percent)
     assert kept.columns == docs.columns and kept.count() == sum(k for *_, k in wanted)
 
 
@@ -143,7 +144,7 @@ def test_missed_links_in_blocks(spark):
         w = w[6:] + [f"x{i}_{k}" for k in range(6)]
         texts.append((8 - i if i % 2 else i + 20, " ".join(w)))
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    assert {r.component_id for r in minhash.near_duplicates(df).collect()} == {min(i for i, _ in texts)}
+    assert {r.component_id for r in minhash.near_duplicates(df, shingle=3, percent=85).collect()} == {min(i for i, _ in texts)}
 
 
 def test_packing(docs, rows):
