@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import NULL_ID
+from keelson.llm.common import NULL_ID, give_back
 from keelson.llm.hashing import CHUNK, gram_hashes, mix, word_hashes
 from keelson.session import materialize
 
@@ -105,6 +105,11 @@ def _runs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def _slices(iterator: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Short batches, so that few texts are Python objects at a time."""
+    return (b.slice(at, rows) for b in iterator for at in range(0, b.num_rows, rows))
+
+
 def _binary(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
@@ -114,7 +119,7 @@ def signed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
 
     def sign(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
-        for batch in iterator:
+        for batch in _slices(iterator):
             texts = _binary(batch.column(1))
             for a, b in _runs(texts):
                 sets = shingle_sets(texts[a:b], shingle)
@@ -132,6 +137,7 @@ def signed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
                      pa.array(bands, longs), pa.array(sigs, longs)],
                     names=["doc", "n_shingles", "set_key", "bands", "sig"],
                 )
+        give_back()
 
     ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
     return df.select(ids.alias("doc"), F.col(text).alias("text")).mapInArrow(sign, SIGNED)
@@ -177,11 +183,12 @@ def full_sets(ids: DataFrame, df: DataFrame, doc_id: str, text: str, shingle: in
     wanted = docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc", "left_semi")
 
     def sets(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in iterator:
+        for batch in _slices(iterator):
             texts = _binary(batch.column(1))
             for a, b in _runs(texts):
                 found = [s.tobytes() for s in shingle_sets(texts[a:b], shingle)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], names=["doc", "shingles"])
+        give_back()
 
     return materialize(wanted.mapInArrow(sets, "doc long, shingles binary"), "shingle_sets")
 
@@ -206,6 +213,7 @@ def confirmed(pairs: DataFrame, df: DataFrame, doc_id: str, text: str, shingle:
                 linked.append(100 * common >= percent * (len(p) + len(q) - common))
             mask = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+        give_back()
 
     both = pairs.join(full.withColumnsRenamed({"doc": "a", "shingles": "x"}), "a").join(full.withColumnsRenamed({"doc": "b", "shingles": "y"}), "b")
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.llm.common import give_back
 from keelson.llm.hashing import CHUNK, IS_SPACE, hash_spans
 from keelson.session import materialize
 
@@ -39,7 +40,9 @@ TOKENIZER = "word_bpe_49k.json"
 NEARLY_FULL = 0.995
 PART_ITEMS = 50_000
 FAN_IN = 8
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 150_000
+#: Rows whose texts are Python objects at a time.
+ROWS = 512
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -176,7 +179,7 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
 
     def cut(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in iterator:
+        for batch in (b.slice(at, ROWS) for b in iterator for at in range(0, b.num_rows, ROWS)):
             docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _runs(texts):
                 rows = []
@@ -189,6 +192,7 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
                     [pa.array(c, t) for c, t in zip(zip(*rows), types)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        give_back()
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
 

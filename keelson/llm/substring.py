@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.llm import runs
+from keelson.llm.common import give_back
 from keelson.llm.hashing import gram_hashes, word_hashes
 from keelson.llm.runs import GROUP
 
@@ -148,7 +149,10 @@ def dedup_substrings(
     added = T.StructType.fromDDL(f"n_words long, n_removed long, {finish_schema}")
     keep = [c for c in df.columns if c not in added.names]
     docs, buckets = runs.grouped(df.select(*keep), doc_id, text, group_bytes, bucket_bytes)
-    group = lambda t: _Group(t, doc_id, text, length, period, cover)
+
+    def group(table: pa.Table) -> _Group:
+        give_back()  # what the group before left
+        return _Group(table, doc_id, text, length, period, cover)
 
     def ask(table: pa.Table) -> pa.Table:
         g = group(table)
