@@ -40,7 +40,7 @@ TOKENIZER = "word_bpe_49k.json"
 NEARLY_FULL = 0.995
 PART_ITEMS = 50_000
 FAN_IN = 8
-CACHE_PIECES = 150_000
+CACHE_PIECES = 400_000
 #: Rows whose texts are Python objects at a time.
 ROWS = 512
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
