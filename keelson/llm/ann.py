@@ -10,12 +10,13 @@ centroid is within ``1 + PRUNE`` times the nearest one's distance, and more if t
 
 Lists are dealt into bins of about ``BIN`` vectors, a larger list into several by a hash of the id, and the queries of a bin into
 blocks, so neither a hot list nor a popular one meets in one task. A bin keeps each query's ``k`` best, and
-these are merged. Scores are recomputed in double precision, component by component, so equal vectors tie exactly.
+these are merged; a bin is read deeper while a query has fewer than ``k`` ids from it, and a query that ends with
+fewer than ``k`` reads every list. Scores are recomputed in double precision, component by component, so equal vectors tie exactly.
 
 What is broadcast is the graph and the list-to-bin map, of at most ``MOST_LISTS`` centroids.
 
 Defined results: vectors that are null, zero, hold a null or non-finite component, or have another length than
-most vectors take no part, neither do null ids; rows that repeat an id are one candidate, with its best score; a
+most vectors take no part, neither do null ids; equal rows are indexed once, rows that repeat an id are one candidate, with its best score; a
 query with repeated rows searches with the smallest of its vectors; an empty table gives an empty table.
 """
 
@@ -169,7 +170,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     ``df`` and ``queries`` are (id, vec) as :func:`usable` gives them; a query's own id is no candidate.
     """
     spark = df.sparkSession
-    df = materialize(df, "vectors")
+    df = materialize(df.distinct(), "vectors")
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     n, most = df.agg(F.count(F.lit(1)), F.max(norm)).first()
     if not n:
@@ -203,12 +204,15 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         held[number] = sizes[number]
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
 
-    def ask(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(iterator: Iterator[pa.RecordBatch], every: bool = False) -> Iterator[pa.RecordBatch]:
         for batch in iterator:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 q = _matrix(part.column("vec"), dim)
-                wanted = graph.within(np.concatenate([q, np.zeros((len(q), 1))], axis=1), 1 + PRUNE, held, 4 * k * REPLICAS)
+                if every:
+                    wanted = [np.arange(len(graph.c))] * len(q)
+                else:
+                    wanted = graph.within(np.concatenate([q, np.zeros((len(q), 1))], axis=1), 1 + PRUNE, held, 4 * k * REPLICAS)
                 bins, rows, chosen = [], [], []
                 for i, cells in enumerate(wanted):
                     of: dict[int, list[int]] = {}
@@ -223,8 +227,6 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                     [pa.array(bins, pa.int32()), *part.columns, pa.array(chosen, pa.list_(pa.int32()))], names=["bin", "query", "qvec", "lists"]
                 )
 
-    asked = queries.mapInArrow(ask, "bin int, query long, qvec array<double>, lists array<int>")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
     # The list-to-bin map as columns: an array indexed by list number.
     size = max(first) + 1
     start = F.array(*[F.lit(first.get(i, 0)) for i in range(size)])
@@ -237,6 +239,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if have.num_rows and want.num_rows:
             vectors, ids, of = _matrix(have.column("vec").chunk(0), dim), have.column("id").to_numpy(), have.column("list").to_numpy()
+            name = np.unique(ids, return_inverse=True)[1]
+            names = int(name.max()) + 1
             for at in range(0, want.num_rows, 128):
                 part = want.slice(at, 128)
                 q, number = _matrix(part.column("qvec").combine_chunks(), dim), part.column("query").to_numpy()
@@ -244,29 +248,56 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 for i, chosen in enumerate(part.column("lists").to_pylist()):
                     reads[i, chosen] = True
                 score = np.where(reads[:, of] & (number[:, None] != ids[None, :]), q @ vectors.T, -np.inf)
-                # A replica takes a place, so look k times the replicas deep; the margin is far above rounding.
-                deep = min(k * REPLICAS, score.shape[1])
-                edge = np.partition(score, score.shape[1] - deep, axis=1)[:, -deep]
-                edge = np.where(np.isfinite(edge), edge - 1e-9 * (most * most + 1), -np.inf)
-                row, col = np.nonzero((score >= edge[:, None]) & np.isfinite(score))
+                # A replica or another vector of an id takes a place, so look k times the replicas deep, and twice as deep until
+                # k ids are found or the bin is exhausted; the margin is far above rounding.
+                deep, open_ = min(k * REPLICAS, score.shape[1]), np.arange(len(q))
+                rows, cols = [], []
+                while len(open_):
+                    some = score if len(open_) == len(q) else score[open_]
+                    least = np.partition(some, score.shape[1] - deep, axis=1)[:, -deep]
+                    edge = np.where(np.isfinite(least), least - 1e-9 * (most * most + 1), -np.inf)
+                    row, col = np.nonzero((some >= edge[:, None]) & np.isfinite(some))
+                    sure = some[row, col] >= least[row]
+                    ahead = np.unique(row[sure] * names + name[col[sure]]) // names
+                    done = (np.bincount(ahead, minlength=len(open_)) >= k) | ~np.isfinite(least) | (deep == score.shape[1])
+                    rows.append(open_[row[done[row]]])
+                    cols.append(col[done[row]])
+                    open_, deep = open_[~done], min(2 * deep, score.shape[1])
+                row, col = np.concatenate(rows), np.concatenate(cols)
                 exact = np.zeros(len(row))
                 for d in range(dim):
                     exact += q[row, d] * vectors[col, d]
-                order = np.lexsort((ids[col], -exact, row))
+                # The best score of each id, then the ids by score.
+                order = np.lexsort((-exact, ids[col], row))
                 row, exact, own = row[order], exact[order], ids[col][order]
                 if len(row):
-                    again = np.concatenate(([False], (row[1:] == row[:-1]) & (own[1:] == own[:-1]) & (exact[1:] == exact[:-1])))
+                    again = np.concatenate(([False], (row[1:] == row[:-1]) & (own[1:] == own[:-1])))
                     row, exact, own = row[~again], exact[~again], own[~again]
+                    order = np.lexsort((own, -exact, row))
+                    row, exact, own = row[order], exact[order], own[order]
                     place = np.arange(len(row)) - np.searchsorted(row, row)
                     top = place < k
                     for o, v in zip(out, (number[row[top]], own[top], exact[top])):
                         o.append(v)
         return pa.table({n: np.concatenate(o) for n, o in zip(("query_id", "vec_id", "score"), out)})
 
-    found = stored.groupBy("bin", "block").cogroup(asked.groupBy("bin", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def answered(queries: DataFrame, ask) -> DataFrame:
+        asked = queries.mapInArrow(ask, "bin int, query long, qvec array<double>, lists array<int>")
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+        found = stored.groupBy("bin", "block").cogroup(asked.groupBy("bin", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
+        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    best = materialize(answered(queries, ask), "neighbours")
+    # Lists full of a few ids leave a query short although they hold enough vectors: it then reads every list.
+    whole = df.select("id").distinct().limit(k).count()
+    full = best.groupBy(F.col("query_id").alias("id")).count().where(F.col("count") >= whole).select("id")
+    short = materialize(queries.join(full, "id", "left_anti").select("id", "vec"), "short_queries")
+    if short.isEmpty():
+        return best
+    again = answered(short, lambda rows: ask(rows, True))
+    return best.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").select(best.columns).unionByName(again)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

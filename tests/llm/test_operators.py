@@ -313,3 +313,30 @@ def test_nearest(spark):
         hits += len({i for i, _ in found} & set(best))
     assert hits >= 0.9 * 20 * len(got)
     assert ann.nearest(use.limit(0), use.limit(0)).count() == 0
+
+
+def test_nearest_repeated_rows(spark):
+    """Every row twice, one id 100 times as one vector, one id with 400 vectors ahead of all others."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 8)).round(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] * 2 + [(200, (3 * x[0]).tolist())] * 100
+    rows += [(300, (5 * x[0] + 0.01 * n).tolist()) for n in range(400)]
+    use = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    queries = use.where("id in (0, 20, 40)").groupBy("id").agg({"vec": "min"}).toDF("id", "vec")
+    got = {}
+    for r in sorted(ann.nearest(use, queries).collect()):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert sorted(got) == [0, 20, 40]
+    for q, found in got.items():
+        best = {}
+        for i, v in rows:
+            s = 0.0
+            for a, b in zip(x[q].tolist(), v):
+                s += a * b
+            if i != q:
+                best[i] = max(s, best.get(i, s))
+        wanted = sorted(best.items(), key=lambda f: (-f[1], f[0]))[:20]
+        assert len(found) == 20 and len({i for i, _ in found}) == 20
+        assert all(abs(best[i] - s) < 1e-9 for i, s in found)
+        assert len({i for i, _ in found} & {i for i, _ in wanted}) >= 18
+    assert [i for i, _ in got[0]][:2] == [300, 200]
