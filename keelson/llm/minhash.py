@@ -2,8 +2,8 @@
 
 1. A task turns whole texts into the set of word shingles (64-bit hashes; five words, unless told otherwise), ``BANDS * ROWS`` minima, one
    key per band of minima, and a packed signature of the low ``BITS`` bits of every minimum.
-2. Documents with the same set are one class, named by its smallest id; only classes go on, so a group of copies
-   of any size is one row after the partial aggregate.
+2. Documents with the same set are one class with a number of its own; only classes go on, so a group of copies
+   of any size is one row after the partial aggregate. The text that stands for a class is found again by its id and its 64-bit hash.
 3. Classes that share a band key are candidates. Each is paired with the smallest class of its bucket; the
    signatures give the collision-corrected similarity by counting equal low bits, pairs that cannot reach the
    threshold go, and the others are confirmed on full sets.
@@ -19,8 +19,8 @@ Every step's small tables are written to the shared checkpoint folder, which let
 broadcast if there are no more than ``BROADCAST_IDS`` of them; beyond that the texts are joined by a shuffle.
 
 Defined results: a document without words has an empty set, no links, and is a component of its own; a null id counts
-as larger than every other and is read back as null; rows with the same id are one document with the links
-of all its rows; an empty table gives an empty table.
+as larger than every other and is read back as null; rows that share an id, or have none, are documents of their own, linked by
+their texts only; a component is named by its smallest id, and of the rows with that id one is kept; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ LANES = 64 // BITS
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _ODD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SIGNED = "doc long, n_shingles long, set_key binary, bands array<long>, sig array<long>"
+SIGNED = "doc long, mark long, n_shingles long, set_key binary, bands array<long>, sig array<long>"
 
 
 def least_equal(percent: int) -> int:
@@ -114,13 +114,22 @@ def _binary(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _set_key(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def _named(doc_id: str, text: str) -> list:
+    """``doc`` and ``mark``: the id, and the hash that tells apart texts that share it."""
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(F.col(text)).alias("mark")]
+
+
 def signed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per document with the columns of :data:`SIGNED`; empty sets have nulls."""
 
     def sign(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
         for batch in _slices(iterator):
-            texts = _binary(batch.column(1))
+            texts = _binary(batch.column(2))
             for a, b in _runs(texts):
                 sets = shingle_sets(texts[a:b], shingle)
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -130,17 +139,16 @@ def signed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
                 if full:
                     made = signatures([sets[i] for i in full])
                     for i, band, sig in zip(full, *[m.view(np.int64) for m in made]):
-                        keys[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+                        keys[i] = _set_key(sets[i])
                         bands[i], sigs[i] = band, sig
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
-                     pa.array(bands, longs), pa.array(sigs, longs)],
-                    names=["doc", "n_shingles", "set_key", "bands", "sig"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array(keys, pa.binary()), pa.array(bands, longs), pa.array(sigs, longs)],
+                    names=["doc", "mark", "n_shingles", "set_key", "bands", "sig"],
                 )
         give_back()
 
-    ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
-    return df.select(ids.alias("doc"), F.col(text).alias("text")).mapInArrow(sign, SIGNED)
+    return df.select(*_named(doc_id, text), F.col(text).alias("text")).mapInArrow(sign, SIGNED)
 
 
 def equal_minima(a: F.Column, b: F.Column) -> F.Column:
@@ -175,27 +183,37 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(equal_minima(F.col("_a"), F.col("_b")) >= least_equal(percent)).select("a", "b")
 
 
-def full_sets(ids: DataFrame, df: DataFrame, doc_id: str, text: str, shingle: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """(doc, shingles) of the documents with the distinct ids ``doc``."""
-    ids = materialize(ids, "confirm_ids")
-    few = ids.count() <= broadcast_ids
-    docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text).alias("text"))
-    wanted = docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc", "left_semi")
+def full_sets(reps: DataFrame, classes: DataFrame, df: DataFrame, doc_id: str, text: str, shingle: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """(rep, shingles) of the classes with the distinct numbers ``rep``, from one of the texts of each."""
+    ids = materialize(reps.join(classes.select("rep", "head.doc", "head.mark", "set_key"), "rep"), "confirm_ids")
+    n = ids.count()
+    docs = df.select(*_named(doc_id, text), F.col(text).alias("text"))
+    wanted = docs.join(F.broadcast(ids) if n <= broadcast_ids else ids.hint("shuffle_hash"), ["doc", "mark"])
 
     def sets(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies of a text under one id
         for batch in _slices(iterator):
-            texts = _binary(batch.column(1))
+            batch = batch.take(pa.array([i for i, r in enumerate(batch.column(0).to_pylist()) if r not in seen], pa.int64()))
+            reps, keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _binary(batch.column(2))
             for a, b in _runs(texts):
-                found = [s.tobytes() for s in shingle_sets(texts[a:b], shingle)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], names=["doc", "shingles"])
+                own, found = [], []
+                for r, key, s in zip(reps[a:b], keys[a:b], shingle_sets(texts[a:b], shingle)):
+                    if r not in seen and _set_key(s) == key:
+                        seen.add(r)
+                        own.append(r)
+                        found.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(found, pa.binary())], names=["rep", "shingles"])
         give_back()
 
-    return materialize(wanted.mapInArrow(sets, "doc long, shingles binary"), "shingle_sets")
+    full = materialize(wanted.select("rep", "set_key", "text").mapInArrow(sets, "rep long, shingles binary"), "shingle_sets")
+    if full.count() > n:  # copies in several tasks
+        full = materialize(full.dropDuplicates(["rep"]), "shingle_sets_once")
+    return full
 
 
-def confirmed(pairs: DataFrame, df: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, df: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) that the full sets link."""
-    full = full_sets(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), df, doc_id, text, shingle)
+    full = full_sets(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), classes, df, doc_id, text, shingle)
 
     def compare(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in iterator:
@@ -215,7 +233,7 @@ def confirmed(pairs: DataFrame, df: DataFrame, doc_id: str, text: str, shingle:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
         give_back()
 
-    both = pairs.join(full.withColumnsRenamed({"doc": "a", "shingles": "x"}), "a").join(full.withColumnsRenamed({"doc": "b", "shingles": "y"}), "b")
+    both = pairs.join(full.withColumnsRenamed({"rep": "a", "shingles": "x"}), "a").join(full.withColumnsRenamed({"rep": "b", "shingles": "y"}), "b")
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -319,8 +337,8 @@ def _missed(
         suspects, "key long, i int, j int, own int, label long, rep long"
     )
     found = materialize(found, "suspects")
-    full = full_sets(found.select(F.col("rep").alias("doc")).distinct(), df, doc_id, text, shingle)
-    rows = found.join(classes.select("rep", "sig", "bands"), "rep").join(full.withColumnRenamed("doc", "rep"), "rep")
+    full = full_sets(found.select("rep").distinct(), classes, df, doc_id, text, shingle)
+    rows = found.join(classes.select("rep", "sig", "bands"), "rep").join(full, "rep")
     rows = rows.select("key", "i", "j", "own", "label", "sig", "rep", "bands", "shingles")
 
     def compare(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,40 +371,58 @@ def _missed(
     return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
-) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
-    docs = materialize(signed(df, doc_id, text, shingle), "signed")
-    classes = docs.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    classes = materialize(classes, "classes")
+def _found(df: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """One row per document: ``doc``, ``mark``, ``n_shingles``, its component's smallest id ``c``, ``kept``."""
+    docs = materialize(signed(df, doc_id, text, shingle).withColumn("row", F.monotonically_increasing_id()), "signed")
+    head = F.min(F.struct("doc", "row", "mark")).alias("head")
+    classes = docs.where("n_shingles > 0").groupBy("set_key").agg(head, F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    # The numbers hold since the table is written once.
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     bands = classes.select(F.explode("bands").alias("key"), "rep")
     buckets = bands.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center < last").select("key", "center")
     members = materialize(bands.join(materialize(buckets, "buckets"), "key"), "bucket_members")
     stars = members.where("center < rep").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     stars = materialize(_likely(stars, classes, percent), "star_pairs")
-    links = materialize(confirmed(stars, df, doc_id, text, shingle, percent), "star_links")
-    nodes = classes.select(F.col("rep").alias("node")).distinct()
+    links = materialize(confirmed(stars, classes, df, doc_id, text, shingle, percent), "star_links")
+    nodes = classes.select(F.col("rep").alias("node"))
     labels = materialize(components(nodes, links), "star_components")
     more = materialize(_missed(members.select("key", "rep"), labels, classes, df, doc_id, text, shingle, percent), "missed_links")
     if not more.isEmpty():
         labels = materialize(components(nodes, links.union(more)), "components")
-    named = materialize(classes.select("set_key", F.col("rep").alias("node")).join(labels, "node").select("set_key", "label"), "class_labels")
-    out = docs.select("doc", "n_shingles", "set_key").join(named, "set_key", "left").withColumn("c", F.coalesce("label", "doc"))
+    named = materialize(classes.select("set_key", "head", F.col("rep").alias("node")).join(labels, "node").select("set_key", "label", "head"), "class_labels")
+    first = named.groupBy("label").agg(F.min("head").alias("first"))
+    named = materialize(named.select("set_key", "label").join(first, "label").select("set_key", "first.doc", "first.row"), "component_heads")
+    named = named.withColumnsRenamed({"doc": "c", "row": "_first"})
+    out = docs.select("doc", "mark", "row", "n_shingles", "set_key").join(named, "set_key", "left")
+    kept = F.coalesce(F.col("row") == F.col("_first"), F.lit(True))
+    return out.select("doc", "mark", "n_shingles", F.coalesce("c", "doc").alias("c"), kept.alias("kept"))
+
+
+def near_duplicates(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
     back = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
-    return out.select(back("doc").alias("doc_id"), "n_shingles", back("c").alias("component_id"), (F.col("doc") == F.col("c")).alias("kept"))
+    return _found(df, doc_id, text, shingle, percent).select(back("doc").alias("doc_id"), "n_shingles", back("c").alias("component_id"), "kept")
 
 
 def drop_near_duplicates(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
     broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
-    """The rows of ``df`` that stay: the smallest id of each component, all columns unchanged."""
-    found = near_duplicates(df, doc_id, text, shingle, percent)
-    gone = found.groupBy(F.col("doc_id").alias("_n_doc")).agg(F.max("kept").alias("kept")).where("not kept").select("_n_doc")
+    """The rows of ``df`` that stay: one with the smallest id of each component, all columns unchanged."""
+    found = _found(df, doc_id, text, shingle, percent).groupBy(F.col("doc").alias("_n_doc"), F.col("mark").alias("_n_mark"))
+    gone = found.agg(F.max("kept").alias("_n_once"), F.min("kept").alias("_n_all")).where("not _n_all").drop("_n_all")
     gone = materialize(gone, "near_duplicates")
     few = gone.count() <= broadcast_ids
-    return df.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("_n_doc")), "left_anti")
+    doc, mark = _named(doc_id, text)
+    held = lambda t: F.broadcast(t) if few else t.hint("shuffle_hash")
+    marked = df.withColumns({"_n_doc": doc, "_n_mark": mark})
+    stay = marked.join(held(gone), ["_n_doc", "_n_mark"], "left_anti")
+    once = gone.where("_n_once").drop("_n_once")
+    if not once.isEmpty():  # equal texts under one id, of which one stays
+        stay = stay.unionByName(marked.join(held(once), ["_n_doc", "_n_mark"], "left_semi").dropDuplicates(["_n_doc", "_n_mark"]))
+    return stay.drop("_n_doc", "_n_mark")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -136,6 +136,25 @@ def test_near_duplicates(docs, rows, n, percent):
     assert kept.columns == docs.columns and kept.count() == sum(k for *_, k in wanted)
 
 
+def test_near_duplicates_without_ids(spark):
+    """Rows without an id, or with the same, are linked by their texts only."""
+    text = lambda s: " ".join(f"{s}{k}" for k in range(120))
+    near = lambda s: text(s) + " end"
+    rows = [(5, text("a")), (None, near("a")), (None, text("b")), (None, text("c")), (None, ""), (None, None)]
+    rows += [(None, text("d"))] * 7 + [(None, near("d"))] + [(9, text("e"))] * 3 + [(9, text("f")), (8, near("f")), (9, text("g"))]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, number long").repartition(5)
+    kept = minhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    got = sorted([(r.doc_id, r.text) for r in kept.collect()], key=str)
+    one = [t for i, t in got if i is None and t and t.startswith("d")]
+    assert len(one) == 1
+    wanted = [(5, text("a")), (None, text("b")), (None, text("c")), (None, ""), (None, None), (None, one[0]), (9, text("e")), (8, near("f")), (9, text("g"))]
+    assert got == sorted(wanted, key=str)
+    found = minhash.near_duplicates(df).collect()
+    assert len(found) == len(rows) and sum(r.kept for r in found) == len(wanted)
+    assert sorted({str(r.component_id) for r in found}) == ["5", "8", "9", "None"]
+
+
 def test_missed_links_in_blocks(spark):
     """A chain whose members are not linked with the smallest member of their buckets is one component."""
     w = [f"w{i}" for i in range(400)]
