@@ -57,16 +57,15 @@ def _decided(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def write_warc(
+def warc_records(
     pages: DataFrame,
-    path: str,
     page_id: str = "page_id",
     url: str = "url",
     html: str = "html",
     min_revisit: int = MIN_REVISIT,
     file_bytes: int = FILE_BYTES,
-) -> None:
-    """Write three records per row of ``pages`` into gzipped WARC files under ``path``."""
+) -> DataFrame:
+    """Three records (``value``) per row of ``pages``, dealt out to files."""
     rows = pages.select(
         F.col(page_id).cast("long").alias("_w_id"),
         F.col(url).cast("string").alias("_w_url"),
@@ -74,13 +73,15 @@ def write_warc(
     )
     hashed = rows.mapInArrow(_decided, "_w_id long, _w_url string, _w_html string, _w_digest string")
     files = parts(rows, "_w_html", file_bytes)
-    hashed = materialize(hashed.withColumn("_w_bytes", F.octet_length("_w_html").cast("long")), "warc_pages")
+    # The identifiers are drawn before the table is written, so a task that runs again has those of the first time.
+    drawn = F.unhex(F.translate(F.expr("uuid()"), "-", ""))
+    hashed = materialize(hashed.withColumns({"_w_bytes": F.octet_length("_w_html").cast("long"), "_w_uuid": drawn}), "warc_pages")
     first = hashed.where(F.col("_w_bytes") >= min_revisit).groupBy("_w_digest").agg(F.min("_w_id").alias("_w_first"), F.count(F.lit(1)).alias("_w_n"))
     first = materialize(first.where("_w_n > 1").drop("_w_n"), "warc_first")  # both sides of the join are then plain scans
     rows = hashed.join(first, "_w_digest", "left")
     revisit = F.col("_w_first").isNotNull() & ~F.col("_w_id").eqNullSafe(F.col("_w_first"))
-    rows = rows.withColumns({"_w_revisit": F.coalesce(revisit, F.lit(False)), "_w_uuid": F.expr("uuid()")})
-    rows = rows.repartition(files, "_w_uuid")
+    rows = rows.withColumn("_w_revisit", F.coalesce(revisit, F.lit(False))).repartition(files, "_w_uuid")
+    rows = rows.withColumn("_w_uuid", F.regexp_replace(F.lower(F.hex("_w_uuid")), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"))
     id_line = F.when(F.col("_w_id").isNotNull(), F.concat(F.lit("\r\nWARC-Page-ID: "), F.col("_w_id").cast("string"))).otherwise("")
     safe = F.regexp_replace(F.col("_w_url"), r"[\x00-\x1F\x7F]", "%20")
     target = F.when(F.col("_w_url").isNotNull(), F.concat(F.lit("\r\nWARC-Target-URI: "), safe)).otherwise("")
@@ -119,7 +120,20 @@ def write_warc(
         F.lit("metadata"), name("metadata"), F.concat(concurrent, F.lit("\r\nContent-Type: application/warc-fields")),
         F.concat(F.lit("page-bytes: "), F.col("_w_bytes").cast("string"), F.lit("\r\n")),
     )
-    records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
+    return rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
+
+
+def write_warc(
+    pages: DataFrame,
+    path: str,
+    page_id: str = "page_id",
+    url: str = "url",
+    html: str = "html",
+    min_revisit: int = MIN_REVISIT,
+    file_bytes: int = FILE_BYTES,
+) -> None:
+    """Write three records per row of ``pages`` into gzipped WARC files under ``path``."""
+    records = warc_records(pages, page_id, url, html, min_revisit, file_bytes)
     records.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keelson.llm import ann, chat, html, minhash, mixing, packing, quality, substring, suffix, warc
 from keelson.session import scratch_path
@@ -287,6 +288,24 @@ def test_warc(spark):
     assert warc.captures(warc.read_warc(spark, empty)).count() == 0
 
 
+def test_warc_identifiers_hold(spark):
+    """Captures keep their identifiers when the digest join is evaluated again in another way."""
+    df = spark.createDataFrame([(i, "u", f"same {i % 3}") for i in range(300)], "page_id long, url string, html string").repartition(6)
+    records = warc.warc_records(df, file_bytes=500)
+    found = [F.regexp_extract("value", p, 1).alias(c) for c, p in (("r", r"WARC-Record-ID: <(\S+)>"), ("p", r"WARC-Page-ID: (\d+)"))]
+    names = lambda: sorted(tuple(r) for r in records.select(found).collect())
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    first = names()
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        again = names()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(first) == 900 and len({p for _, p in first}) == 301 and first == again
+
+
 def test_html(spark):
     page = (
         "<html><head><title>T</title></head><body class='has-sidebar'><header><h1>Site</h1></header><div id=cookie-notice>We use cookies "
