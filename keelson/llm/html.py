@@ -1,7 +1,8 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is cut into blocks of text in page order, each with its place in the DOM. A linear classifier gives every block a score
-from its zone, length, link density and tag; a positive score is the capacity from the source (the cost of calling
+from its zone, length, link density and tag. Tags and roles that are boilerplate by definition weigh most; words of classes and
+ids are evidence with a finite cost, which good zones and text can outweigh, except nearer the text than the good zone. A positive score is the capacity from the source (the cost of calling
 the block boilerplate), a negative one the capacity to the sink (the cost of calling it content). Smoothness edges join a
 block to the one before it and to the last block with the same parent. The maximum flow's cut separates content, the
 source's side, from boilerplate; a block without any evidence stays out.
@@ -46,8 +47,14 @@ BAD_WORDS = frozenset(
     "skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget".split()
 )
 GOOD_WORDS = frozenset("article articlebody content entry main maincontent post story".split())
+#: Parts of a class that make it a state of the page or its subject (no-sidebar, comments-open, tag-privacy), not the name of a zone.
+STATE_WORDS = frozenset(
+    "category closed disabled enabled format has have layout no not off open opened status supports tag term with without".split()
+)
 #: Classifier weights.
 W_GOOD, W_BAD, W_WORD, MOST_WORDS, W_LINKS, W_BIAS, W_TEXT_TAG = 8.0, -12.0, 0.1, 40, -5.0, -1.0, 0.5
+#: Cost of an element named by a bad word: inside a good zone, by a whole class, by a part of one (or an article or main element itself).
+C_INSIDE, C_WHOLE, C_PART = 12.0, 7.0, 3.0
 TEXT_TAGS = frozenset("p blockquote pre h1 h2 h3 figcaption dd".split())
 #: Smoothness: neighbours in page order, across zones, and with the same parent.
 S_NEXT, S_ZONE, S_PARENT = 0.8, 0.2, 0.8
@@ -69,6 +76,7 @@ class Node:
     bad: bool
     good: bool
     hidden: bool
+    cost: float
 
 
 @dataclass(slots=True)
@@ -80,6 +88,7 @@ class Block:
     tag: str
     good: bool
     bad: bool
+    cost: float
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -88,22 +97,28 @@ def _attributes(raw: str) -> dict[str, str]:
 
 def _node(tag: str, raw: str, parent: Node, number: int) -> Node:
     bad, good, hidden = tag in BAD_TAGS, tag in GOOD_TAGS, tag in HIDDEN_TAGS
+    cost = 0.0
     if tag == "header":
         bad = not parent.good  # a page's header; an article's own header holds its title
     if raw and not raw.isspace() and tag not in ("html", "body"):
         a = _attributes(raw)
-        names = {w for k in ("class", "id") if k in a for w in _NAME.findall(a[k].lower())}
-        bad = bad or not names.isdisjoint(BAD_WORDS) or a.get("role", "").lower() in BAD_ROLES
-        bad = bad or ("header" in names and not parent.good and tag != "article")
-        good = good or not names.isdisjoint(GOOD_WORDS) or a.get("role", "").lower() in ("main", "article") or a.get("itemprop", "") == "articleBody"
+        role = a.get("role", "").lower()
+        bad = bad or role in BAD_ROLES
+        good = good or role in ("main", "article") or a.get("itemprop", "") == "articleBody"
+        tokens = [t for k in ("class", "id") if k in a for t in map(_NAME.findall, a[k].lower().split()) if STATE_WORDS.isdisjoint(t)]
+        words = BAD_WORDS if parent.good or tag == "article" else BAD_WORDS | {"header"}
+        named = [t for t in tokens if not words.isdisjoint(t)]
+        if named:
+            cost = C_PART if good else C_INSIDE if parent.good else C_WHOLE if any(len(t) == 1 for t in named) else C_PART
+        good = good or any(words.isdisjoint(t) and not GOOD_WORDS.isdisjoint(t) for t in tokens)
         style = a.get("style", "").lower().replace(" ", "")
         hidden = hidden or "hidden" in a or "display:none" in style or a.get("aria-hidden", "") == "true" and tag != "body"
-    return Node(tag, number, parent.bad or bad, parent.good or good, parent.hidden or hidden)
+    return Node(tag, number, parent.bad or bad, parent.good or good, parent.hidden or hidden, parent.cost + cost)
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in page order, scripts, styles and hidden parts left out."""
-    stack = [Node("", 0, False, False, False)]
+    stack = [Node("", 0, False, False, False, 0.0)]
     out: list[Block] = []
     text: list[str] = []
     linked, link, count, at, end = 0, 0, 0, 0, len(page)
@@ -117,7 +132,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                out.append(Block(joined, linked, owner.number, zone, owner.tag, owner.good, owner.bad))
+                out.append(Block(joined, linked, owner.number, zone, owner.tag, owner.good, owner.bad, owner.cost))
         text, linked = [], 0
 
     def settle() -> None:
@@ -190,7 +205,7 @@ def score(b: Block) -> float:
         return W_BAD
     n = len(b.text)
     s = W_BIAS + W_WORD * min(MOST_WORDS, b.text.count(" ") + 1) + W_LINKS * min(1.0, b.links / n)
-    return s + (W_GOOD if b.good else 0.0) + (W_TEXT_TAG if b.tag in TEXT_TAGS else 0.0)
+    return s - b.cost + (W_GOOD if b.good else 0.0) + (W_TEXT_TAG if b.tag in TEXT_TAGS else 0.0)
 
 
 def content(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:

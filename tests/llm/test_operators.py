@@ -318,6 +318,23 @@ def test_html(spark):
     assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, "A & B one two three four", 24), (2, "", 0), (3, "", 0), (None, "", 0), (1, "A & B one two three four", 24)]
 
 
+def test_html_zone_words():
+    """A wrapper whose class only mentions a zone keeps its article; a zone inside the article goes."""
+    text = "This is a sentence of the article with some more words in it to read. " * 3
+    body = f"<h1>Title here</h1><p>{text}</p><div class=related-posts>See more of this</div><p>{text}</p>"
+    wanted = " ".join(f"Title here {text}{text}".split())
+    for page in (
+        f"<main class='content no-sidebar'>{body}</main>",
+        f"<div id=page class=has-sidebar><article>{body}</article><div class=sidebar><p>Some links and words</p></div></div>",
+        f"<article class='post comments-open'>{body}</article><section id=comments><div class=comment><p>{text}</p></div></section>",
+        f"<div class='post tag-privacy'>{body}</div><div class=site-footer>All rights reserved</div>",
+        f"<div class=sidebar><article class=post>{body}</article></div>",
+        f"<article class='post privacy'>{body}</article>",
+        f"<div class='has-header sidebar-left'><div class=entry-content>{body}</div></div>",
+    ):
+        assert html.main_text(f"<html><body class='single comments-open'>{page}</body></html>") == wanted, page
+
+
 def test_minimum_cut():
     rng = random.Random(2)
     for _ in range(60):
