@@ -60,8 +60,11 @@ TEXT_TAGS = frozenset("p blockquote pre h1 h2 h3 figcaption dd".split())
 S_NEXT, S_ZONE, S_PARENT = 0.8, 0.2, 0.8
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){0,1024}+)>|[^<]+|<", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]+|<", re.S
 )
+_PIECE = re.compile("[^>\"']++|\"[^\"]*+\"|'[^']*+'")
+_PLAIN = re.compile("<[a-zA-Z][^\\s/>\"']*[\\s/]")
+_LESS = re.compile("(?:(>)(>)(>))?<")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[a-z]+")
 #: What an opening tag ends, if it is open inside the nearest of the listed borders.
@@ -126,6 +129,7 @@ def blocks(page: str) -> list[Block]:
     opened: Counter[str] = Counter()
     owner = stack[0]  # the block element that holds the running text
     zone = 0
+    unclosed: set[int] = set()
 
     def close() -> None:
         nonlocal text, linked
@@ -154,7 +158,14 @@ def blocks(page: str) -> list[Block]:
             settle()
 
     while at < end:
-        m = _TOKEN.match(page, at)
+        m = (_LESS if at in unclosed else _TOKEN).match(page, at)
+        if m.end() == at + 1 and at not in unclosed and _PLAIN.match(page, at):
+            # A start tag that never closes; neither do those outside its quotes, which need no look of their own.
+            piece = _PIECE.match(page, at + 1)
+            while piece:
+                if piece[0][0] not in "\"'":
+                    unclosed.update(k.start() for k in _PLAIN.finditer(page, piece.start(), piece.end()))
+                piece = _PIECE.match(page, piece.end())
         at = m.end()
         if m[2] is not None:
             tag, raw = m[2].lower(), m[3]

@@ -335,6 +335,12 @@ def test_html_zone_words():
         assert html.main_text(f"<html><body class='single comments-open'>{page}</body></html>") == wanted, page
 
 
+def test_html_many_attributes():
+    many = " ".join(f'data-a{i}="x > {i}"' for i in range(2000))
+    page = f"<html><body><article><p {many}>one two three</p><div class=ad {many}>Buy now</div><p>four five</p></article></body></html>"
+    assert html.main_text(page) == "one two three four five"
+
+
 def test_minimum_cut():
     rng = random.Random(2)
     for _ in range(60):
