@@ -309,7 +309,7 @@ def _missed(
 
     First the signatures say which members may have a link into another component; their full sets then meet in
     the same blocks. A pair is compared in the first band that it shares, and a block emits no more links than join its
-    components, so neither rows shipped nor links made grow with the pairs.
+    components, so links made do not grow with the pairs. A member is shipped to every block of its bucket: n * n / BLOCK rows for n members.
     """
     least = least_equal(percent)
     marked = materialize(members.join(labels.withColumnRenamed("node", "rep"), "rep"), "bucket_labels")
