@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import ann, chat, html, minhash, mixing, packing, quality, substring, suffix, warc
+from keelson.llm import ann, chat, exact, html, minhash, mixing, packing, periodic, quality, substring, suffix, warc, whitening
 
 _MODULES = {
     "op1_chat_format": chat,
@@ -19,6 +19,9 @@ _MODULES = {
     "op8_minhash_near_dedup": minhash,
     "op9_best_fit_packing": packing,
     "op10_mix_sources": mixing,
+    "op11_embedding_whitening": whitening,
+    "op12_exact_dedup": exact,
+    "op13_periodic_runs": periodic,
 }
 
 
