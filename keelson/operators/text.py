@@ -16,17 +16,7 @@ from keelson.functions import text as T
 
 
 def _cleaned(df: DataFrame, content: str, keep) -> DataFrame:
-    # Two projections: the platform-stripped text is a column of its own, so the gated HTML
-    # chain reads a column reference instead of repeating the markup regexes per branch
-    # (Spark does not merge projections when that would duplicate such an expression).
-    routed = df.select(
-        *keep,
-        T.route(content).alias("route"),
-        F.when(T.route(content) == "rich", T.rich_text(content)).alias("_rich"),
-        F.when(T.route(content) == "html", T.strip_platform_markup(content)).alias("_pm"),
-    )
-    text = F.when(F.col("route") == "rich", F.col("_rich")).otherwise(T.strip_html(F.col("_pm")))
-    return routed.select(*keep, "route", text.alias("text"))
+    return df.select(*keep, T.route(content).alias("route"), T.clean_article(content).alias("text"))
 
 
 def clean_articles(df: DataFrame, content: str = "content", key: str = "article_id") -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from keelson.functions import text as T
 from keelson.operators import text as J
+from keelson.plans import oracle_text as O
 from keelson.plans.catalog import register
 from keelson.plans.oracle_views import with_views
 from keelson.plans.views import articles, html_articles, rich_articles, table
@@ -14,17 +15,17 @@ ART = with_views("articles")
 
 
 def _rich_sql(c: str) -> str:
-    pat = T._sql_str(T.RICH_FALLBACK)
+    pat = O.sql_str(O.RICH_FALLBACK)
     return (
         f"coalesce(CASE WHEN json_valid({c}) THEN json_extract_string({c}, '{T.RICH_TEXT_PATH}') END, "
         f"CASE WHEN regexp_matches({c}, {pat}) THEN regexp_extract({c}, {pat}, 1) END)"
     )
 
 
-_PLATFORM = T.steps_sql("content", T.PLATFORM_STEPS)
+_PLATFORM = O.steps_sql("content", O.PLATFORM_STEPS)
 _CLEAN = (
     f"CASE WHEN contains(content, '{T.RICH_MARKER}') THEN {_rich_sql('content')} "
-    f"ELSE {T.steps_sql(_PLATFORM, T.STRIP_HTML_STEPS)} END"
+    f"ELSE {O.steps_sql(_PLATFORM, O.STRIP_HTML_STEPS)} END"
 )
 _ROUTE = f"CASE WHEN contains(content, '{T.RICH_MARKER}') THEN 'rich' ELSE 'html' END"
 
@@ -48,12 +49,12 @@ def q_strip_platform_markup(spark, sf_dir):
     return J.extract(articles(spark, sf_dir), "strip_platform_markup")
 
 
-@register("strip_html", f"SELECT page_id, {T.steps_sql('html', T.STRIP_HTML_STEPS)} AS text FROM pages")
+@register("strip_html", f"SELECT page_id, {O.steps_sql('html', O.STRIP_HTML_STEPS)} AS text FROM pages")
 def q_strip_html(spark, sf_dir):
     return J.extract(table(spark, sf_dir, "pages"), "strip_html", content="html", key="page_id")
 
 
-_MD = T.steps_sql(T.steps_sql("content", T.MARKDOWN_STEPS), T.MEDIA_STEPS)
+_MD = O.steps_sql(O.steps_sql("content", O.MARKDOWN_STEPS), O.MEDIA_STEPS)
 
 
 @register(
