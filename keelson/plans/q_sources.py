@@ -114,3 +114,51 @@ def q_date_coverage_stored(spark, sf_dir):
 @register("date_range_scan", FEED + "SELECT * FROM feed WHERE dt BETWEEN '20240105' AND '20240110'")
 def q_date_range_scan(spark, sf_dir):
     return P.date_range_scan(feed(spark, sf_dir), "20240105", "20240110")
+
+
+# Days of several layouts and schemas under one root: until the turn the day directories are plain, have no event name and hold the code as an
+# int; from it on they are ``dt=`` partitions with the name and the code as a long. The day of the turn is stored in both, half each.
+MIXED_START, MIXED_TURN, MIXED_END = "20240104", "20240108", "20240111"
+
+
+def _mixed_days(spark, sf_dir) -> str:
+    root = scratch_path(spark, "feed_mixed")
+    rows = feed(spark, sf_dir).select("event_id", "event_name", F.col("error_code").cast("long").alias("error_code"), "value", "dt")
+    early = F.col("event_id") % 2 == 0  # half of the day of the turn is in the old layout
+    new = rows.where((F.col("dt") > MIXED_TURN) | ((F.col("dt") == MIXED_TURN) & ~early))
+    new.where(F.col("dt") <= MIXED_END).repartition("dt").write.partitionBy("dt").parquet(root)
+    old = rows.where((F.col("dt") < MIXED_TURN) | early).select("event_id", F.col("error_code").cast("int").alias("error_code"), "value", "dt")
+    for (day,) in spark.range(1).select(F.explode(day_sequence(F.lit(MIXED_START), F.lit(MIXED_TURN)))).collect():
+        old.where(F.col("dt") == day).drop("dt").write.parquet(f"{root}/{day}")
+    return root
+
+
+@register(
+    "date_range_scan_mixed",
+    FEED
+    + f"""SELECT event_id, CAST(error_code AS BIGINT) AS error_code, value, dt,
+       CASE WHEN dt > '{MIXED_TURN}' OR (dt = '{MIXED_TURN}' AND event_id % 2 <> 0) THEN event_name END AS event_name
+FROM feed WHERE dt BETWEEN '20240106' AND '20240110'""",
+)
+def q_date_range_scan_mixed(spark, sf_dir):
+    return P.date_range_scan(_mixed_days(spark, sf_dir), "20240106", "20240110", spark=spark)
+
+
+@register(
+    "date_coverage_mixed",
+    FEED
+    + f"""SELECT strftime(d, '%Y%m%d') AS dt
+FROM generate_series(DATE '2024-01-01', DATE '2024-01-20', INTERVAL 1 DAY) AS g(d)
+WHERE strftime(d, '%Y%m%d') NOT IN (SELECT DISTINCT dt FROM feed WHERE dt BETWEEN '{MIXED_START}' AND '{MIXED_END}')""",
+)
+def q_date_coverage_mixed(spark, sf_dir):
+    return P.date_coverage(_mixed_days(spark, sf_dir), "20240101", "20240120", spark=spark)
+
+
+@register("partition_present_table", _PRESENT_SQL)
+def q_partition_present_table(spark, sf_dir):
+    """The days of a catalog table, from its partitions."""
+    path = scratch_path(spark, "feed_table")
+    name = "feed_days_" + path.split("/")[-2]
+    feed(spark, sf_dir).repartition("dt").write.partitionBy("dt").option("path", path).saveAsTable(name)
+    return P.partition_present(name, _DAYS, spark=spark)

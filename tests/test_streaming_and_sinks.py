@@ -104,3 +104,62 @@ def test_listed_days_skip_empty_partition_directories(spark):
     assert P.listed_days(spark, root) == ["20240101", "20240102"]
     missing = [r.dt for r in P.date_coverage(root, "20240101", "20240103", spark=spark).collect()]
     assert missing == ["20240103"]
+
+
+def test_days_of_other_schemas_and_layouts(spark):
+    root = scratch_path(spark, "mixed")
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    frame([(1, 10)], "id int, a int").write.parquet(f"{root}/20240101")
+    frame([(2, 20, "x")], "id int, a int, b string").write.parquet(f"{root}/20240102")
+    frame([(3, 1 << 40)], "id long, a long").write.parquet(f"{root}/dt=20240102")
+    frame([(4, 0.5)], "id int, a double").write.parquet(f"{root}/dt=20240103")
+    frame([(5, "t")], "id int, a string").write.parquet(f"{root}/20240104")
+    got = P.date_range_scan(root, "20240101", "20240103", spark=spark)
+    assert dict(got.dtypes) == {"id": "bigint", "a": "double", "b": "string", "dt": "string"}
+    rows = sorted((r.id, r.a, r.b, r.dt) for r in got.collect())
+    assert rows == [(1, 10.0, None, "20240101"), (2, 20.0, "x", "20240102"), (3, 2.0**40, None, "20240102"), (4, 0.5, None, "20240103")]
+    text = P.date_range_scan(root, "20240101", "20240104", spark=spark)
+    assert dict(text.dtypes)["a"] == "string" and text.count() == 5
+    assert P.listed_days(spark, root) == ["20240101", "20240102", "20240103", "20240104"]
+    assert P.listed_days(spark, root, start="20240102", end="20240103") == ["20240102", "20240103"]
+    # Columns that only later days have, in one layout: pruned by partition.
+    root = scratch_path(spark, "grown")
+    frame([(1,)], "id int").write.parquet(f"{root}/dt=20240101")
+    frame([(2, "y")], "id int, b string").write.parquet(f"{root}/dt=20240102")
+    got = P.date_range_scan(root, "20240101", "20240102", spark=spark)
+    assert sorted((r.id, r.b, r.dt) for r in got.collect()) == [(1, None, "20240101"), (2, "y", "20240102")]
+    assert got.where("dt = '20240102'")._jdf.queryExecution().executedPlan().toString().count("PartitionFilters: [") == 1
+
+
+def test_days_of_a_catalog_table(spark):
+    path = scratch_path(spark, "cat")
+    name = "days_" + path.split("/")[-2]
+    df = spark.createDataFrame([(1, "20240101"), (2, "20240103")], "v int, dt string")
+    df.write.partitionBy("dt").option("path", path).saveAsTable(name)
+    assert [r.dt for r in P.date_coverage(name, "20240101", "20240103", spark=spark).collect()] == ["20240102"]
+    assert [r.v for r in P.date_range_scan(name, "20240102", "20240105", spark=spark).collect()] == [2]
+    present = {r.dt: r.present for r in P.partition_present(name, ["20240103", "20240104"], spark=spark).collect()}
+    assert present == {"20240103": True, "20240104": False}
+    assert P.partition_present(name, [], spark=spark).count() == 0
+    plain = name + "_plain"
+    df.write.option("path", path + "_plain").saveAsTable(plain)
+    assert [r.dt for r in P.date_coverage(plain, "20240101", "20240103", spark=spark).collect()] == ["20240102"]
+
+
+def test_many_days_are_listed_in_a_few_calls(spark, monkeypatch):
+    from py4j.java_gateway import GatewayClient
+
+    root = scratch_path(spark, "many")
+    days = [r.d for r in spark.range(400).select(F.date_format(F.expr("date_add(date'2020-01-01', cast(id as int))"), "yyyyMMdd").alias("d")).collect()]
+    spark.createDataFrame([(d, 1) for d in days[:40]], "dt string, v int").repartition(1).write.partitionBy("dt").parquet(root)
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for d in days[40:]:
+        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{root}/dt={d}"))
+    calls = []
+    send = GatewayClient.send_command
+    monkeypatch.setattr(GatewayClient, "send_command", lambda self, *a, **k: calls.append(1) or send(self, *a, **k))
+    base, folders = P._day_folders(spark, root, "dt", None)
+    assert len(folders) == 400 and len(calls) < 60
+    monkeypatch.undo()
+    assert P.listed_days(spark, root) == days[:40]
