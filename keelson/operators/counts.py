@@ -40,22 +40,47 @@ def long_layout(
     return cast.unpivot(list(keep), cols, name, value)
 
 
+def value_type(column: str, kind: str) -> Column:
+    """What a value is, apart from its text: ``integer``, ``number``, ``string``, ``boolean``, ``null``, ``object`` and ``array`` (in VARIANT
+    columns, row by row) or the column's type. A JSON null is a null."""
+    c = F.col(column)
+    if kind == "variant":
+        shape = F.schema_of_variant(c)
+        named = (
+            F.when(shape.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer")
+            .when(shape.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "number")
+            .when(shape == "VOID", "null")
+            .otherwise(F.lower(F.regexp_extract(shape, "^[A-Z_]+", 0)))
+        )
+    else:
+        plain = {"tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "integer", "float": "number", "double": "number"}
+        named = F.lit("number" if kind.startswith("decimal") else plain.get(kind, kind))
+    return F.when(c.isNull(), "null").otherwise(named)
+
+
 def multi_value_counts(
-    df: DataFrame, columns: Sequence[str], batch_size: int | None = None
+    df: DataFrame, columns: Sequence[str], batch_size: int | None = None, typed: bool = False
 ) -> DataFrame:
-    """Rows per ``(feature, value)`` for many columns in one job and one scan.
+    """Rows per ``(feature, value)`` for many columns in one job and one scan; with ``typed`` per ``(feature, value, value_type)``, so
+    that ``1``, ``"1"`` and ``true`` are values of their own also within a VARIANT column.
 
     ``batch_size`` unpivots very wide column lists in two steps, batches of columns and then the columns of a batch,
     so that no single expansion is wider than the batch or the number of batches.
     """
     cols = list(columns)
-    if batch_size is None or batch_size >= len(cols):
+    keys = ["feature", "value"] + ["value_type"] * typed
+    if not typed and (batch_size is None or batch_size >= len(cols)):
         return long_layout(df, cols).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
     kinds = dict(df.dtypes)
-    pair = lambda c: F.struct(F.lit(c).alias("feature"), as_text(c, kinds[c]).alias("value"))
+    batch_size = batch_size or len(cols)
+
+    def pair(c: str) -> Column:
+        kind = [value_type(c, kinds[c]).alias("value_type")] if typed else []
+        return F.struct(F.lit(c).alias("feature"), as_text(c, kinds[c]).alias("value"), *kind)
+
     batches = [F.array(*[pair(c) for c in cols[i : i + batch_size]]) for i in range(0, len(cols), batch_size)]
     long = df.select(F.explode(F.array(*batches)).alias("_b")).select(F.explode("_b").alias("_p")).select("_p.*")
-    return long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    return long.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Feature map layout (one table for both kinds):
 ``feature, kind ('dense'|'sparse'), position, value, cnt, rate, min, max`` - sparse features have
 one row per vocabulary entry (``position`` 1-based, by count desc then value asc, nulls last;
-null is a value); dense features one row with their range.
+null is a value); dense features one row with their range. A typed map has one more column, ``value_type``
+(:func:`keelson.operators.counts.value_type`), by which values of one text and different types are apart.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from keelson.operators.sampling import sample_to_cap
 MAP_COLUMNS = ["feature", "kind", "position", "value", "cnt", "rate", "min", "max"]
 
 
-def _by_freq(partition: str = "feature") -> Window:
-    return Window.partitionBy(partition).orderBy(F.col("cnt").desc(), F.col("value").asc_nulls_last())
+def _by_freq(partition: str = "feature", more: Sequence[str] = ()) -> Window:
+    return Window.partitionBy(partition).orderBy(F.col("cnt").desc(), F.col("value").asc_nulls_last(), *more)
 
 
 def sparse_map(
@@ -36,6 +37,7 @@ def sparse_map(
     key=None,
     batch_size: int | None = None,
     ignore_missing: bool = True,
+    typed: bool = False,
 ) -> DataFrame:
     """Per feature, the values whose share of rows is at least ``min_share``, by count
     desc; the feature is kept when it has between 2 and ``max_len`` such values.
@@ -44,23 +46,24 @@ def sparse_map(
     ``1 / min_share`` values whatever the cardinality of the column.
     """
     feats = require_features(df, features, ignore_missing)
+    kind = ["value_type"] * typed
     if not feats:
         return df.sparkSession.createDataFrame(
-            [], "feature string, kind string, position bigint, value string, cnt bigint, rate double"
+            [], "feature string, kind string, position bigint, value string, cnt bigint, rate double" + ", value_type string" * typed
         )
-    counts = multi_value_counts(sample_to_cap(df, max_rows, key=key).select(*feats), feats, batch_size)
+    counts = multi_value_counts(sample_to_cap(df, max_rows, key=key).select(*feats), feats, batch_size, typed)
     # Every feature's counts sum to the row count: one row per feature, broadcast.
     totals = counts.groupBy("feature").agg(F.sum("cnt").alias("_n"))
     rate = F.col("cnt").cast("double") / F.col("_n").cast("double")
     kept = counts.join(F.broadcast(totals), "feature").where(rate >= F.lit(float(min_share)))
     w_all = Window.partitionBy("feature")
     kept = kept.select(
-        "feature", "value", "cnt", rate.alias("rate"),
+        "feature", "value", "cnt", rate.alias("rate"), *kind,
         F.count(F.lit(1)).over(w_all).alias("_len"),
-        F.row_number().over(_by_freq()).cast("long").alias("position"),
+        F.row_number().over(_by_freq(more=kind)).cast("long").alias("position"),
     )
     return kept.where((F.col("_len") >= 2) & (F.col("_len") <= max_len)).select(
-        "feature", F.lit("sparse").alias("kind"), "position", "value", "cnt", "rate"
+        "feature", F.lit("sparse").alias("kind"), "position", "value", "cnt", "rate", *kind
     )
 
 
@@ -76,9 +79,10 @@ def feature_map(
     max_rows: int | None = None,
     key=None,
     batch_size: int | None = None,
+    typed: bool = False,
 ) -> DataFrame:
     """Generate the map for the dense and sparse features (or pass ``given`` through),
-    as one table with the common layout. ``max_rows`` samples the input of both parts first (off by default)."""
+    as one table with the common layout (``typed``: with ``value_type``). ``max_rows`` samples the input of both parts first (off by default)."""
     if given is not None:
         return given
     parts = []
@@ -89,17 +93,17 @@ def feature_map(
         else:
             parts.append(dense_map_approx(df, dense, rel_error=rel_error))
     if sparse:
-        parts.append(sparse_map(df, sparse, min_share, max_len, batch_size=batch_size))
+        parts.append(sparse_map(df, sparse, min_share, max_len, batch_size=batch_size, typed=typed))
     if not parts:
         raise ValueError("no features requested")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     for c, t in [("position", "bigint"), ("value", "string"), ("cnt", "bigint"), ("rate", "double"),
-                 ("min", "double"), ("max", "double")]:
+                 ("min", "double"), ("max", "double"), ("value_type", "string")]:
         if c not in out.columns:
             out = out.withColumn(c, F.lit(None).cast(t))
-    return out.select(*MAP_COLUMNS)
+    return out.select(*MAP_COLUMNS, *["value_type"] * typed)
 
 
 def feature_map_summary(fmap: DataFrame) -> DataFrame:

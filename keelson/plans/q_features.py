@@ -253,8 +253,10 @@ def q_feature_profile(spark, sf_dir):
     return FM.feature_profile(table(spark, sf_dir, "orders"), _PROFILE_SPARSE, _PROFILE_DENSE)
 
 
-def _merge_sql(old: str, new: str) -> str:
+def _merge_sql(old: str, new: str, typed: bool = False) -> str:
+    """With ``typed``, a value is a struct of its text and its type."""
     same = "{a}.feature = {b}.feature AND {a}.value IS NOT DISTINCT FROM {b}.value"
+    by = "c.value.value ASC NULLS LAST, c.value.value_type" if typed else "c.value ASC NULLS LAST"
     return f"""old AS (SELECT feature, position, value, max(position) OVER (PARTITION BY feature) AS L FROM {old}),
 reserved AS (SELECT feature, position, value FROM old WHERE position = L),
 slots AS (SELECT feature, position, value FROM old WHERE position < L),
@@ -263,7 +265,7 @@ cands AS (SELECT n.feature, n.value, n.cnt FROM {new} n
 kept AS (SELECT s.* FROM slots s WHERE EXISTS (SELECT 1 FROM cands c WHERE {same.format(a='c', b='s')})),
 gaps AS (SELECT s.*, row_number() OVER (PARTITION BY s.feature ORDER BY s.position) AS r FROM slots s
          WHERE NOT EXISTS (SELECT 1 FROM cands c WHERE {same.format(a='c', b='s')})),
-remaining AS (SELECT c.*, row_number() OVER (PARTITION BY c.feature ORDER BY c.cnt DESC, c.value ASC NULLS LAST) AS r
+remaining AS (SELECT c.*, row_number() OVER (PARTITION BY c.feature ORDER BY c.cnt DESC, {by}) AS r
               FROM cands c WHERE NOT EXISTS (SELECT 1 FROM slots s WHERE {same.format(a='s', b='c')})),
 merged AS (
   SELECT feature, position, value FROM kept
@@ -311,3 +313,76 @@ def q_read_feature_map(spark, sf_dir):
 
     path = write_feature_map(_line_map(spark, sf_dir), scratch_path(spark, "feature_map"))
     return read_feature_map(spark, path)
+
+
+# --- typed vocabularies: a VARIANT column that holds numbers, texts, booleans and nulls -------
+_MIXED_JSON = ["1", '"1"', "true", '"true"', "null", None, "22", '"null"', "false"]
+
+
+def _mixed_values(spark, sf_dir, where="true"):
+    code = F.lit(None).cast("string")
+    for i, text in enumerate(_MIXED_JSON):
+        code = F.when(F.col("value").cast("long") % len(_MIXED_JSON) == i, F.lit(text)).otherwise(code)
+    return feed(spark, sf_dir).where(where).select(F.parse_json(code).alias("mixed"), "event_name", "label", "error_code")
+
+
+_MIXED_FEATURES = ["mixed", "event_name", "label", "error_code"]
+_MIXED_CASE = "CASE " + " ".join(
+    f"WHEN CAST(floor(value) AS BIGINT) % {len(_MIXED_JSON)} = {i} THEN " + (f"'{t}'" if t else "NULL") for i, t in enumerate(_MIXED_JSON)
+) + " END"
+_KIND = """CASE WHEN j IS NULL OR j = 'null' THEN 'null' WHEN j[1] = '"' THEN 'string' WHEN j IN ('true', 'false') THEN 'boolean' ELSE 'integer' END"""
+_PLAIN = {"event_name": "string", "label": "number", "error_code": "integer"}
+
+
+def _typed_counts_sql(name: str, where: str) -> str:
+    parts = [f"SELECT 'mixed' AS feature, CASE WHEN j <> 'null' THEN trim(j, '\"') END AS value, {_KIND} AS value_type FROM (SELECT {_MIXED_CASE} AS j FROM feed {where})"]
+    for c, kind in _PLAIN.items():
+        parts.append(f"SELECT '{c}', CAST({c} AS VARCHAR), CASE WHEN {c} IS NULL THEN 'null' ELSE '{kind}' END FROM feed {where}")
+    return f"{name} AS (SELECT feature, value, value_type, count(*) AS cnt FROM ({' UNION ALL '.join(parts)}) GROUP BY feature, value, value_type)"
+
+
+@register(
+    "feature_map_typed",
+    with_views("feed")
+    + ", "
+    + _typed_counts_sql("c", "")
+    + """, k AS (SELECT c.*, CAST(cnt AS DOUBLE) / CAST(sum(cnt) OVER (PARTITION BY feature) AS DOUBLE) AS rate FROM c)
+SELECT feature, value, value_type, cnt, rate,
+       row_number() OVER (PARTITION BY feature ORDER BY cnt DESC, value ASC NULLS LAST, value_type) AS position
+FROM (SELECT *, count(*) OVER (PARTITION BY feature) AS len FROM k WHERE rate >= 0.001) WHERE len BETWEEN 2 AND 100""",
+)
+def q_feature_map_typed(spark, sf_dir):
+    """A typed map, written and read back."""
+    from keelson.session import scratch_path
+    from keelson.sources.sinks import read_feature_map, write_feature_map
+
+    made = FM.feature_map(_mixed_values(spark, sf_dir), sparse=_MIXED_FEATURES, typed=True)
+    path = write_feature_map(made, scratch_path(spark, "typed_map"))
+    return read_feature_map(spark, path).select("feature", "value", "value_type", "cnt", "rate", "position")
+
+
+@register(
+    "vocabulary_refresh_typed",
+    with_views("feed")
+    + ", "
+    + _typed_counts_sql("c_old", "WHERE event_name = 'view' AND value < 60")
+    + ", "
+    + _typed_counts_sql("c_new", "")
+    + """, vocab_o AS (
+  SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY cnt, value ASC NULLS LAST, value_type) AS position,
+         {'value': value, 'value_type': value_type} AS value FROM c_old),
+vocab_n AS (SELECT feature, {'value': value, 'value_type': value_type} AS value, cnt FROM c_new), """
+    + _merge_sql("vocab_o", "vocab_n", typed=True)
+    + "SELECT feature, position, value.value AS value, value.value_type AS value_type FROM merged",
+)
+def q_vocabulary_refresh_typed(spark, sf_dir):
+    """A vocabulary of some rows, rarest value first, refreshed by all."""
+    from pyspark.sql import Window
+
+    from keelson.operators.counts import multi_value_counts
+
+    rows = _mixed_values(spark, sf_dir)
+    seen = _mixed_values(spark, sf_dir, "event_name = 'view' AND value < 60")
+    order = Window.partitionBy("feature").orderBy("cnt", F.col("value").asc_nulls_last(), "value_type")
+    old = multi_value_counts(seen, _MIXED_FEATURES, typed=True).withColumn("position", F.row_number().over(order).cast("long"))
+    return V.vocabulary_refresh(rows, _MIXED_FEATURES, old.drop("cnt"))

@@ -12,7 +12,7 @@ from keelson.plans.catalog import register
 from keelson.plans.oracle_views import with_views
 from keelson.plans.views import feed, table
 from keelson.session import scratch_path
-from keelson.sources.sinks import write_all, write_train_test
+from keelson.sources.sinks import footer_statistics, write_all, write_train_test
 
 FEED = with_views("feed")
 KEY = "event_id"
@@ -263,6 +263,34 @@ def q_write_all_whole(spark, sf_dir):
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+_REPORT_SQL = (
+    _SPLIT_BASE
+    + f""", sets AS (SELECT *, {_SPLIT_COL} AS split FROM capped),
+rep AS (SELECT split, count(*) AS n_rows, count(CASE WHEN label = 1 THEN 1 END) AS positives, count(CASE WHEN label = 0 THEN 1 END) AS negatives,
+               CAST(count(CASE WHEN label = 1 THEN 1 END) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS label_rate,
+               min(error_code % 7) AS min_len, max(error_code % 7) AS max_len, min(event_id) AS min_id, max(event_id) AS max_id
+        FROM sets GROUP BY split)
+SELECT layout, rep.*, n_rows AS stored_rows FROM rep, (VALUES ('partitioned'), ('two_paths')) AS l(layout)"""
+)
+
+
+@register("write_train_test_report", _REPORT_SQL)
+def q_write_train_test_report(spark, sf_dir):
+    """Both layouts: what was observed while writing, and what the written footers state."""
+    rows = feed(spark, sf_dir).withColumn("lengths", F.array_repeat(F.lit(1), F.col("error_code") % 7))
+    out = []
+    for layout in ("partitioned", "two_paths"):
+        res = write_train_test(
+            rows, scratch_path(spark, "report"), (0.8, 0.2), layout, key=KEY, length_column="lengths", verify=True, balance="balance", rate=(1, 1), max_n=3000
+        )
+        for r in res["report"]:
+            stored = footer_statistics(spark, res["paths"][r["split"]], [KEY])
+            seen = [r[c] for c in ("split", "rows", "positives", "negatives", "label_rate", "min_len", "max_len")]
+            out.append((layout, *seen, stored[f"min_{KEY}"], stored[f"max_{KEY}"], stored["rows"]))
+    names = "layout string, split string, n_rows long, positives long, negatives long, label_rate double, min_len int, max_len int"
+    return spark.createDataFrame(out, names + ", min_id long, max_id long, stored_rows long")
+
+
 @register(
     "shuffle_rows_stored",
     FEED + "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS out_of_order, CAST(0 AS BIGINT) AS overlapping FROM feed",

@@ -163,3 +163,57 @@ def test_many_days_are_listed_in_a_few_calls(spark, monkeypatch):
     assert len(folders) == 400 and len(calls) < 60
     monkeypatch.undo()
     assert P.listed_days(spark, root) == days[:40]
+
+
+def test_reports_of_both_layouts_agree_with_the_written_rows(spark):
+    from keelson.sources.sinks import footer_statistics
+
+    rows = [(i, [None, 0.0, 1.0, 2.0][i % 4], list(range(i % 5))) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, label double, input_data array<int>")
+    for layout in ("partitioned", "two_paths"):
+        res = write_train_test(df, scratch_path(spark, layout), layout=layout, key="event_id", length_column="input_data", verify=True, rate=None)
+        for r in res["report"]:
+            back = spark.read.parquet(res["paths"][r["split"]]).collect()
+            labels = [b.label for b in back]
+            assert (r["rows"], r["positives"], r["negatives"]) == (len(back), labels.count(1.0), labels.count(0.0))
+            assert r["unlabelled"] == len(back) - r["positives"] - r["negatives"] > 0
+            assert r["label_rate"] == r["positives"] / (r["positives"] + r["negatives"])
+            assert (r["min_len"], r["max_len"]) == (min(len(b.input_data) for b in back), max(len(b.input_data) for b in back))
+            stored = footer_statistics(spark, res["paths"][r["split"]], ["event_id"])
+            assert stored == {"rows": len(back), "min_event_id": min(b.event_id for b in back), "max_event_id": max(b.event_id for b in back)}
+    none = write_train_test(df.limit(0), scratch_path(spark, "none"), key="event_id", verify=True)
+    assert [(r["rows"], r["label_rate"]) for r in none["report"]] == [(0, None)] * 2
+
+
+def test_footer_statistics_read_no_data(spark):
+    from keelson.sources import sinks
+
+    path = scratch_path(spark, "footers")
+    spark.range(1000).write.parquet(path)
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    plan = own.read.parquet(path).agg(F.count(F.lit(1)), F.min("id"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), MIN(id)]" in plan
+    assert sinks.footer_statistics(spark, path, ["id"]) == {"rows": 1000, "min_id": 0, "max_id": 999}
+    assert "parquet" in spark.conf.get("spark.sql.sources.useV1SourceList")
+
+
+def test_typed_vocabularies_tell_texts_and_numbers_apart(spark):
+    from keelson.operators.feature_map import sparse_map
+    from keelson.operators.vocabulary import vocabulary_refresh
+
+    texts = ["1", "1", "1", '"1"', '"1"', "true", '"true"', "null", None, "1.5", "[1]", '{"a": 1}']
+    df = spark.createDataFrame([(t, 1) for t in texts], "t string, n int").select(F.parse_json("t").alias("v"), "n", F.lit("1").alias("s"))
+    made = sparse_map(df, ["v", "n", "s"], min_share=0.0, typed=True)
+    got = {(r.value, r.value_type): r.cnt for r in made.collect()}
+    assert got == {("1", "integer"): 3, ("1", "string"): 2, ("true", "boolean"): 1, ("true", "string"): 1, (None, "null"): 2, ("1.5", "number"): 1, ("[1]", "array"): 1, ('{"a":1}', "object"): 1}
+    path = write_feature_map(made, scratch_path(spark, "typed"))
+    old = read_feature_map(spark, path).where("value_type in ('string', 'null')").selectExpr("feature", "value", "value_type", "row_number() over (order by position) as position")
+    fresh = spark.createDataFrame([("1",), ("1",), ("true",), ("null",)], "t string").select(F.parse_json("t").alias("v"))
+    merged = vocabulary_refresh(fresh, ["v"], old)
+    # The number 1 and the boolean take the places of the texts; null, last, keeps its own.
+    before = sorted((r.position, r.value, r.value_type) for r in old.collect())
+    assert [b[1:] for b in before] == [("1", "string"), (None, "null"), ("true", "string")]
+    after = sorted((r.position, r.value, r.value_type) for r in merged.collect())
+    assert after == [(1, "1", "integer"), (2, None, "null"), (3, "true", "string")]
