@@ -259,6 +259,11 @@ def balance_total(
     return balance_to_ratio(df.where(F.col(event).isin(uniq)), rate, label, key, seed)
 
 
-def shuffle_rows(df: DataFrame, key=None, seed: int | str = SHUFFLE_SEED) -> DataFrame:
-    """Global pseudo-random order, deterministic in key and seed (a range shuffle; optional)."""
-    return _unkeyed(with_row_key(df, key).orderBy(_u(seed), ROW_KEY), key)
+def shuffle_rows(df: DataFrame, key=None, seed: int | str = SHUFFLE_SEED, partitions: int | None = None) -> DataFrame:
+    """Global pseudo-random order, deterministic in key and seed.
+
+    The hash is uniform, so the bounds of the ranges are known: a row's partition is computed, and no job samples the input for them."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    keyed = with_row_key(df, key)
+    placed = keyed.repartitionById(n, F.floor(_u(seed) * n).cast("int"))
+    return _unkeyed(placed.sortWithinPartitions(_u(seed), ROW_KEY), key)

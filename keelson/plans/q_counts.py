@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from keelson.operators import counts as C
 from keelson.plans.catalog import register
 from keelson.plans.oracle_views import with_views
@@ -124,3 +127,41 @@ def q_value_topk(spark, sf_dir):
 @register("distinct_values", FEED + "SELECT DISTINCT did FROM feed")
 def q_distinct_values(spark, sf_dir):
     return C.distinct_values(feed(spark, sf_dir), "did")
+
+
+# --- stored sketches: distinct entities and penetration over any range of days -----------------
+_RANGES = [("20240103", "20240110"), ("20240101", "20240131"), ("20250101", "20250102")]
+_SKETCH_SQL = (
+    with_views("feed")
+    + "SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"""SELECT '{a}-{b}' AS days, event_name, count(*) AS n_rows, count(DISTINCT did) + CAST(count(*) > count(did) AS BIGINT) AS exact, true AS within
+FROM feed WHERE dt BETWEEN '{a}' AND '{b}' GROUP BY event_name
+UNION ALL SELECT '{a}-{b}', NULL, count(*), count(DISTINCT did) + CAST(count(*) > count(did) AS BIGINT), true FROM feed WHERE dt BETWEEN '{a}' AND '{b}'"""
+        for a, b in _RANGES
+    )
+    + ")"
+)
+
+
+@register("distinct_entities_sketched", _SKETCH_SQL)
+def q_distinct_entities_sketched(spark, sf_dir):
+    """Daily sketches per event, stored; ranges of days per event and over all events, against the exact counts."""
+    from functools import reduce
+
+    from keelson.operators import sketches as S
+    from keelson.session import materialize
+
+    rows = feed(spark, sf_dir).select("dt", "event_name", "did")
+    stored = materialize(S.daily_sketches(rows, "did", by=["event_name"]), "did_sketches")
+    every = F.lit(None).cast("string").alias("event_name")
+    out = []
+    for a, b in _RANGES:
+        inside = rows.where(F.col("dt").between(a, b))
+        for by, name in ((["event_name"], F.col("event_name")), ([], every)):
+            found = S.entities_over(stored, a, b, by).select(name, "n_rows", "n_entities")
+            exact = inside.select(*by, "did").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("exact")).select(name, "exact")
+            both = found.join(exact, found["event_name"].eqNullSafe(exact["event_name"])).drop(exact["event_name"])
+            near = F.abs(F.col("n_entities") - F.col("exact")) <= F.lit(S.error_bound()) * F.col("exact") + 1
+            out.append(both.select(F.lit(f"{a}-{b}").alias("days"), "event_name", "n_rows", "exact", near.alias("within")))
+    return reduce(DataFrame.unionByName, out)

@@ -77,3 +77,25 @@ def q_feature_importance_totals(spark, sf_dir):
 @register("importance_analysis_totals", _totals_sql(_BALANCED))
 def q_importance_analysis_totals(spark, sf_dir):
     return _totals(I.importance_analysis(_labelled(spark, sf_dir), DENSE_COLUMNS, "label", rate=(1, 1), max_n=None, key="line_id"))
+
+
+_LONG = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value, CAST({_IS_R} AS BIGINT) AS label FROM lineitem WHERE l_returnflag IS NOT NULL" for c in DENSE_COLUMNS
+)
+
+
+@register(
+    "feature_split_gains",
+    f"""WITH per AS (SELECT feature, value, count(*) AS cnt, CAST(sum(label) AS BIGINT) AS pos FROM ({_LONG})
+             WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY feature, value),
+run AS (SELECT feature, value, CAST(sum(cnt) OVER up AS DOUBLE) AS a, CAST(sum(pos) OVER up AS DOUBLE) AS p,
+               CAST(sum(cnt) OVER (PARTITION BY feature) AS DOUBLE) AS n, CAST(sum(pos) OVER (PARTITION BY feature) AS DOUBLE) AS m
+        FROM per WINDOW up AS (PARTITION BY feature ORDER BY value)),
+cuts AS (SELECT *, n - a AS b, m - p AS q FROM run WHERE a < n),
+gains AS (SELECT feature, value, a, b,
+                 ((p * p + (a - p) * (a - p)) / a + (q * q + (b - q) * (b - q)) / b) / n - (m * m + (n - m) * (n - m)) / (n * n) AS gain FROM cuts),
+top AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY gain DESC, value) AS r FROM gains)
+SELECT feature, value AS threshold, round(gain, 12) AS gain, CAST(a AS BIGINT) AS n_left, CAST(b AS BIGINT) AS n_right FROM top WHERE r = 1""",
+)
+def q_feature_split_gains(spark, sf_dir):
+    return I.split_gains(_labelled(spark, sf_dir), DENSE_COLUMNS).withColumn("gain", F.round("gain", 12))

@@ -132,3 +132,64 @@ def test_auc_random_against_pair_count(spark, rows, slices):
     # Spark rounds the decimal form half-up, Python's round() the binary value: compare to 4 places.
     assert abs(got.auc - pairs / (len(pos) * len(neg))) <= 0.00005 + 1e-12
     assert (got.n_pos, got.n_neg) == (len(pos), len(neg))
+
+
+def test_shuffle_places_rows_without_sampling_them(spark):
+    from keelson.functions.sampling import unit_hash
+    from keelson.operators.sampling import SHUFFLE_SEED, shuffle_rows
+
+    df = spark.range(500).withColumn("v", F.col("id") % 7)
+    got = shuffle_rows(df, key="id", partitions=5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and got.rdd.getNumPartitions() == 5
+    u = [r.u for r in got.select(unit_hash(F.col("id").cast("string"), SHUFFLE_SEED).alias("u")).collect()]
+    assert u == sorted(u) and len(u) == 500
+    assert [r.id for r in shuffle_rows(df.repartition(7), key="id", partitions=3).collect()] == [r.id for r in got.collect()]
+    twice = shuffle_rows(df.select("v"), partitions=4)
+    assert sorted(r.v for r in twice.collect()) == sorted(i % 7 for i in range(500))
+
+
+def test_sketches_of_days_add_up(spark):
+    from keelson.operators import sketches as S
+
+    rows = [(f"2024010{1 + i % 3}", "ab"[i % 2], i % 4000 if i % 11 else None) for i in range(9000)]
+    df = spark.createDataFrame(rows, "dt string, g string, did long")
+    stored = S.daily_sketches(df, "did", by=["g"])
+    assert {r.dt for r in stored.collect()} == {"20240101", "20240102", "20240103"}
+    for start, end in ((None, None), ("20240102", "20240103"), ("20240103", "20240103")):
+        inside = [r for r in rows if (start or "") <= r[0] <= (end or "9")]
+        exact = len({r[2] for r in inside})
+        got = S.entities_over(stored, start, end).first()
+        assert got.n_rows == len(inside) and abs(got.n_entities - exact) <= S.error_bound() * exact
+        for r in S.penetration_over(stored, ["g"], start, end).collect():
+            part = len({x[2] for x in inside if x[1] == r.g})
+            assert abs(r.share - part / exact) < 2 * S.error_bound()
+    assert S.entities_over(stored, "2030").first().n_entities == 0
+    assert S.entities_over(S.daily_sketches(df.limit(0), "did")).first().n_rows == 0
+
+
+def test_first_split_of_the_tree_is_the_best_gain(spark):
+    from keelson.operators.importance import feature_importance, split_gains
+    from keelson.operators.sampling import with_split
+
+    rows = [(i, float(i % 13), float(i * 7 % 10), 3.0, float((i % 13 > 8) != (i % 10 == 0))) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, label double")
+    train = with_split(df, key="id").where("split = 'train'")
+    got = {r.feature: r for r in split_gains(train, ["a", "b", "c"], partitions=3).collect()}
+    kept = [(r.a, r.b, r.label) for r in train.collect()]
+
+    def gini(part):
+        p = sum(x[2] for x in part) / len(part)
+        return 2 * p * (1 - p)
+
+    for k, f in ((0, "a"), (1, "b")):
+        best = None
+        for t in sorted({x[k] for x in kept})[:-1]:
+            left, right = [x for x in kept if x[k] <= t], [x for x in kept if x[k] > t]
+            gain = gini(kept) - (len(left) * gini(left) + len(right) * gini(right)) / len(kept)
+            if best is None or gain > best[0] + 1e-12:
+                best = (gain, t, len(left))
+        assert abs(got[f].gain - best[0]) < 1e-12 and (got[f].threshold, got[f].n_left) == best[1:]
+    assert set(got) == {"a", "b"}
+    tree = {r.name: r.value for r in feature_importance(df, ["a", "b", "c"], key="id", max_depth=1).collect() if r.section == "importance"}
+    assert max(got, key=lambda f: got[f].gain) == max(tree, key=tree.get) == "a" and tree["a"] == 1.0
