@@ -91,7 +91,7 @@ class _Group:
             grams = gram_hashes(BYTE[self.buf[a : a + SEGMENT + LENGTH - 1]], GRAM)
             if len(grams) < SPAN:
                 return
-            low = _slide(grams, SPAN)
+            low = mix(_slide(grams, SPAN))  # smallest hashes crowd at the low end, buckets are ranges
             at = np.arange(a, a + len(low))
             yield a, low, at + LENGTH <= self.ends[np.searchsorted(self.ends, at, "right")], grams
 
