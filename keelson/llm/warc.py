@@ -35,11 +35,14 @@ from keelson.session import materialize, scratch_path
 
 END = "\r\n\r\n"
 VERSION = "WARC/1.1"
+VERSIONS = (VERSION, "WARC/1.0")
+#: Archives are inflated in pieces of at most so many bytes.
+PIECE = 1 << 20
 FILE_BYTES = 16 << 20
 MIN_REVISIT = 0
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = (
-    "record_id string, record_type string, concurrent_to string, page_id long, url string, "
+    "record_id string, record_type string, concurrent_to array<string>, page_id long, url string, "
     "payload_digest string, payload_bytes long, refers_to long, payload binary, info string"
 )
 
@@ -137,71 +140,134 @@ def write_warc(
     records.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
+def _inflated(content: memoryview) -> Iterator[bytes]:
+    """The text of an archive in bounded pieces: all gzip members one after the other, or the plain file."""
+    if bytes(content[:2]) != b"\x1f\x8b":
+        yield from (bytes(content[a : a + PIECE]) for a in range(0, len(content), PIECE))
+        return
+    at = 0
+    while at < len(content):
+        member, given = zlib.decompressobj(wbits=31), b""
+        while not member.eof:
+            if not given:
+                given, at = bytes(content[at : at + PIECE]), min(at + PIECE, len(content))
+                if not given:
+                    raise ValueError("a gzip member ends early")
+            yield member.decompress(given, PIECE)
+            given = member.unconsumed_tail
+        at -= len(member.unused_data)
+        while at < len(content) and not content[at]:  # padding
+            at += 1
+
+
+def _records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, list[str]], bytes]]:
+    """Fields (lower-case name to its values, in order) and block of each record."""
+    held, done = bytearray(), 0
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while (head := held.find(b"\r\n\r\n")) < 0 and more():
+            pass
+        if head < 0:
+            if held.strip():
+                raise ValueError(f"not a WARC record at byte {done}: {bytes(held[:40])!r}")
+            return
+        lines = held[:head].decode("utf-8", "replace").split("\r\n")
+        if lines[0] not in VERSIONS:
+            raise ValueError(f"not a WARC record at byte {done}: {lines[0][:40]!r}")
+        field: dict[str, list[str]] = {}
+        for line in lines[1:]:
+            name, _, value = line.partition(":")
+            field.setdefault(name.strip().lower(), []).append(value.strip())
+        end = head + 4 + int(field["content-length"][0])
+        while len(held) < end + 4 and more():
+            pass
+        if held[end : end + 4] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {done} does not end where its length says")
+        yield field, bytes(held[head + 4 : end])
+        del held[: end + 4]
+        done += end + 4
+
+
+def _row(field: dict[str, list[str]], block: bytes) -> tuple:
+    first = lambda name: field.get(name, [None])[0]
+    number = lambda x: None if x is None else int(x)
+    kind, digest, size, payload, info = field["warc-type"][0], None, None, None, None
+    if kind in ("response", "revisit", "resource", "conversion"):
+        payload, stated = block, None
+        if (first("content-type") or "").startswith("application/http"):
+            top, _, payload = block.partition(b"\r\n\r\n")
+            found = re.search(rb"(?im)^content-length:[ \t]*(\d+)", top)
+            stated = int(found[1]) if found else None
+        given = (first("warc-payload-digest") or "").partition(":")
+        digest = given[2] or None
+        if kind == "revisit":
+            size, payload = stated, None
+        else:
+            size = len(payload)
+            own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            if given[0] == "sha1" and digest != own:
+                raise ValueError(f"the payload of {first('warc-record-id')} does not match its digest")
+            digest = digest or own
+    else:
+        info = block.decode("utf-8", "replace")
+    page, refers = number(first("warc-page-id")), number(first("warc-refers-to-page"))
+    concurrent = field.get("warc-concurrent-to", [])
+    return first("warc-record-id"), kind, concurrent, page, first("warc-target-uri"), digest, size, refers, payload, info
+
+
 def _parse(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
-        [("record_id", pa.string()), ("record_type", pa.string()), ("concurrent_to", pa.string()),
+        [("record_id", pa.string()), ("record_type", pa.string()), ("concurrent_to", pa.list_(pa.string())),
          ("page_id", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()),
          ("refers_to", pa.int64()), ("payload", pa.binary()), ("info", pa.string())]
     )
-    number = lambda x: None if x is None else int(x)
-    for batch in iterator:
-        for content in batch.column("content"):
-            raw = zlib.decompress(content.as_buffer(), wbits=47) if len(content.as_buffer()) else b""  # gzip
-            rows, at, held = [], 0, 0
-            while at < len(raw):
-                head = raw.index(b"\r\n\r\n", at)
-                lines = raw[at:head].decode().split("\r\n")
-                if lines[0] != VERSION:
-                    raise ValueError(f"not a WARC record at byte {at}: {lines[0][:40]!r}")
-                field = dict(x.split(": ", 1) for x in lines[1:])
-                start = head + 4
-                end = start + int(field["Content-Length"])
-                if raw[end : end + 4] != b"\r\n\r\n":
-                    raise ValueError(f"the record at byte {at} does not end where its length says")
-                block, kind = raw[start:end], field["WARC-Type"]
-                digest, size, payload, info = None, None, None, None
-                if kind in ("response", "revisit"):
-                    top, _, payload = block.partition(b"\r\n\r\n")
-                    size = int(re.search(rb"\r\nContent-Length: (\d+)", top)[1])
-                    digest = field["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if kind == "revisit":
-                        payload = None
-                    elif len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                        raise ValueError(f"the payload of {field['WARC-Record-ID']} does not match its digest")
-                else:
-                    info = block.decode()
-                rows.append(
-                    (field["WARC-Record-ID"], kind, field.get("WARC-Concurrent-To"), number(field.get("WARC-Page-ID")),
-                     field.get("WARC-Target-URI"), digest, size, number(field.get("WARC-Refers-To-Page")), payload, info)
-                )
-                held += end - at
-                at = end + 4
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+    for files in iterator:
+        for content in files.column("content"):
+            rows, held = [], 0
+            for field, block in _records(_inflated(memoryview(content.as_buffer()))):
+                rows.append(_row(field, block))
+                held += len(block) + 500
                 if held > (4 << 20):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                    yield batch(rows)
                     rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                yield batch(rows)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives under ``path``, lengths and digests verified."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    """The records of all archives under ``path`` (``*.gz``, of one or many gzip members, and ``*.warc``), lengths and given SHA-1 digests verified.
+
+    A header that repeats keeps all its values; a response whose HTTP head states no length has that of its payload, a revisit null; a
+    payload without a stated digest gets its SHA-1.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "{*.gz,*.warc}").load(path)
     return files.select("content").mapInArrow(_parse, RECORDS)
 
 
 def captures(records: DataFrame) -> DataFrame:
-    """One nested row per capture: ``page_id``, ``url``, ``response``, ``request``, ``metadata``.
+    """One nested row per capture: ``page_id``, ``url``, ``response``, ``request``, ``metadata``, and ``others``.
 
-    A capture whose request or metadata is missing has null there.
+    ``request`` and ``metadata`` are those with the smallest identifier, null if there are none; further ones that name the
+    capture (a record can name several) are in ``others``.
     """
     main = records.where(F.col("record_type").isin("response", "revisit")).select(
         "record_id", "page_id", "url",
         F.struct("record_type", "payload_digest", "payload_bytes", "refers_to", "payload").alias("response"),
     )
-    other = lambda kind: records.where(F.col("record_type") == kind).select(
-        F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id"), F.col("info")).alias(kind)
-    )
-    return main.join(other("request"), "record_id", "left").join(other("metadata"), "record_id", "left")
+    beside = records.where(F.col("record_type").isin("request", "metadata"))
+    named = beside.select(F.explode("concurrent_to").alias("_w_to"), "record_type", F.struct("record_id", "info").alias("_w_r"))
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("record_type") == kind, F.col("_w_r")))).alias(kind)
+    grouped = named.groupBy("_w_to").agg(of("request"), of("metadata"))
+    first = lambda kind: F.get(kind, F.lit(0)).alias(kind)
+    rest = F.concat(F.slice("request", 2, F.greatest(F.size("request"), F.lit(1))), F.slice("metadata", 2, F.greatest(F.size("metadata"), F.lit(1))))
+    beside = grouped.select("_w_to", first("request"), first("metadata"), rest.alias("others"))
+    return main.join(beside, F.col("record_id") == F.col("_w_to"), "left").drop("_w_to")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

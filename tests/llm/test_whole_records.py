@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import exact, periodic, whitening
+from keelson.llm import exact, periodic, suffix, warc, whitening
+from keelson.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -228,3 +229,69 @@ def test_minres():
     shift = np.array([0.5, 0.0, 3.0])
     x = whitening.minres(lambda z: a @ z - z * shift, b, 90, 1e-12)
     assert np.abs(a @ x - x * shift - b).max() < 1e-6
+
+
+def standard_record(kind, identity, body, *more):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{identity}>", "warc-date: 2024-01-01T00:00:00Z", *more, f"Content-Length: {len(body)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """A gzip member a record, missing lengths and digests, repeated headers, several metadata records a capture, other kinds of records."""
+    import base64
+    import gzip
+
+    http = "Content-Type: application/http; msgtype=response"
+    big = b"x" * 3_000_000
+    records = [
+        standard_record("warcinfo", "w", b"software: some\r\n", "Content-Type: application/warc-fields"),
+        standard_record("request", "q1", b"GET /a HTTP/1.1\r\n\r\n", "WARC-Concurrent-To: <urn:uuid:r1>", "WARC-Concurrent-To: <urn:uuid:r2>"),
+        standard_record("response", "r1", b"HTTP/1.1 200 OK\r\n\r\n\xff\r\n\r\nbody", http, "WARC-Target-URI: http://a/"),
+        standard_record("response", "r2", b"HTTP/1.1 200 OK\r\ncontent-length: 3000000\r\n\r\n" + big, http),
+        standard_record("metadata", "m1", b"a: 1", "WARC-Concurrent-To:<urn:uuid:r1>"),
+        standard_record("metadata", "m2", b"b: \xff", "WARC-Concurrent-To: <urn:uuid:r1>"),
+        standard_record("revisit", "v1", b"HTTP/1.1 304 Not Modified\r\n\r\n", http, "WARC-Payload-Digest: sha1:ABC"),
+        standard_record("resource", "o1", b"\x00\x01", "Content-Type: image/png"),
+        standard_record("response", "d1", b"a.example. 1 IN A 1.2.3.4", "Content-Type: text/dns"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records[:4])) + b"\0\0")
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(records[4:7])))
+    (tmp_path / "c.warc").write_bytes(b"".join(records[7:]))
+    (tmp_path / "d.warc.gz").write_bytes(b"")
+    found = warc.read_warc(spark, str(tmp_path))
+    rows = {r.record_id[10:-1]: r for r in found.collect()}
+    assert set(rows) == {"w", "q1", "r1", "r2", "m1", "m2", "v1", "o1", "d1"}
+    assert (rows["r1"].payload_bytes, bytes(rows["r1"].payload)) == (9, b"\xff\r\n\r\nbody")
+    assert rows["r2"].payload_digest == base64.b32encode(hashlib.sha1(big).digest()).decode()
+    assert (rows["v1"].payload_bytes, rows["v1"].payload_digest, rows["v1"].payload) == (None, "ABC", None)
+    assert bytes(rows["o1"].payload) == b"\x00\x01" and bytes(rows["d1"].payload).endswith(b"1.2.3.4")
+    got = {r.record_id[10:-1]: r for r in warc.captures(found).collect()}
+    assert set(got) == {"r1", "r2", "v1", "d1"}
+    assert got["r1"].request.record_id == got["r2"].request.record_id == "<urn:uuid:q1>" and got["v1"].request is None
+    assert got["r1"].metadata.info == "a: 1" and [o.record_id for o in got["r1"].others] == ["<urn:uuid:m2>"]
+    assert got["r2"].metadata is None and got["r2"].others == []
+
+
+@pytest.mark.parametrize("cut", [1, 10, 300])
+def test_broken_archives_are_errors(cut):
+    import gzip
+
+    whole = standard_record("response", "r", b"HTTP/1.1 200 OK\r\n\r\nbody " + bytes(range(256)), "Content-Type: application/http")
+    read = lambda data: list(warc._records(warc._inflated(memoryview(data))))
+    assert len(read(gzip.compress(whole) * 3)) == len(read(whole * 3)) == 3
+    with pytest.raises(ValueError):
+        read(gzip.compress(whole)[:-cut])
+    with pytest.raises(ValueError):
+        read(whole[:-cut])
+
+
+def test_anchor_buckets_are_even(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    text = bytes(rng.integers(97, 123, 400_000).astype(np.uint8)).decode()
+    group = suffix._Group(pa.table({"doc_id": pa.array([1]), "text": pa.array([text])}), "doc_id", "text")
+    keys = np.unique(group.anchors()[0])
+    for buckets in (16, 128):
+        sizes = np.bincount((keys >> np.uint64(64 - buckets.bit_length() + 1)).astype(int), minlength=buckets)
+        assert sizes.max() < 2 * sizes.mean()
