@@ -58,7 +58,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: MinHash components and packing are not stated in SQL; the stages are tested against brute force.
+#: MinHash components and packing are not stated in SQL. The operators of the stages are tested against brute force, the run for its shape.
 ORACLE_SQL = None
 
 
