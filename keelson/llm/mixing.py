@@ -15,13 +15,14 @@ counts per slice gives the offsets. The offset is a hash of the seed and the sou
 
 DataFrame functions only. Defined results: a null text has size 0; documents of size 0 take part
 and add no words; null sources form one source, the last; a source with no words has target 0 and
-no copies; repeated rows are separate documents; an empty table gives an empty table.
+no copies; repeated rows are separate documents; rows of one source, size and id are ranked by a hash of all columns; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keelson.llm.common import WORD
 from keelson.session import materialize
@@ -74,8 +75,11 @@ def mix(df: DataFrame, source: str = "source", doc_id: str = "doc_id", seed: int
     """``df``, which has ``size``, with :data:`ADDED`: ``copies`` says how often to emit each row."""
     keep = [c for c in df.columns if c not in ADDED]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    keys = [F.col(source).asc_nulls_last(), F.col("size").desc(), F.col(doc_id).asc_nulls_last()]
-    sliced = df.select(*keep, "size").repartitionByRange(n, *keys).withColumn("_m_slice", F.spark_partition_id())
+    # Rows that share source, size and id take the order of a hash of all their columns, so reruns rank them alike.
+    unhashed = (T.MapType, T.VariantType)
+    own = F.xxhash64(*[F.col(c) for c in keep if not isinstance(df.schema[c].dataType, unhashed)])
+    keys = [F.col(source).asc_nulls_last(), F.col("size").desc(), F.col(doc_id).asc_nulls_last(), F.col("_m_own")]
+    sliced = df.select(*keep, "size").withColumn("_m_own", own).repartitionByRange(n, *keys).withColumn("_m_slice", F.spark_partition_id())
     sliced = materialize(sliced, "mix_slices")  # range bounds are sampled: all uses read one evaluation
     targets = source_targets(sliced, source)
     per = sliced.groupBy(F.col(source).alias("_m_source"), F.col("_m_slice").alias("_m_s")).agg(F.count(F.lit(1)).alias("_m_n"))
@@ -89,7 +93,7 @@ def mix(df: DataFrame, source: str = "source", doc_id: str = "doc_id", seed: int
         .drop("_m_t"),
         "mix_plan",
     )
-    local = Window.partitionBy(source, "_m_slice").orderBy(F.col("size").desc(), F.col(doc_id).asc_nulls_last())
+    local = Window.partitionBy(source, "_m_slice").orderBy(*keys[1:])
     ranked = sliced.withColumn("_m_rank", F.row_number().over(local)).join(
         plan, F.col(source).eqNullSafe(F.col("_m_source")) & (F.col("_m_slice") == F.col("_m_s"))
     )

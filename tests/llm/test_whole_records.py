@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import exact, periodic, suffix, warc, whitening
+from keelson.llm import exact, mixing, periodic, suffix, warc, whitening
 from keelson.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
@@ -295,3 +295,23 @@ def test_anchor_buckets_are_even(spark):
     for buckets in (16, 128):
         sizes = np.bincount((keys >> np.uint64(64 - buckets.bit_length() + 1)).astype(int), minlength=buckets)
         assert sizes.max() < 2 * sizes.mean()
+
+
+def test_mixing_ranks_rows_without_ids_alike_in_any_order(spark):
+    rows = [(None if i % 3 else 7, f"s{i % 2}", f"word{i} and more", {"k": i}) for i in range(60)]
+    found = set()
+    for order in range(3):
+        random.Random(order).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, source string, text string, m map<string,int>").repartition(1 + 2 * order)
+        out = mixing.mix(mixing.sized(df)).select("text", "copies").collect()
+        found.add(tuple(sorted((r.text, r.copies) for r in out)))
+    assert len(found) == 1 and {c for _, c in next(iter(found))} == {1, 2}
+
+
+def test_mixing_comes_near_its_targets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = mixing.mix(mixing.sized(docs.select("doc_id", "source", "text"))).groupBy("source").agg(
+        F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")
+    )
+    for r in got.collect():
+        assert abs(r.taken - r.target) <= 2 * r.most and r.over <= 0
