@@ -18,6 +18,7 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -46,6 +47,20 @@ ROWS = 512
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _has_rule(file: dict) -> bool:
+    """Whether a tokenizer file normalizes and splits by :data:`NORMALIZERS` and :data:`SPLIT`, with byte letters and nothing else."""
+    made = file.get("normalizer") or {}
+    cut = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split, after = cut[0], cut[1:]
+    return (
+        [(n.get("type"), n.get("content"), n.get("pattern")) for n in made.get("normalizers") or []]
+        == [(n, " " if n == "Replace" else None, {"Regex": r"\s+"} if n == "Replace" else None) for n in NORMALIZERS]
+        and (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", {"Regex": SPLIT}, "Removed", True)
+        and [(a.get("type"), a.get("add_prefix_space"), a.get("use_regex")) for a in after] == [("ByteLevel", False, False)]
+        and not any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in file.get("added_tokens") or [])
+    )
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level models write for each byte: printable Latin-1 stands for itself,
     the other bytes get the characters from 256 on, in order."""
@@ -54,6 +69,9 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: The rule that this module can apply itself (fixed values of a tokenizer file): normalizers and the pattern of the pieces.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts of these characters alone are split into pieces here, by the tokenizer's own rule (letter runs, single digits, other runs);
 #: NFC leaves them as they are. An apostrophe may start a contraction, which has a rule of its own.
 _PLAIN = re.compile(r"[!-&(-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF\x20\x09-\x0D]*+")
@@ -68,7 +86,8 @@ class Encoder:
     """Texts to their ids, each distinct piece encoded once by the tokenizer's model.
 
     What was encoded is kept by the piece's 64-bit hash, for at most ``CACHE_PIECES`` pieces. Words outside the plain
-    alphabet, and those that hold an added token, go through the whole tokenizer, word by word.
+    alphabet, and those that hold an added token, go through the whole tokenizer, word by word. A tokenizer with another
+    rule of normalizing or splitting encodes whole texts itself.
     """
 
     def __init__(self, file: str):
@@ -76,6 +95,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file if "/" in file else public_tokenizers.path(file))
+        self.own_rule = _has_rule(json.loads(self.tokenizer.to_str()))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.forget()
@@ -138,6 +158,8 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, unsigned 32-bit."""
+        if not self.own_rule:
+            return [np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
         out: list = [None] * len(texts)
         easy = [i for i, t in enumerate(texts) if self.plain(t)]
         for i, ids in zip(easy, self._plain_ids([texts[i] for i in easy])):
