@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.llm.common import WORD
+from keelson.operators.ordered import running_totals
 from keelson.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -43,31 +44,23 @@ def sized(df: DataFrame, text: str = "text") -> DataFrame:
 def source_targets(sizes: DataFrame, source: str, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """One row per source (null included): ``source_size``, ``target``.
 
-    Reads one pre-aggregated row per source, so its windows see sources, not documents.
+    Places in the order of sources and totals in the order of cap / weight are running totals over range slices, so no task holds
+    all sources; the water level is one number.
     """
     per = sizes.groupBy(F.col(source).alias("_m_source")).agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("_m_source").asc_nulls_last())) - 1
-    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
-    per = per.withColumn("_m_weight", turn)
+    named = (F.col("_m_source").isNull().alias("_m_null"), F.col("_m_source").alias("_m_name"))  # null last
+    per = running_totals(per.withColumns({"_m_key": F.struct(*named), "_m_one": F.lit(1)}), [], "_m_key", ["_m_one"])
+    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("cum__m_one") - 1, F.lit(len(weights))) + 1).cast("int"))
+    per = per.select("_m_source", "source_size", turn.alias("_m_weight"), (F.col("source_size") * F.lit(float(most))).alias("_m_cap"))
     # Sources fill up in the order of cap / weight: those before the water level stop at their cap.
-    order = Window.orderBy(F.col("_m_fill"), F.col("_m_source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    per = per.withColumn("_m_cap", F.col("source_size") * F.lit(float(most)))
-    per = per.withColumn("_m_fill", F.col("_m_cap") / F.col("_m_weight"))
-    per = per.withColumns(
-        {
-            "_m_left": F.sum("source_size").over(whole) * F.lit(share)
-            - F.coalesce(F.sum("_m_cap").over(before), F.lit(0.0)),
-            "_m_open": F.sum("_m_weight").over(whole) - F.coalesce(F.sum("_m_weight").over(before), F.lit(0.0)),
-        }
-    )
-    per = per.withColumns({"_m_x": F.col("_m_left") / F.col("_m_open"), "_m_at": F.row_number().over(order)})
-    first = F.min(F.when(F.col("_m_fill") > F.col("_m_x"), F.struct("_m_at", "_m_x"))).over(whole)
-    per = per.withColumn("_m_level", first["_m_x"])
-    target = F.when(
-        F.col("_m_level").isNull() | (F.col("_m_fill") <= F.col("_m_level")), F.col("_m_cap")
-    ).otherwise(F.col("_m_weight") * F.col("_m_level"))
+    per = per.withColumn("_m_fill", F.struct((F.col("_m_cap") / F.col("_m_weight")).alias("at"), *named))
+    per = running_totals(per, [], "_m_fill", ["_m_weight", "_m_cap", "source_size"])
+    left = F.col("tot_source_size") * F.lit(share) - (F.col("cum__m_cap") - F.col("_m_cap"))
+    x = left / (F.col("tot__m_weight") - (F.col("cum__m_weight") - F.col("_m_weight")))
+    first = per.agg(F.min(F.when(F.col("_m_fill.at") > x, F.struct("_m_fill", x.alias("x"))))["x"]).first()[0]
+    target = F.col("_m_cap")
+    if first is not None:
+        target = F.when(F.col("_m_fill.at") > F.lit(first), F.col("_m_weight") * F.lit(first)).otherwise(target)
     return per.select("_m_source", "source_size", target.alias("target"))
 
 

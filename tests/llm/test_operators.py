@@ -198,6 +198,18 @@ def check_places(placed, capacity):
     return len(at)
 
 
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_packing_tokenizers(file):
+    """Ids are the whole tokenizer's, also where its rule is not the one this module applies itself."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["Hello World's 42 times", "  a\tb\n\nC  ", "", "naïve café, 東京 don't", "x" * 300, "<|endoftext|> end"]
+    t = Tokenizer.from_file(public_tokenizers.path(file))
+    assert packing.Encoder(file).own_rule == (file == packing.TOKENIZER)
+    assert [list(i) for i in packing.Encoder(file)(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_packing_rounds(spark):
     rng = random.Random(5)
     sizes = [(i, rng.choice([rng.randint(1, 60), rng.randint(1, 100)])) for i in range(900)]
@@ -230,9 +242,32 @@ def test_mixing(docs, rows):
     for r in got:
         assert r["size"] == len(words(r.text)) and r.source_size == size[r.source] and abs(r.target - target[r.source]) < 1e-6
         assert 0 <= r.taken <= 2 * r["size"]
+        assert r.copies <= 2
+    for s in names:  # documents go by size, so a source misses its target by less than its largest document, twice taken at most
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - target[s]) <= 2 * max(r["size"] for r in own)
     assert mixing.mix(mixing.sized(docs.limit(0))).count() == 0
 
 
+def test_mixing_many_sources(spark):
+    """Targets of many sources, some of them empty, some tied, one null, against the water level found source by source."""
+    rng = random.Random(9)
+    size = {f"host{i:04d}": rng.choice([0, 1, 7, 7, rng.randint(1, 5000)]) for i in range(2500)} | {None: 40}
+    sizes = spark.createDataFrame(list(size.items()), "source string, size long")
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(size, key=lambda s: (s is None, s or "")))}
+    left, open_ = 1.5 * sum(size.values()), float(sum(weight.values()))
+    target, level = {}, None
+    for s in sorted(size, key=lambda s: (2 * size[s] / weight[s], s is None, s or "")):
+        if level is None and 2 * size[s] / weight[s] > left / open_:
+            level = left / open_
+        target[s] = 2 * size[s] if level is None else weight[s] * level
+        left, open_ = left - 2 * size[s], open_ - weight[s]
+    found = mixing.source_targets(sizes, "source")
+    got = {r._m_source: r.target for r in found.collect()}
+    assert got.keys() == target.keys() and all(abs(got[s] - target[s]) < 1e-6 for s in got)
+    assert abs(sum(got.values()) - 1.5 * sum(size.values())) < 1e-3
+
+
 def test_quality(docs, rows):
     got = {r.doc_id: r for r in quality.quality_rules(docs.withColumnRenamed("lang", "kept")).collect()}
     for i, text, *_ in rows:
