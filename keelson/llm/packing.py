@@ -47,17 +47,18 @@ ROWS = 512
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _has_rule(file: dict) -> bool:
-    """Whether a tokenizer file normalizes and splits by :data:`NORMALIZERS` and :data:`SPLIT`, with byte letters and nothing else."""
-    made = file.get("normalizer") or {}
-    cut = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+def _has_rule(tokenizer) -> bool:
+    """Whether a tokenizer normalizes and splits by :data:`NORMALIZERS` and :data:`SPLIT`, with byte letters and nothing else."""
+    # Each part's own state: the whole file's would hold the vocabulary a second time, as Python objects.
+    made, cut = (json.loads(part.__getstate__()) if part else {} for part in (tokenizer.normalizer, tokenizer.pre_tokenizer))
+    cut = cut.get("pretokenizers") or [{}]
     split, after = cut[0], cut[1:]
     return (
         [(n.get("type"), n.get("content"), n.get("pattern")) for n in made.get("normalizers") or []]
         == [(n, " " if n == "Replace" else None, {"Regex": r"\s+"} if n == "Replace" else None) for n in NORMALIZERS]
         and (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", {"Regex": SPLIT}, "Removed", True)
         and [(a.get("type"), a.get("add_prefix_space"), a.get("use_regex")) for a in after] == [("ByteLevel", False, False)]
-        and not any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in file.get("added_tokens") or [])
+        and not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in tokenizer.get_added_tokens_decoder().values())
     )
 
 
@@ -95,7 +96,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file if "/" in file else public_tokenizers.path(file))
-        self.own_rule = _has_rule(json.loads(self.tokenizer.to_str()))
+        self.own_rule = _has_rule(self.tokenizer)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.forget()
@@ -214,7 +215,7 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
                     [pa.array(c, t) for c, t in zip(zip(*rows), types)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
-        give_back()
+            give_back()
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
 
