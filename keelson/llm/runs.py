@@ -1,7 +1,7 @@
 """Asking the whole corpus about keys: grouped documents, one binary run per group and bucket, bit replies.
 
-Documents are dealt into groups of bounded size by a hash of the row. For each group a task makes
-the sorted distinct 64-bit keys it asks about and sends every bucket of the key space one run of them; a task
+Documents are dealt into groups of bounded size by a hash of where the row is stored (file and row number), so equal rows
+part too; a table that is not read from files as it is, is written first. For each group a task makes the sorted distinct 64-bit keys it asks about and sends every bucket of the key space one run of them; a task
 per bucket sees that part of the key space from all groups and answers with one bit (or a small
 number) per key, in the order of the run. Since the keys of a group are a function of its documents, a
 reply needs no keys: the asking side makes them again. A key that all documents share is sent once
@@ -12,24 +12,46 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import NULL_ID, parts
+from keelson.llm.common import NULL_ID
+from keelson.session import materialize
 
 GROUP_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
+#: What a row counts beside its text, so that rows without text fill groups too.
+ROW_BYTES = 64
 GROUP = "_r_group"
 REPLIES = f"{GROUP} int, phase int, bucket int, answer binary"
 REPLY_SCHEMA = pa.schema([(GROUP, pa.int32()), ("phase", pa.int32()), ("bucket", pa.int32()), ("answer", pa.binary())])
 
 
-def grouped(df: DataFrame, doc_id: str, text: str, group_bytes: int, bucket_bytes: int) -> tuple[DataFrame, int]:
-    """``df`` with its group number, one exchange that all passes share, and the number of buckets."""
-    groups, buckets = parts(df, text, group_bytes), parts(df, text, bucket_bytes)
+def _place(df: DataFrame) -> Column | None:
+    """A hash of each row's file and number in it; none if ``df`` is not a projection or filter of files."""
+    try:
+        stored = df.metadataColumn("_metadata")
+        place = F.xxhash64(stored["file_path"], stored["row_index"])
+        df.select(place)
+    except AnalysisException:
+        return None
+    return place
+
+
+def grouped(df: DataFrame, text: str, group_bytes: int, bucket_bytes: int) -> tuple[DataFrame, int]:
+    """``df`` with its group number, one exchange that all passes share, and the number of buckets.
+
+    A row's place is a function of the stored files, so a task that runs again deals its rows as before.
+    """
+    place = _place(df)
+    if place is None:
+        df = materialize(df, "rows")
+        place = _place(df)
+    size = df.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + ROW_BYTES)).first()[0] or 0
+    groups, buckets = (max(1, -(-size // n)) for n in (group_bytes, bucket_bytes))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    number = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(groups)).cast("int")
-    return df.withColumn(GROUP, number).repartition(n, GROUP), buckets
+    return df.withColumn(GROUP, F.pmod(place, F.lit(groups)).cast("int")).repartition(n, GROUP), buckets
 
 
 def doc_ids(table: pa.Table, column: str) -> np.ndarray:

@@ -148,7 +148,7 @@ def dedup_substrings(
     make = finish or (lambda texts, kept: {"kept_text": pa.array([kept_words(t, k).decode() for t, k in zip(texts, kept)], pa.string())})
     added = T.StructType.fromDDL(f"n_words long, n_removed long, {finish_schema}")
     keep = [c for c in df.columns if c not in added.names]
-    docs, buckets = runs.grouped(df.select(*keep), doc_id, text, group_bytes, bucket_bytes)
+    docs, buckets = runs.grouped(df.select(*keep), text, group_bytes, bucket_bytes)
 
     def group(table: pa.Table) -> _Group:
         give_back()  # what the group before left

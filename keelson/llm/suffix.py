@@ -330,7 +330,7 @@ def dedup_bytes(
     make = finish or (lambda kept: {"kept": pa.array(kept, pa.binary())})
     added = T.StructType.fromDDL(f"n_bytes long, n_removed long, n_spans long, {finish_schema}")
     keep = [c for c in df.columns if c not in added.names]
-    docs, buckets = runs.grouped(df.select(*keep), doc_id, text, group_bytes, bucket_bytes)
+    docs, buckets = runs.grouped(df.select(*keep), text, group_bytes, bucket_bytes)
 
     def ask(table: pa.Table) -> pa.Table:
         g = _Group(_in_order(table, doc_id, text), doc_id, text)

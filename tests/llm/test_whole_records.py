@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import exact, mixing, periodic, suffix, warc, whitening
+from keelson.llm import exact, mixing, periodic, runs, substring, suffix, warc, whitening
 from keelson.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
@@ -315,3 +315,21 @@ def test_mixing_comes_near_its_targets(spark):
     )
     for r in got.collect():
         assert abs(r.taken - r.target) <= 2 * r.most and r.over <= 0
+
+
+def test_equal_rows_are_dealt_evenly(spark, tmp_path):
+    """Repeats of one row, null ones too, fill all groups, whether read from files or made by a plan."""
+    rows = [(7, "one two " * 40)] * 3000 + [(None, None)] * 3000
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    made.repartition(3).write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    for df in (made, read.where("doc_id is null or doc_id > 1").select("text", "doc_id"), read.groupBy("doc_id", "text").count()):
+        dealt, _ = runs.grouped(df, "text", 64_000, 64_000)
+        assert dealt.drop(runs.GROUP).columns == df.columns
+        if df is not made and "count" in df.columns:
+            assert dealt.count() == 2
+            continue
+        sizes = [r["count"] for r in dealt.groupBy(runs.GROUP).count().collect()]
+        assert sum(sizes) == 6000 and len(sizes) >= 16 and max(sizes) < 1.5 * 6000 / len(sizes)
+    got = substring.dedup_substrings(read, group_bytes=64_000).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got), key=str) == [(7, 80, 0, 3000), (None, 0, 0, 3000)]
