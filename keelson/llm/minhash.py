@@ -285,7 +285,7 @@ def _maybe(cell: tuple, own: list, label: list, sig: list, least: int) -> tuple[
 def _linked(x: list[np.ndarray], y: list[np.ndarray], pairs: np.ndarray, percent: int) -> np.ndarray:
     """Of the marked pairs of sets those that link; intersections come from a product of incidence matrices, by stretches of the words."""
     words = np.unique(np.concatenate([*x, *y]))
-    common = np.zeros(pairs.shape, np.float32)
+    common = np.zeros(pairs.shape, np.float64)  # each stretch's product is exact in single precision, their sum in double
     step = max(1, (8 << 20) // (len(x) + len(y)))
 
     def incidence(sets: list[np.ndarray], low: int, part: np.ndarray) -> np.ndarray:
@@ -299,7 +299,7 @@ def _linked(x: list[np.ndarray], y: list[np.ndarray], pairs: np.ndarray, percent
         part = words[low : low + step]
         common += incidence(x, low, part) @ incidence(y, low, part).T
     union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - common
-    return pairs & (100 * common.astype(np.float64) >= percent * union.astype(np.float64))
+    return pairs & (100 * common >= percent * union)
 
 
 def _missed(
