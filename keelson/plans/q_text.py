@@ -9,7 +9,7 @@ from keelson.operators import text as J
 from keelson.plans import oracle_text as O
 from keelson.plans.catalog import register
 from keelson.plans.oracle_views import with_views
-from keelson.plans.views import articles, html_articles, rich_articles, table
+from keelson.plans.views import articles, html_articles, rich_articles, spread, table
 
 ART = with_views("articles")
 
@@ -51,7 +51,7 @@ def q_strip_platform_markup(spark, sf_dir):
 
 @register("strip_html", f"SELECT page_id, {O.steps_sql('html', O.STRIP_HTML_STEPS)} AS text FROM pages")
 def q_strip_html(spark, sf_dir):
-    return J.extract(table(spark, sf_dir, "pages"), "strip_html", content="html", key="page_id")
+    return J.extract(spread(table(spark, sf_dir, "pages")), "strip_html", content="html", key="page_id")
 
 
 _MD = O.steps_sql(O.steps_sql("content", O.MARKDOWN_STEPS), O.MEDIA_STEPS)
@@ -63,7 +63,7 @@ _MD = O.steps_sql(O.steps_sql("content", O.MARKDOWN_STEPS), O.MEDIA_STEPS)
 )
 def q_html_to_text(spark, sf_dir):
     # Same rows as the non-rich part of the article view, read from the pages branch alone.
-    return J.extract(html_articles(spark, sf_dir), "html_to_text")
+    return J.extract(spread(html_articles(spark, sf_dir)), "html_to_text")
 
 
 _FLAT = f"replace(replace({_MD}, chr(10), ''), '\\\\\\', '')"
@@ -76,7 +76,7 @@ _FLAT = f"replace(replace({_MD}, chr(10), ''), '\\\\\\', '')"
 )
 def q_html_json_to_text(spark, sf_dir):
     # Same rows as the rich part of the article view, read from the documents branch alone.
-    return J.extract(rich_articles(spark, sf_dir), "html_json_to_text")
+    return J.extract(spread(rich_articles(spark, sf_dir)), "html_json_to_text")
 
 
 @register(

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt row by row over the shuffle partitions: splits of files follow compressed bytes and row groups, so
+    without it a few tasks can hold all rows that are dear to clean."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 # Outcome codes of the feed: one per event type (fixed values of the fixture).
 EVENT_CODES = [("view", 0), ("click", 401), ("signup", 402), ("purchase", 403), ("error", 1000)]
 
@@ -140,5 +146,5 @@ def html_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Article payloads of both kinds: rich-content documents and pages with markup."""
-    return rich_articles(spark, sf_dir).unionByName(html_articles(spark, sf_dir))
+    """Article payloads of both kinds: rich-content documents and pages with markup, mixed in every partition."""
+    return spread(rich_articles(spark, sf_dir).unionByName(html_articles(spark, sf_dir)))

@@ -2,6 +2,7 @@
 top-k limits pushed below the shuffle."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from keelson.plans.catalog import queries
@@ -48,3 +49,16 @@ def test_threshold_penetration_scans_events_once(spark):
 def test_topk_is_ranked_in_hash_buckets_first(spark, name):
     plan = _plan(spark, name)
     assert "_salt" in plan and "xxhash64" in plan
+
+
+def test_articles_of_one_file_are_spread_over_all_partitions(spark, tmp_path):
+    from keelson.plans.views import articles
+
+    docs = spark.createDataFrame([(i, "x") for i in range(400)], "doc_id long, text string")
+    pages = spark.createDataFrame([(i, "<body>y</body>") for i in range(400)], "page_id long, html string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = articles(spark, str(tmp_path)).where(F.col("article_id").startswith("p"))
+    counts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == 400 and len(counts) == n and max(counts) <= 400 // n + 1
