@@ -44,6 +44,8 @@ BACK = SPAN - 1
 #: A row: the bytes from the anchor on, those before it backwards, and the reach of its strings, lowest and highest.
 WIDTH = LENGTH + BACK + 2
 SEGMENT = 1 << 18
+#: The bits that hold a place in a segment.
+_PLACE = np.uint64((1 << 19) - 1)
 _POWER = mix(np.arange(1, BACK + 1, dtype=np.uint64)) | np.uint64(1)
 SUFFIX_RUNS = f"bucket int, {GROUP} int, prefixes binary, rest binary, mins binary"
 
@@ -57,18 +59,6 @@ def _slide(h: np.ndarray, span: int) -> np.ndarray:
     return h if width == span else np.minimum(h[: len(h) - (span - width)], h[span - width :])
 
 
-def _slide_at(h: np.ndarray, span: int) -> np.ndarray:
-    """Place of the first smallest of every ``span`` consecutive values."""
-    at, width = np.arange(len(h), dtype=np.int32), 1
-    while width < span:
-        step = min(width, span - width)
-        right = h[step:] < h[:-step]
-        at = np.where(right, at[step:], at[:-step])
-        h = np.where(right, h[step:], h[:-step])
-        width += step
-    return at
-
-
 def _in_order(table: pa.Table, doc_id: str, text: str) -> pa.Table:
     """The group's rows by id and text: segments are cut from the group's bytes, so every pass needs one order."""
     ids, texts = runs.doc_ids(table, doc_id).tolist(), runs.texts(table, text)
@@ -84,45 +74,50 @@ class _Group:
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.buf = np.frombuffer(b"".join(texts), np.uint8)
-
-    def _segments(self):
-        """(first start, anchor hash of each start's string, whether the string lies in one document, all hashes)."""
-        for a in range(0, len(self.buf), SEGMENT):
-            grams = gram_hashes(BYTE[self.buf[a : a + SEGMENT + LENGTH - 1]], GRAM)
-            if len(grams) < SPAN:
-                return
-            low = mix(_slide(grams, SPAN))  # smallest hashes crowd at the low end, buckets are ranges
-            at = np.arange(a, a + len(low))
-            yield a, low, at + LENGTH <= self.ends[np.searchsorted(self.ends, at, "right")], grams
+        self._found = None
+
+    def _stretches(self):
+        """(anchor place, first and last start, anchor hash) of every stretch of starts that share an anchor and whose strings
+        each lie in one document, found once."""
+        if self._found is None:
+            parts = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]]
+            for a in range(0, len(self.buf), SEGMENT):
+                grams = gram_hashes(BYTE[self.buf[a : a + SEGMENT + LENGTH - 1]], GRAM)
+                if len(grams) < SPAN:
+                    break
+                # A hash's low bits make room for its place, so the smallest is the first of the smallest.
+                anchor = _slide((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), SPAN) & _PLACE
+                whole = self._whole(a, len(anchor))
+                first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1]))))
+                last = np.concatenate((first[1:], [len(anchor)])) - 1
+                first, last = first[whole[first]], last[whole[first]]
+                place = anchor[first].astype(np.int64)
+                # Smallest hashes crowd at the low end, buckets are ranges.
+                parts.append([place + a, first + a, last + a, mix(grams[place])])
+            self._found = [np.concatenate(c) for c in zip(*parts)]
+        return self._found
+
+    def _whole(self, a: int, n: int) -> np.ndarray:
+        """Whether the string at each of ``n`` starts from ``a`` on lies in one document."""
+        ends = self.ends[slice(*np.searchsorted(self.ends, [a, a + n + LENGTH], "right"))] - a
+        over = np.zeros(n + 1, np.int32)
+        np.add.at(over, np.clip(ends - LENGTH + 1, 0, n), 1)
+        np.add.at(over, np.clip(ends, 0, n), -1)
+        return np.cumsum(over[:-1]) == 0
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchor hashes of the documents, and the documents' ids."""
-        keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for a, low, whole, _ in self._segments():
-            new = whole.copy()
-            new[1:] &= (low[1:] != low[:-1]) | ~whole[:-1]
-            at = np.flatnonzero(new)
-            keys.append(low[at])
-            docs.append(self.ids[np.searchsorted(self.ends, at + a, "right")])
-        return np.concatenate(keys), np.concatenate(docs)
+        _, first, _, keys = self._stretches()
+        docs = self.ids[np.searchsorted(self.ends, first, "right")] if len(first) else np.zeros(0, np.int64)
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
+        return keys[new], docs[new]
 
     def suffixes(self, replies: pa.Table, buckets: int) -> "_Suffixes":
-        keys, _ = self.anchors()
-        distinct = np.unique(keys)
-        shared = distinct[runs.read_bits(runs.answers(replies, 1), runs.cuts(distinct, buckets))]
-        parts = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]]
-        for a, low, whole, grams in self._segments():
-            spot = np.minimum(np.searchsorted(shared, low), max(0, len(shared) - 1))
-            some = whole & (shared[spot] == low) if len(shared) else np.zeros(len(low), bool)
-            if not some.any():
-                continue
-            at = np.flatnonzero(some)
-            anchor = _slide_at(grams, SPAN)[at]
-            new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)))
-            first = np.flatnonzero(new)
-            last = np.concatenate((first[1:], [len(at)])) - 1
-            parts.append([anchor[first].astype(np.int64) + a, at[first] + a, at[last] + a, low[at[first]]])
-        return _Suffixes(self, *[np.concatenate(c) for c in zip(*parts)])
+        place, first, last, keys = self._stretches()
+        distinct, which = np.unique(keys, return_inverse=True)
+        some = runs.read_bits(runs.answers(replies, 1), runs.cuts(distinct, buckets))[which]
+        return _Suffixes(self, place[some], first[some], last[some], keys[some])
 
 
 class _Suffixes:
@@ -134,10 +129,13 @@ class _Suffixes:
         high, low = place - first, place - last
         self.low = low
         rows = np.zeros((len(place), WIDTH), np.uint8)
-        after, before = np.arange(LENGTH), np.arange(BACK)
-        if len(place):
-            rows[:, :LENGTH] = group.buf[np.minimum(place[:, None] + after, n - 1)] * (after < (LENGTH - low)[:, None])
-            rows[:, LENGTH : LENGTH + BACK] = group.buf[np.maximum(place[:, None] - 1 - before, 0)] * (before < high[:, None])
+        if n:
+            around = np.concatenate((np.zeros(BACK, np.uint8), group.buf, np.zeros(LENGTH, np.uint8)))
+            window = np.lib.stride_tricks.sliding_window_view
+            rows[:, :LENGTH] = window(around[BACK:], LENGTH)[place]
+            rows[:, :LENGTH] *= np.arange(LENGTH) < (LENGTH - low)[:, None]
+            rows[:, LENGTH : LENGTH + BACK] = window(around, BACK)[place][:, ::-1]
+            rows[:, LENGTH : LENGTH + BACK] *= np.arange(BACK) < high[:, None]
         rows[:, -2], rows[:, -1] = low + 1, high + 1
         self.rows = rows
         self.ids = group.ids[np.searchsorted(group.ends, place, "right")] if len(place) else np.zeros(0, np.int64)

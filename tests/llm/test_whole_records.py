@@ -297,6 +297,39 @@ def test_anchor_buckets_are_even(spark):
         assert sizes.max() < 2 * sizes.mean()
 
 
+def test_suffix_anchors_are_found_once_and_in_whole_documents(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix, "SEGMENT", 300)
+    hashed = []
+    grams = suffix.gram_hashes
+    monkeypatch.setattr(suffix, "gram_hashes", lambda words, n: hashed.append(len(words)) or grams(words, n))
+    rng = np.random.default_rng(11)
+    sizes = [0, 1, 49, 50, 51, 0, 700, 120, 0]
+    texts = [bytes(rng.integers(97, 99, n).astype(np.uint8)).decode() for n in sizes] + ["a" * 130, "abc" * 40, ""]
+    ids = pa.array(range(len(texts)), pa.int64())
+    group = suffix._Group(pa.table({"doc_id": ids, "text": pa.array(texts)}), "doc_id", "text")
+    keys = np.unique(group.anchors()[0])
+    answer = np.packbits(np.ones(len(keys), bool)).tobytes()
+    replies = pa.Table.from_arrays([pa.array([0], pa.int32()), pa.array([1], pa.int32()), pa.array([0], pa.int32()), pa.array([answer])], schema=suffix.runs.REPLY_SCHEMA)
+    found = group.suffixes(replies, 1)
+    assert len(hashed) <= -(-len(group.buf) // 300)  # before: once for the question and twice for the suffixes
+    # Every start of a whole string in one stretch, and its anchor the first smallest hash, as in a plain search.
+    every = grams(suffix.BYTE[group.buf], suffix.GRAM) & ~suffix._PLACE
+    want, base = [], 0
+    for text in texts:
+        for i in range(base, base + len(text) - suffix.LENGTH + 1):
+            want.append((i, i + int(np.argmin(every[i : i + suffix.SPAN]))))
+        base += len(text)
+    got = [(i, p) for p, a, e in zip(found.place.tolist(), found.first.tolist(), found.last.tolist()) for i in range(a, e + 1)]
+    assert got == want
+    whole = group.buf.tobytes()
+    for row, place, a, e in zip(found.rows, found.place, found.first, found.last):
+        after, before = whole[place : e + suffix.LENGTH], whole[a:place][::-1]
+        assert row[: suffix.LENGTH].tobytes() == after.ljust(suffix.LENGTH, b"\0")
+        assert row[suffix.LENGTH : -2].tobytes() == before.ljust(suffix.BACK, b"\0")
+
+
 def test_mixing_ranks_rows_without_ids_alike_in_any_order(spark):
     rows = [(None if i % 3 else 7, f"s{i % 2}", f"word{i} and more", {"k": i}) for i in range(60)]
     found = set()
